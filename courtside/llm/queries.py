@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from courtside.llm.quality_rules import judge_quality
 from courtside.llm.url_filters import judge_urls
 from courtside.tables import table
 
@@ -22,7 +24,12 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {"op4_url_filters": op4_url_filters}
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("quality") == 0)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+QUERIES = {f.__name__: f for f in (op4_url_filters, op8_quality_rules)}
 
 _HOST_PATH = r"""
   SELECT page_id,
