@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from courtside.llm.quality_rules import judge_quality
 from courtside.llm.url_filters import judge_urls
+from courtside.llm.warc import id_of, read_warc, resolve_revisits, write_warc
+from courtside.shared import fresh_path
 from courtside.tables import table
 
 #: The rules of op4.
@@ -29,7 +31,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
-QUERIES = {f.__name__: f for f in (op4_url_filters, op8_quality_rules)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path, "page_id", "url", "html")
+    found = resolve_revisits(read_warc(spark, path))
+    return found.select(
+        id_of(F.col("record_id")).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", id_of(F.col("refers_to_id")).cast("long").alias("refers_to")
+    )
+
+
+QUERIES = {f.__name__: f for f in (op4_url_filters, op8_quality_rules, op10_warc)}
 
 _HOST_PATH = r"""
   SELECT page_id,
@@ -37,6 +48,10 @@ _HOST_PATH = r"""
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
   FROM (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages)
 """
+#: Base 32 of a SHA-1 ``s`` in hex, digit by digit.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(s, {1 + 10 * i}, 10) AS BIGINT) >> {35 - 5 * j}) & 31)::INT, 1)" for i in range(4) for j in range(8)
+)
 SQL = {
     "op4_url_filters": f"""
 WITH u AS ({_HOST_PATH}),
@@ -47,5 +62,18 @@ m AS (
   FROM u LEFT JOIN r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
 )
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE n = 1
+""",
+    "op10_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS s FROM p),
+b AS (
+  SELECT page_id, payload_bytes, s,
+         {_BASE32} AS payload_digest
+  FROM d
+),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY s) AS keep_id FROM b)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keep_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = keep_id THEN NULL ELSE keep_id END AS refers_to
+FROM k
 """,
 }
