@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from courtside.llm.bpe import encode
 from courtside.llm.quality_rules import judge_quality
+from courtside.llm.token_counts import count_tokens
 from courtside.llm.url_filters import judge_urls
 from courtside.llm.warc import id_of, read_warc, resolve_revisits, write_warc
 from courtside.shared import fresh_path
@@ -21,6 +24,16 @@ URL_RULES = [
 ]
 
 
+#: Tokens that one training sequence holds.
+TOKEN_LIMIT = 2048
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), decoded=True)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -31,6 +44,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path, "page_id", "url", "html")
@@ -40,7 +58,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_url_filters, op8_quality_rules, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op4_url_filters, op8_quality_rules, op9_token_counts, op10_warc)}
 
 _HOST_PATH = r"""
   SELECT page_id,
