@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtside.llm.bpe import encode
+from courtside.llm.decontaminate import leaks
 from courtside.llm.near_dups import near_duplicates
 from courtside.llm.quality_rules import judge_quality
 from courtside.llm.token_counts import count_tokens
@@ -29,6 +30,11 @@ URL_RULES = [
 TOKEN_LIMIT = 2048
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_words", "n_covered", "coverage", F.size("tiles").alias("n_tiles"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -63,7 +69,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_url_filters, op6_near_dups, op8_quality_rules, op9_token_counts, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op4_url_filters, op6_near_dups, op8_quality_rules, op9_token_counts, op10_warc)}
 
 _HOST_PATH = r"""
   SELECT page_id,
