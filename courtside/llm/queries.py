@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from courtside.llm.bpe import encode
 from courtside.llm.decontaminate import leaks
+from courtside.llm.html_text import extract_text
 from courtside.llm.near_dups import near_duplicates
 from courtside.llm.quality_rules import judge_quality
 from courtside.llm.token_counts import count_tokens
@@ -46,6 +47,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -69,7 +74,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op4_url_filters, op6_near_dups, op8_quality_rules, op9_token_counts, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op4_url_filters, op5_html, op6_near_dups, op8_quality_rules, op9_token_counts, op10_warc)}
 
 _HOST_PATH = r"""
   SELECT page_id,
@@ -91,6 +96,16 @@ m AS (
   FROM u LEFT JOIN r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
 )
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE n = 1
+""",
+    # pages with one article element without frames of its own, as the given ones are
+    "op5_html": r"""
+WITH a AS (
+  SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's'), '</?(p|h1|br)>', ' ', 'g') AS t FROM pages
+),
+b AS (
+  SELECT page_id, url, regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&#39;', ''''), '&nbsp;', ' '), '&amp;?', '&', 'g') AS t FROM a
+)
+SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text, length(trim(regexp_replace(t, '\s+', ' ', 'g'))) AS n_chars FROM b
 """,
     "op6_near_dups": r"""
 WITH RECURSIVE w AS (
