@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from courtside.llm.bpe import encode
 from courtside.llm.decontaminate import leaks
 from courtside.llm.html_text import extract_text
+from courtside.llm.line_dedup import dedup_lines
 from courtside.llm.near_dups import near_duplicates
 from courtside.llm.quality_rules import judge_quality
 from courtside.llm.token_counts import count_tokens
@@ -42,6 +43,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = dedup_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_repeated", "n_dropped", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -74,7 +80,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op4_url_filters, op5_html, op6_near_dups, op8_quality_rules, op9_token_counts, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_line_dedup, op4_url_filters, op5_html, op6_near_dups, op8_quality_rules, op9_token_counts, op10_warc)}
 
 _HOST_PATH = r"""
   SELECT page_id,
