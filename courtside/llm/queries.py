@@ -12,6 +12,7 @@ from courtside.llm.html_text import extract_text
 from courtside.llm.line_dedup import dedup_lines
 from courtside.llm.near_dups import near_duplicates
 from courtside.llm.quality_rules import judge_quality
+from courtside.llm.secret_scan import scan_secrets
 from courtside.llm.token_counts import count_tokens
 from courtside.llm.url_filters import judge_urls
 from courtside.llm.warc import id_of, read_warc, resolve_revisits, write_warc
@@ -61,6 +62,10 @@ def op6_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("quality") == 0)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
@@ -80,7 +85,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_line_dedup, op4_url_filters, op5_html, op6_near_dups, op8_quality_rules, op9_token_counts, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_line_dedup, op4_url_filters, op5_html, op6_near_dups, op7_secret_scan, op8_quality_rules, op9_token_counts, op10_warc)}
 
 _HOST_PATH = r"""
   SELECT page_id,
