@@ -230,9 +230,16 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, bad: Column, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The statistics of each document, base_failed, rule (the first that rejects, else 0) and kept."""
-    stats = text_stats(docs, id_col, text_col, keep)
-    if not keep:
-        stats = materialize(stats, "text-stats")  # narrow; both the learner and the result read it
-    rules = learn_rules(stats, labels, bad)
+    """The statistics of each document, base_failed, rule (the first that rejects, else 0) and kept.
+
+    With columns to ``keep``, which may be wide, statistics stay beside them and those of labelled documents are
+    computed once more, to learn from; else they are written once, as both the learner and the result read them.
+    """
+    if keep:
+        ids = labels.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct()
+        learned_from = text_stats(docs.select(id_col, text_col).join(ids, id_col, "left_semi"), id_col, text_col)
+        stats = text_stats(docs, id_col, text_col, keep)
+    else:
+        stats = learned_from = materialize(text_stats(docs, id_col, text_col), "text-stats")
+    rules = learn_rules(learned_from, labels, bad, id_col)
     return stats.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
