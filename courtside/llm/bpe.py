@@ -8,7 +8,7 @@ end there, the one that stays beside the last token of the prefix where it start
 stepping back over those states.
 
 Texts are cut at single spaces into pieces whose encodings don't depend on each other; the encodings of pieces are kept
-for a task, at most ``max_pieces`` of them. Only documents stream through: no shuffle, one Arrow batch at a time.
+in a worker for the tasks of one call, at most about ``max_pieces`` of them. Only documents stream through: no shuffle, one Arrow batch at a time.
 
 Defined results: a null text is empty and has no ids. Special strings inside a text become their ids. Decoding joins the
 bytes of all ids and replaces what isn't UTF-8; ids that the vocabulary lacks, and nulls, are left out. Rows that repeat
@@ -17,6 +17,7 @@ an id are each encoded. Other columns of the input are not read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +33,14 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 class Encoder:
-    def __init__(self, vocab: Vocab, max_pieces: int = 400_000):
+    def __init__(self, vocab: Vocab, max_pieces: int = 1_000_000):
         code = {c: b for b, c in enumerate(byte_letters())}
         self.ids = {bytes(code[c] for c in t): i for t, i in vocab.tokens.items()}
         self.spelling = {i: t for t, i in self.ids.items()} | {i: s.encode() for s, i in vocab.special.items()}
         self.longest = max(map(len, self.ids))
         self.rank = {(a, b): r for r, (a, b, _) in enumerate(vocab.merges)}
         self.parts = {c: (r, a, b) for r, (a, b, c) in enumerate(vocab.merges)}
-        self.beside: dict[tuple[int, int], bool] = {}
+        self.beside: dict[int, bool] = {}
         self.pattern = regex.compile(PATTERN)
         self.special_ids = vocab.special
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(vocab.special, key=len, reverse=True)) + ")") if vocab.special else None
@@ -48,6 +49,7 @@ class Encoder:
         self.entangled = regex.compile(r" \s|[^\S ] |^ | $")
         self.max_pieces = max_pieces
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the generation before; what is met again moves on
 
     def stay(self, a: int, b: int) -> bool:
         """Whether no merge crosses from token a to token b: undo the later of the two facing merges, again and again."""
@@ -74,20 +76,23 @@ class Encoder:
                 shared += 1
             del last[shared + 1 :], start[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                for at in range(max(0, end - longest), end):
-                    token = ids.get(word[at:end])
-                    if token is None:
-                        continue
-                    if at:
-                        pair = (last[at], token)
+                head = word[:end]
+                if head in ids:
+                    last.append(ids[head])
+                    start.append(0)
+                    continue
+                for at in range(max(1, end - longest), end):
+                    tail = head[at:]
+                    if tail in ids:
+                        token = ids[tail]
+                        pair = last[at] << 20 | token
                         fits = beside.get(pair)
                         if fits is None:
-                            fits = beside[pair] = self.stay(*pair)
-                        if not fits:
-                            continue
-                    last.append(token)
-                    start.append(at)
-                    break
+                            fits = beside[pair] = self.stay(last[at], token)
+                        if fits:
+                            last.append(token)
+                            start.append(at)
+                            break
             path = word
             found, at = [], len(word)
             while at:
@@ -121,9 +126,12 @@ class Encoder:
         """The ids of each text, as int32 bytes."""
         cut = [self.pieces(t) for t in texts]
         new = {p for pieces in cut for p in pieces} - self.known.keys()
-        if len(self.known) + len(new) > self.max_pieces:
-            self.known.clear()
+        if len(self.known) > self.max_pieces // 2:
+            self.older, self.known = self.known, {}
             new = {p for pieces in cut for p in pieces}
+        met = new & self.older.keys()
+        self.known.update(zip(met, map(self.older.__getitem__, met), strict=True))
+        new -= met
         split = {p: self.pre_tokens(p) for p in new}
         ids = self.encode_words({w for ws in split.values() for w in ws if isinstance(w, bytes)})
         for p, ws in split.items():
@@ -147,18 +155,30 @@ def _lists(encoded: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), "<i4")))
 
 
-def _slices(b: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+#: A worker's encoder, with the call that it belongs to.
+_LATEST: dict[str, Encoder] = {}
+
+
+def _encoder(call: str, vocab: Vocab, max_pieces: int) -> Encoder:
+    if call not in _LATEST:
+        _LATEST.clear()
+        _LATEST[call] = Encoder(vocab, max_pieces)
+    return _LATEST[call]
+
+
+def _slices(b: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
     for at in range(0, b.num_rows, rows):
         yield b.slice(at, rows)
 
 
-def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False, max_pieces: int = 400_000) -> DataFrame:
+def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False, max_pieces: int = 1_000_000) -> DataFrame:
     """doc_id, ids array<int> for every row; with ``decoded`` also the text that the ids decode to, in the same pass."""
     vocab = docs.sparkSession.sparkContext.broadcast(load_vocab(vocab_path))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    call = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocab.value, max_pieces)
+        encoder = _encoder(call, vocab.value, max_pieces)
         for whole in batches:
             for b in _slices(whole):
                 encoded = encoder.encode(b.column(1).to_pylist())

@@ -237,8 +237,9 @@ def judge_quality(docs: DataFrame, labels: DataFrame, bad: Column, id_col: str =
     """
     if keep:
         ids = labels.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct()
-        learned_from = text_stats(docs.select(id_col, text_col).join(ids, id_col, "left_semi"), id_col, text_col)
-        stats = text_stats(docs, id_col, text_col, keep)
+        learned_from = materialize(text_stats(docs.select(id_col, text_col).join(ids, id_col, "left_semi"), id_col, text_col), "text-stats")
+        # filters on statistics must stay above the steps that compute them, each of which uses the one before more than once
+        stats = text_stats(docs, id_col, text_col, keep).withColumn("__order", F.monotonically_increasing_id()).where("__order >= 0")
     else:
         stats = learned_from = materialize(text_stats(docs, id_col, text_col), "text-stats")
     rules = learn_rules(learned_from, labels, bad, id_col)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from courtside.shared import materialize
+
 #: The digits of Spark's base 32 and those of RFC 4648.
 _DIGITS, _RFC4648 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _CRLF = "\r\n"
@@ -59,14 +61,16 @@ def id_of(urn: Column) -> Column:
     return F.nullif(F.regexp_extract(urn, r"^<urn:x-record:([^>]*)>$", 1), F.lit("null"))
 
 
-def write_warc(records: DataFrame, path: str, id_col: str, url_col: str, payload_col: str, min_bytes: int = 0, records_per_file: int = 4096) -> None:
+def write_warc(records: DataFrame, path: str, id_col: str, url_col: str, payload_col: str, min_bytes: int = 0, records_per_file: int = 4096, broadcast_rows: int = 200_000) -> None:
     """Write one record for each row: a response with an HTTP head and the payload, or a revisit without a body.
 
-    A payload moves at most once, to be joined by its digest. records_per_file bounds what a reader of one file holds.
+    Up to ``broadcast_rows`` repeated digests (of about 100 bytes each) go to the tasks, and no payload is shuffled;
+    beyond, payloads are joined by digest. records_per_file bounds what a reader of one file holds.
     """
     one_line = lambda c: F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"[\r\n]+", " ")
     rows = records.select(F.col(id_col).alias("id"), one_line(F.col(url_col)).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload")).withColumn("payload_digest", base32_sha1(F.col("payload")))
-    found = rows.join(resolve(records, id_col, payload_col, min_bytes), "payload_digest", "left")
+    repeated = materialize(resolve(records, id_col, payload_col, min_bytes), "repeated-payloads")
+    found = rows.join(F.broadcast(repeated) if repeated.count() <= broadcast_rows else repeated, "payload_digest", "left")
     revisit = (F.octet_length("payload") >= min_bytes) & F.col("keep_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("keep_id"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Content-Length: "), F.octet_length("payload").cast("string"), F.lit(_CRLF * 2))
     head = F.concat(
