@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def load() -> None:
-    from courtside.plans import evaluation, features, market, ratings, streams, tables  # noqa: F401
+    from courtside.plans import evaluation, features, market, pricing, ratings, streams, tables  # noqa: F401
 
 
 load()
