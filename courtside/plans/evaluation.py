@@ -196,10 +196,10 @@ def f1_f2_f3_travel(spark, sf_dir):
     return g.select("game_id", _r(shift, "shift"), S.travel_direction(F.col("plon"), F.col("lon")).alias("direction"), _r(S.directional_fatigue(shift), "fatigue"))
 
 
-@query(f"""{_O} SELECT game_id, line, round(CASE WHEN abs(pred_c) >= 0.001 THEN pred_a / pred_c END, 6) AS ratio, round(sign(pred_a - pred_b) * ln(1 + abs(pred_a - pred_b)), 6) + 0.0::DOUBLE AS log_gap, round(sign(pred_b - pred_c) * sqrt(abs(pred_b - pred_c)), 6) + 0.0::DOUBLE AS root_gap, round(least(1e6, greatest(-1e6, pred_a * pred_b)), 5) AS product, round(ln(prob / (1 - prob)), 6) AS logit FROM oof""")
+@query(f"""{_O} SELECT game_id, line, round(CASE WHEN abs(pred_c) >= 0.001 THEN pred_a / pred_c END, 6) AS ratio, round(sign(pred_a - pred_b) * ln(1 + abs(pred_a - pred_b)), 6) + 0.0::DOUBLE AS log_gap, round(sign(pred_b - pred_c) * sqrt(abs(pred_b - pred_c)), 6) + 0.0::DOUBLE AS root_gap, round(least(1e6, greatest(-1e6, pred_a * pred_b)) + 1e-8::DOUBLE, 5) AS product, round(ln(prob / (1 - prob)), 6) AS logit FROM oof""")
 def f13_f26_symbolic_features(spark, sf_dir):
     a, b, c, p = (F.col(x) for x in ("pred_a", "pred_b", "pred_c", "prob"))
-    return D.oof(spark, sf_dir).select("game_id", "line", _r(S.safe_divide(a, c), "ratio"), (F.round(S.signed_log1p(a - b), 6) + 0.0).alias("log_gap"), (F.round(S.signed_sqrt(b - c), 6) + 0.0).alias("root_gap"), _r(F.least(F.lit(1e6), F.greatest(F.lit(-1e6), a * b)), "product", 5), _r(F.ln(p / (1 - p)), "logit"))
+    return D.oof(spark, sf_dir).select("game_id", "line", _r(S.safe_divide(a, c), "ratio"), (F.round(S.signed_log1p(a - b), 6) + 0.0).alias("log_gap"), (F.round(S.signed_sqrt(b - c), 6) + 0.0).alias("root_gap"), _r(F.least(F.lit(1e6), F.greatest(F.lit(-1e6), a * b)) + 1e-8, "product", 5), _r(F.ln(p / (1 - p)), "logit"))
 
 
 @query(f"""{_O}, m AS (SELECT quantile_cont(l_quantity, 0.5) AS q FROM lineitem WHERE year(l_shipdate) < 1998)

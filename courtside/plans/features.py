@@ -239,11 +239,13 @@ def w18_overtime_history(spark, sf_dir):
 
 
 @query(f"""WITH {D.HISTORY_SQL}, l AS (SELECT *, lag(margin) OVER (PARTITION BY team_id ORDER BY game_date, game_id) AS prev FROM history)
-SELECT team_id, game_id, round(CASE WHEN count(prev) {_over(19)} >= 9 THEN corr(margin, prev) {_over(19)} END, 5) AS autocorr FROM l""")
+SELECT team_id, game_id, round(CASE WHEN count(prev) {_over(19)} >= 9 AND stddev_pop(CASE WHEN prev IS NOT NULL THEN margin END) {_over(19)} > 0 AND stddev_pop(prev) {_over(19)} > 0 THEN corr(margin, prev) {_over(19)} END, 5) AS autocorr FROM l""")
 def w19_margin_autocorrelation(spark, sf_dir):
     h = D.team_history(D.games(spark, sf_dir)).withColumn("prev", F.lag("margin").over(W.by("team_id")))
     w = W.lagged(19, "team_id")
-    return h.select("team_id", "game_id", _r(F.when(F.count("prev").over(w) >= 9, F.corr("margin", "prev").over(w)), "autocorr", 5))
+    now = F.when(F.col("prev").isNotNull(), F.col("margin"))
+    spread = F.nullif(F.stddev_pop(now).over(w) * F.stddev_pop("prev").over(w), F.lit(0.0))  # margins may all be equal
+    return h.select("team_id", "game_id", _r(F.when(F.count("prev").over(w) >= 9, F.covar_pop("margin", "prev").over(w) / spread), "autocorr", 5))
 
 
 @query(f"""WITH {D.GAMES_SQL},

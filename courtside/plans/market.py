@@ -128,7 +128,7 @@ def b6_a14_w11_w26_strategy_pnl(spark, sf_dir):
     c = first_trades(spark, sf_dir).withColumn("total", F.sum("pnl").over(w))
     c = c.withColumn("down", F.col("total") - F.greatest(F.max("total").over(w), F.lit(0.0)))
     return c.groupBy("strategy").agg(
-        F.count("*").alias("n"), _r(F.avg((F.col("pnl") > 0).cast("int")), "win_rate"), _r(F.avg("pnl"), "mean_pnl"), _r(F.sum("pnl"), "total_pnl", 5), _r(F.avg("pnl") / F.stddev_samp("pnl") * F.sqrt(F.count("*")), "sharpe", 5), _r(F.min("down"), "max_drawdown", 5)
+        F.count("*").alias("n"), _r(F.avg((F.col("pnl") > 0).cast("int")), "win_rate"), _r(F.avg("pnl"), "mean_pnl"), _r(F.sum("pnl"), "total_pnl", 5), _r(F.try_divide(F.avg("pnl"), F.stddev_samp("pnl")) * F.sqrt(F.count("*")), "sharpe", 5), _r(F.min("down"), "max_drawdown", 5)
     )
 
 
