@@ -224,21 +224,17 @@ def main_text(html: str | None) -> str:
     least = min(n.density for n in path)
     on_path = {id(n) for n in path}
 
-    def gather(node: Node) -> None:
-        if node is best:
-            return _write(node, out)
-        out.append(" ")
-        for k in node.kids:
-            if isinstance(k, str):
-                if len(" ".join(k.split())) >= least:
-                    out.append(k)
-            elif id(k) in on_path:
-                gather(k)
-            elif k.density >= least or k.tag in HEADINGS:
-                _write(k, out)
-        out.append(" ")
-
-    gather(body)
+    stack: list[Node | str] = [body]
+    while stack:
+        k = stack.pop()
+        if isinstance(k, str):
+            out.append(k)
+        elif k is best or id(k) not in on_path:
+            _write(k, out)
+        else:
+            out.append(" ")
+            stack.append(" ")
+            stack += [x for x in reversed(k.kids) if (len(" ".join(x.split())) >= least if isinstance(x, str) else id(x) in on_path or x.density >= least or x.tag in HEADINGS)]
     return " ".join("".join(out).split())
 
 
