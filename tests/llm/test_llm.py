@@ -1,0 +1,324 @@
+"""The corpus operators against brute-force versions, with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+import base64
+import collections
+import hashlib
+import itertools
+import random
+import re
+
+import duckdb
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from courtside.llm import queries
+from courtside.llm.bpe import decode, encode
+from courtside.llm.components import components
+from courtside.llm.decontaminate import Benchmark, leaks, leaks_of
+from courtside.llm.html_text import extract_text, main_text
+from courtside.llm.line_dedup import dedup_lines, similar_lines
+from courtside.llm.near_dups import near_duplicates
+from courtside.llm.quality_rules import judge_quality, text_stats
+from courtside.llm.secret_scan import candidates, scan_secrets
+from courtside.llm.token_counts import count_tokens
+from courtside.llm.url_filters import judge_urls
+from courtside.llm.warc import _records, id_of, read_warc, resolve_revisits, write_warc
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string"
+#: Null id and text, empty, blank, one word, repeats of a row, white space of all kinds.
+ODD = [(None, "a null id"), (1, None), (2, ""), (3, " \t\n\x0b\f\r "), (4, "word"), (4, "word"), (5, "a b"), (6, "x\x0by\x0cz\r\nend")]
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def long_text(n=30_000):
+    rnd = random.Random(1)
+    return " ".join(f"w{rnd.randrange(3000)}" for _ in range(n))
+
+
+def near(spark, docs, **more):
+    return {r.doc_id: r for r in near_duplicates(spark.createDataFrame(docs, DOCS), **more).collect()}
+
+
+def brute_components(docs, percent, size):
+    def shingles(t):
+        w = [x.lower() for x in WORD.findall(t or "")]
+        return frozenset([tuple(w)]) if 0 < len(w) < size else frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1))
+
+    sets = {i: shingles(t) for i, t in docs}
+    least = {i: i for i in sets}
+
+    def find(a):
+        while least[a] != a:
+            a = least[a]
+        return a
+
+    for a, b in itertools.combinations(sets, 2):
+        both = len(sets[a] & sets[b])
+        if sets[a] and sets[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            a, b = find(a), find(b)
+            least[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def test_near_duplicates_of_large_groups(spark):
+    rnd, vocabulary, docs = random.Random(5), [f"w{i}" for i in range(4000)], []
+    for _ in range(2):
+        base = [rnd.choice(vocabulary) for _ in range(120)]
+        for _ in range(30):
+            words = list(base)
+            for _ in range(rnd.randint(0, 6)):
+                words[rnd.randrange(120)] = rnd.choice(vocabulary[:30] if rnd.random() < 0.5 else vocabulary)
+            docs.append(" ".join(words))
+    docs += [" ".join(rnd.choice(vocabulary) for _ in range(60)) for _ in range(10)] + ["a b", "A  b", "", "x"]
+    docs = list(enumerate(docs))
+    got = near(spark, docs)
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(docs, 85, 3)
+    assert all(r.kept == (i == r.component_id) for i, r in got.items())
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    docs = spark.createDataFrame([(*r, "x") for r in ODD] + [(9, long_text(), "x"), (10, long_text(), "x")], DOCS + ", n_shingles string")
+    got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs).collect()]
+    assert len(got) == docs.count()
+    assert (None, 1, None, True) in got and (1, 0, 1, True) in got and got.count((4, 1, 4, True)) == 2 and [g for g in got if g[0] == 10][0][2:] == (9, False)
+    assert near_duplicates(spark.createDataFrame([], DOCS)).isEmpty()
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(None, 1), (7, 7)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}}
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize(("edits", "hot"), [(1, 16), (2, 2)])
+def test_similar_lines(spark, edits, hot):
+    rnd = random.Random(edits)
+    bases = ["".join(rnd.choice("abé ü") for _ in range(rnd.choice([20, 21, 24, 30]))).strip().ljust(20, "x") for _ in range(8)]
+
+    def edited(x):
+        for _ in range(rnd.randint(0, 3)):
+            i = rnd.randrange(len(x))
+            x = rnd.choice([x[:i] + x[i + 1 :], x[:i] + rnd.choice("abé") + x[i:], x[:i] + rnd.choice("zq") + x[i + 1 :]])
+        return x
+
+    docs = [(i, "\n".join(rnd.choice([edited(rnd.choice(bases)), "short", ""]) for _ in range(rnd.randint(0, 6)))) for i in range(50)]
+    lines = sorted({x.strip() for _, t in docs for x in t.split("\n") if len(x.strip()) >= 20})
+    hashes = {r.x: r.h for r in spark.createDataFrame([(x,) for x in lines], "x string").select("x", F.xxhash64("x").alias("h")).collect()}
+    want = {tuple(sorted((hashes[a], hashes[b]))) for a, b in itertools.combinations(lines, 2) if distance(a, b) <= edits}
+    assert {(r.a, r.b) for r in similar_lines(spark.createDataFrame(docs, DOCS), edits, 20, hot=hot).collect()} == want
+
+
+def test_dedup_lines(spark):
+    menu, own = "Home page of the site menu", "A line that is only here, number {}"
+    docs = [(i, f"{own.format('x' * (3 * i))}\n{menu}{'!' if i == 7 else ''}\nshort") for i in range(12)] + [(20, f"{menu} once\n{menu} once\nshort\nshort"), (21, None), (22, ""), (None, menu)]
+    got = {r.doc_id: r for r in dedup_lines(spark.createDataFrame([(*d, 1) for d in docs], DOCS + ", n_lines int").select("doc_id", "text")).collect()}
+    assert menu in got[0].text and all("menu" not in got[i].text and got[i].n_dropped == 1 for i in range(1, 12))
+    assert got[20].text == f"{menu} once\nshort\nshort" and got[21].text is None and got[22].text == "" and got[None].text == menu
+    assert dedup_lines(spark.createDataFrame([], DOCS)).isEmpty()
+
+
+def test_text_stats_and_rules(spark):
+    rnd = random.Random(3)
+    texts = ["the cat sat the cat sat on the mat", "a a a a a a", "x y z x y z x y", "l\nl\n \nm\nl", "#$% & |", long_text(5000)] + [" ".join(rnd.choice("abc") for _ in range(rnd.randint(0, 40))) for _ in range(30)]
+    docs = ODD + list(enumerate(texts, 100))
+    got = sorted(text_stats(spark.createDataFrame(docs, DOCS)).collect(), key=str)
+
+    def brute(i, t):
+        t = t or ""
+        w = WORD.findall(t)
+        windows = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        count, inside = collections.Counter(windows), set()
+        for k, x in enumerate(windows):
+            if count[x] > 1:
+                inside |= {k, k + 1, k + 2}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        return (i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(inside))
+
+    assert sorted(tuple(r[:6]) for r in got if r[0] is not None) == sorted(brute(*d) for d in docs if d[0] is not None)
+
+
+def test_quality_rules_on_held_out_documents(spark):
+    docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
+    seen = labels.where("doc_id % 2 = 0")
+    judged = judge_quality(docs, seen, F.col("quality") == 0).join(labels.where("doc_id % 2 = 1"), "doc_id")
+    r = judged.where("NOT base_failed").agg(F.count_if((F.col("quality") == 0) & ~F.col("kept")).alias("tp"), F.count_if((F.col("quality") == 1) & ~F.col("kept")).alias("fp"), F.count_if((F.col("quality") == 0) & F.col("kept")).alias("fn")).first()
+    assert r.tp / (r.tp + r.fp) > 0.95 and r.tp / (r.tp + r.fn) > 0.9
+    none = judge_quality(docs.limit(50), labels.limit(0), F.col("quality") == 0)
+    assert none.where("kept = base_failed").isEmpty()
+
+
+def test_token_counts_and_bpe_match_the_library(spark):
+    rnd, letters = random.Random(2), "abAB 'sΣéé́\n\t\x1c<|>1²日😀tT.,!  "
+    texts = [t for _, t in ODD] + ["<|endoftext|>foo<|startoftext|> bar <|endoftext|>", "it's WE'LL !'s", "aaaa aaaaaaaa!!!!", "ab" * 3000, " " * 500, long_text(3000)] + ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 40))) for _ in range(500)]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], DOCS + ", n_tokens int")
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = [len(e.ids) for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    got = {r.doc_id: r for r in count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).collect()}
+    assert [got[i].n_tokens for i in range(len(texts))] == want
+    assert [got[i].n_bytes for i in range(len(texts))] == [len((t or "").encode()) for t in texts]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    encoded = encode(docs, path, decoded=True)
+    rows = {r.doc_id: r for r in encoded.collect()}
+    for i, e in enumerate(library.encode_batch([t or "" for t in texts], add_special_tokens=False)):
+        assert rows[i].ids == e.ids and rows[i].decoded == library.decode(e.ids, skip_special_tokens=False)
+    assert {r.doc_id: r.text for r in decode(encoded, path).collect()} == {i: r.decoded for i, r in rows.items()}
+    assert decode(spark.createDataFrame([(1, None), (2, [99999999, None])], "doc_id long, ids array<int>"), path).where("text <> ''").isEmpty()
+    assert encode(docs.limit(0), path).isEmpty() and count_tokens(docs.limit(0), public_tokenizers.path("word_bpe_49k.json")).isEmpty()
+
+
+def test_url_rules(spark):
+    rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/es/1", "allow"), ("b.example.org", "/es/", "allow"), ("com", "/de/", "block"), ("com", "/de/", "allow"), (None, "/", "block")]
+    urls = ["https://example.org/es/1?x", "http://B.example.org/es/2", "https://a.b.example.org/es/1", "https://xexample.org/es/", "https://org", "https://x.com/de/", "ftp://com/de", "no scheme", "", None, "https://e.net/#a", "a://b://c/d"] + [f"https://h{i}.example.org/{p}" for i in range(30) for p in ("es/1", "es/2", "x")]
+    urls += ["https://x.com/de/"] * 200
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, rule string")
+    got = {r.page_id: r for r in judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+
+    def brute(u):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fits = [(len(h + p), h.count("."), h + p, v == "block", v) for h, p, v in rules if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=None)
+        return (host, path, best[2] if best else None, best[4] if best else "allow")
+
+    assert len(got) == len(urls)
+    for i, u in enumerate(urls):
+        r = got[i]
+        assert (r.host, r.path, r.rule, r.verdict) == brute(u), u
+    assert judge_urls(pages, spark.createDataFrame([], "host string, path string, verdict string")).where("rule IS NOT NULL").isEmpty()
+
+
+def test_main_text(spark):
+    page = """<html><head><title>T</title><style>p{}</style></head><body><div id="top-menu"><a href=/>Home</a> <a href=/b>Blog</a></div><div class="wrap"><div class="left-sidebar"><p>Side text that is
+    long enough to matter.</p></div><div class="content"><h1>Title</h1><p>First &amp; para with a <a href=x>li</a>nk, long   enough to be content.<script>var a = "</p>";</script></p><p>Short.<ul><li>one<li>two</ul>
+    <div class="comments"><p>Reader says hello in a comment.</p></div></div></div><div class="cookie-notice">We use cookies here.</div><form><input name=q><button>Go</button></form><footer>&copy; Corp</footer></body></html>"""
+    assert main_text(page) == "Title First & para with a link, long enough to be content. Short. one two"
+    assert main_text("<nav><a>x</a><article><h1>A</h1>body<br>text</article>") == "A body text"
+    assert main_text("<!-- open <p>x") == main_text(None) == main_text("") == main_text("<p></p>") == ""
+    assert main_text("a &lt;b&gt; &#233;&nbsp;&amp;amp;") == "a <b> é &amp;"
+    assert len(main_text("<p>" + "<div>" * 5000 + "deep")) == 4
+    rows = spark.createDataFrame([(1, "u", page, 0), (1, "u", page, 0), (2, None, None, 0), (None, "u", "<p>x", 0)], "page_id long, url string, html string, text int")
+    assert sorted(extract_text(rows).select(F.length("text")).collect()) == sorted([(73,), (73,), (0,), (1,)])
+
+
+def test_warc_round_trip(spark, tmp_path):
+    html = [(1, "u", "<p>é</p>"), (2, "u\nx", "<p>é</p>"), (3, None, None), (4, "u", ""), (5, "u", "WARC/1.1\r\n\r\nContent-Length: 9\r\n\r\n"), (6, "u", "\r\n\r\n"), (7, "u", "<p>é</p>"), (None, "u", "only")]
+    pages = spark.createDataFrame([(*h, "x") for h in html], "page_id long, url string, html string, payload string")
+    write_warc(pages, f"file://{tmp_path}/w", "page_id", "url", "html")
+    rows = read_warc(spark, f"file://{tmp_path}/w", with_payload=True)
+    assert rows.where("digest_ok = false").isEmpty()
+    got = {r.id: r for r in resolve_revisits(rows).select(id_of(F.col("record_id")).cast("long").alias("id"), "*", id_of(F.col("refers_to_id")).alias("to")).collect()}
+    keep = {}
+    for i, _, h in html:
+        keep[h or ""] = max(keep.get(h or "", -1), -1 if i is None else i)
+    for i, _, h in html:
+        raw, r = (h or "").encode(), got[i]
+        assert r.payload_bytes == len(raw) and r.payload_digest == base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        response = keep[h or ""] in (i, -1)
+        assert (r.record_type, r.to) == (("response", None) if response else ("revisit", str(keep[h or ""])))
+        assert not response or bytes(r.payload) == raw
+    sample = b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    assert [bytes(b) for _, b in _records(sample)] == [b"abc", b""]
+
+
+def test_decontamination(spark):
+    rnd = random.Random(4)
+    items = [(i, " ".join(f"t{rnd.randrange(500)}" for _ in range(40))) for i in range(5)] + [(9, "too short item"), (10, None), (11, "")]
+    words = items[0][1].split()
+    clean = " ".join(f"c{rnd.randrange(900)}" for _ in range(300))
+    docs = [
+        (1, f"{clean} {items[0][1].upper()}, {clean}"),
+        (2, f"{clean} {' '.join(words[20:])} zz {' '.join(words[:20])}"),
+        (3, f"{clean} {' '.join(words[:20])}"),
+        (4, clean),
+        (5, " ".join(x for w in words for x in (w, "gap"))),
+        (6, f"{items[1][1]} {clean} {items[2][1]}"),
+        *ODD,
+    ]
+    frame = spark.createDataFrame([(*d, 1) for d in docs], DOCS + ", coverage int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {(1, 0, 40), (2, 0, 40), (6, 1, 40), (6, 2, 40)}
+    assert {(r.doc_id, r.item_id, r.n_covered) for r in leaks(frame, bench).collect()} == want
+    assert {(r.doc_id, r.item_id, r.n_covered) for r in leaks(frame, bench, block_chars=200).collect()} == want
+    assert leaks(frame, bench.limit(0)).isEmpty() and leaks(frame.limit(0), bench).isEmpty()
+
+
+def test_tiles_match_a_plain_greedy_tiling():
+    rnd = random.Random(6)
+    for _ in range(200):
+        item = [rnd.choice("abc") + rnd.choice("xy") for _ in range(rnd.randint(5, 14))]
+        doc = [rnd.choice(item) if rnd.random() < 0.2 else "q" for _ in range(5)]
+        for _ in range(3):
+            a = rnd.randrange(len(item))
+            doc += item[a : a + rnd.randint(3, 9)] + ["q"] * rnd.randint(0, 1)
+        free_d, free_i, covered = [True] * len(doc), [True] * len(item), 0
+        while True:
+            best = (0, 0, 0)
+            for i, j in itertools.product(range(len(doc)), range(len(item))):
+                n = 0
+                while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n] and free_d[i + n] and free_i[j + n]:
+                    n += 1
+                best = max(best, (n, -i, -j))
+            n, i, j = best[0], -best[1], -best[2]
+            if n < 3:
+                break
+            covered += n
+            free_d[i : i + n], free_i[j : j + n] = [False] * n, [False] * n
+        got = leaks_of(Benchmark([" ".join(item)], 3), pa.array([" ".join(doc)]), 3, 0.01)
+        assert (got[0][3] if got else 0) == covered
+
+
+def test_secret_scan(spark):
+    rnd = random.Random(8)
+    key = lambda n=40: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    docs = [(i, f'some words before token = "{key()}" and after', "src/app") for i in range(40)] + [(100 + i, f"card number {rnd.randrange(10**15, 10**16)} was used here", "src/app") for i in range(40)]
+    docs += [(200 + i, f'api_key: "{key()}" follows', "src") for i in range(10)] + [(*d, None) for d in ODD] + [(300, None, None)]
+    frame = spark.createDataFrame(docs, DOCS + ", source string")
+    got = {r.doc_id: r.is_secret for r in scan_secrets(frame).collect()}
+    assert len(got) == 90 and all(got[i] == (i < 100 or i >= 200) for i in got)
+    assert candidates(frame).count() == 90
+    assert scan_secrets(frame.where("doc_id = 300")).isEmpty()
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as c
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("n_words", F.lit("clash")).withColumn("kept", F.lit("clash"))
+    for name, stage in c.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        path_ids = {r.doc_id for r in out.select("doc_id").collect()}
+        assert path_ids <= {r.doc_id for r in docs.select("doc_id").collect()} and path_ids
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    last = c.STAGES[-1][1](spark, docs, SF)
+    assert last.count() == docs.count() and {"doc_id", "n_tokens", "ids"} <= set(last.columns)
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_against_sql(spark, name):
+    duck = duckdb.connect()
+    for t in ("documents", "pages"):
+        duck.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = duck.execute(queries.SQL[name])
+    columns = sorted(d[0] for d in want.description)
+    rows = [dict(zip([d[0] for d in want.description], r, strict=True)) for r in want.fetchall()]
+    got = queries.QUERIES[name](spark, SF)
+    assert sorted(got.columns) == columns
+    key = lambda r: repr([r[c] for c in columns])
+    assert sorted((key(r.asDict()) for r in got.collect())) == sorted(map(key, rows))
