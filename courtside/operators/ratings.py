@@ -81,3 +81,31 @@ def running_equations(matrix: DataFrame, keys: list[str], day: str) -> DataFrame
     """Daily sums of a season's matrix entries as sums of all earlier days: what a pregame snapshot of each day holds."""
     w = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
     return matrix.withColumn("before", F.sum("value").over(w))
+
+
+def zermelo(wins: DataFrame, group: list[str], iterations: int = 100) -> DataFrame:
+    """(group, i, rating) of Bradley-Terry strengths by Zermelo's iteration, scaled to a mean of one.
+
+    wins: (group, i, j, w), what i won against j; aggregated per pair, so that a group has at most teams squared rows.
+    """
+    kinds = ", ".join(f"{g} {wins.schema[g].dataType.simpleString()}" for g in group)
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        names = sorted({*frame["i"], *frame["j"]})
+        at = {n: k for k, n in enumerate(names)}
+        won = np.zeros((len(names), len(names)))
+        np.add.at(won, (frame["i"].map(at).to_numpy(), frame["j"].map(at).to_numpy()), frame["w"].to_numpy(float))
+        met, total, r = won + won.T, won.sum(axis=1), np.ones(len(names))
+        for _ in range(iterations):
+            below = (met / (r[:, None] + r[None, :])).sum(axis=1)
+            r = np.where(below > 0, total / np.maximum(below, 1e-12), r)
+            r = r / r.mean()
+        return pd.DataFrame({**{g: [frame[g].iloc[0]] * len(names) for g in group}, "i": names, "rating": r})
+
+    return wins.groupBy(*group).applyInPandas(one, f"{kinds}, i long, rating double")
+
+
+def pair_wins(games: DataFrame, group: list[str], home_share: Column) -> DataFrame:
+    """(group, i, j, w): each game's share of a win on either side, summed for each ordered pair."""
+    sides = F.array(F.struct(F.col("home_team_id").alias("i"), F.col("away_team_id").alias("j"), home_share.alias("w")), F.struct(F.col("away_team_id").alias("i"), F.col("home_team_id").alias("j"), (1 - home_share).alias("w")))
+    return games.select(*group, F.explode(sides).alias("x")).select(*group, "x.*").groupBy(*group, "i", "j").agg(F.sum("w").alias("w"))

@@ -85,3 +85,34 @@ def schedule_components(edges):
         labels = new.drop("moved")
         if new.where("moved").isEmpty():
             return labels
+
+
+@query(f"""WITH {D.GAMES_SQL}, s AS (SELECT season, home_team_id AS i, away_team_id AS j, CAST(home_pts > away_pts AS DOUBLE) AS w FROM games UNION ALL SELECT season, away_team_id, home_team_id, CAST(home_pts < away_pts AS DOUBLE) FROM games)
+SELECT season, i, j, sum(w) AS w FROM s GROUP BY 1, 2, 3""")
+def r7_pair_wins(spark, sf_dir):
+    g = D.games(spark, sf_dir)
+    return R.pair_wins(g, ["season"], (F.col("home_pts") > F.col("away_pts")).cast("double"))
+
+
+@query()
+def r7_win_ratings(spark, sf_dir):
+    """Strengths from wins alone."""
+    wins = R.pair_wins(D.games(spark, sf_dir), ["season"], (F.col("home_pts") > F.col("away_pts")).cast("double"))
+    return R.zermelo(wins, ["season"]).select("season", F.col("i").alias("team_id"), F.round("rating", 6).alias("rating"))
+
+
+@query()
+def r7_margin_ratings(spark, sf_dir):
+    """Strengths from the logistic of margins capped at 20."""
+    margin = F.least(F.lit(20), F.greatest(F.lit(-20), F.col("home_pts") - F.col("away_pts")))
+    wins = R.pair_wins(D.games(spark, sf_dir), ["season"], 1 / (1 + F.exp(-margin / 7.0)))
+    return R.zermelo(wins, ["season"]).select("season", F.col("i").alias("team_id"), F.round("rating", 6).alias("rating"))
+
+
+@query()
+def r8_root_margin_ratings(spark, sf_dir):
+    """Least squares on the signed root of margins capped at 16, with a bonus for the winner."""
+    margin = F.col("home_pts") - F.col("away_pts")
+    y = F.signum(margin.cast("double")) * (F.sqrt(F.least(F.abs(margin), F.lit(16)).cast("double")) + F.sqrt(F.lit(2.0)))
+    matrix, side = R.normal_equations(R.entries(D.games(spark, sf_dir), ["season"], y), ["season"])
+    return R.solve(matrix, side, ["season"]).select("season", F.col("i").alias("team_id"), F.round("rating", 6).alias("rating"))

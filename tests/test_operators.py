@@ -87,3 +87,9 @@ def test_scalars(spark):
 def test_cusum_and_exponential_mean(spark):
     got = spark.range(1).select(W.cusum_peak(F.array(*[F.lit(x) for x in (1.0, 1.0, 0.0)]), F.lit(0.5)).alias("c"), W.exponential_mean(F.array(F.lit(1.0), F.lit(3.0)), 0.5).alias("e")).first()
     assert got.c == pytest.approx(0.5) and got.e == pytest.approx((0.5 * 1 + 3) / 1.5)
+
+
+def test_zermelo_orders_teams_by_strength(spark):
+    g = games(spark, [(k, 1, day(k), a, b, 2.0, 1.0) for k, (a, b) in enumerate([(1, 2), (1, 2), (2, 1), (2, 3), (3, 2), (2, 3), (1, 3)])])
+    got = {r.i: r.rating for r in ratings.zermelo(ratings.pair_wins(g, ["season"], (F.col("home_pts") > F.col("away_pts")).cast("double")), ["season"]).collect()}
+    assert got[1] > got[2] > got[3] and sum(got.values()) / 3 == pytest.approx(1)
