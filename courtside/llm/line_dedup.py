@@ -58,8 +58,18 @@ def segment_keys(line: Column, n: Column, edits: int, *group: Column) -> list[Co
     return out
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def alike(a: Column, b: Column, edits: int) -> Column:
-    """Whether two arrays of characters are within ``edits`` of each other.
+    """Whether two strings are within ``edits`` of each other."""
+    return _let(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b")), lambda x: _alike(x["a"], x["b"], edits))
+
+
+def _alike(a: Column, b: Column, edits: int) -> Column:
+    """The same of two arrays of characters.
 
     Bit k of word e says that the characters of b so far fit those of a up to k - edits further, with e errors at most.
     """
@@ -67,12 +77,17 @@ def alike(a: Column, b: Column, edits: int) -> Column:
     first = F.struct(*[F.lit(sum(1 << k for k in range(edits, edits + e + 1)) & band).alias(f"e{e}") for e in range(edits + 1)])
 
     def step(state: Column, j: Column) -> Column:
-        char = F.get(b, j)
+        return _let(F.get(b, j), lambda char: stepped(state, j, char))
+
+    def stepped(state: Column, j: Column, char: Column) -> Column:
         same = F.lit(0)
         for k in range(2 * edits + 1):
             at = j + (k - edits)
             fits = F.when(at >= 0, F.coalesce(F.get(a, F.greatest(at, F.lit(0))) == char, F.lit(False))).otherwise(F.lit(False))
             same = same.bitwiseOR(F.when(fits, F.lit(1 << k)).otherwise(F.lit(0)))
+        return _let(same, lambda same: moved(state, same))
+
+    def moved(state: Column, same: Column) -> Column:
         words = [state["e0"].bitwiseAND(same)]
         for e in range(1, edits + 1):
             less = state[f"e{e - 1}"]
@@ -99,7 +114,7 @@ def _found(at: Column, length: Column, n: Column) -> Column:
     return (at >= 1) & (length > 0) & (at + length - 1 <= n)
 
 
-def similar_lines(docs: DataFrame, edits: int, min_chars: int, id_col: str = "doc_id", text_col: str = "text", hot: int = 16, broadcast_ids: int = 2_000_000) -> DataFrame:
+def similar_lines(docs: DataFrame, edits: int, min_chars: int, id_col: str = "doc_id", text_col: str = "text", hot: int = 32, broadcast_ids: int = 2_000_000) -> DataFrame:
     """a, b (hashes of distinct lines), doc_a, doc_b (their first documents): all pairs within ``edits``, each once."""
     lines = _lines(docs, id_col, text_col, min_chars)
     specs = probes(edits)
@@ -131,43 +146,33 @@ def similar_lines(docs: DataFrame, edits: int, min_chars: int, id_col: str = "do
     found = [crossed(index.join(many, "key", "left_anti"), probe)]
 
     if not many.isEmpty():
-        index, probe = (materialize(x.join(many, "key"), "hot-lines") for x in (index, probe))
-        texts = fetched(index.select("h", F.col("doc").alias("doc_id")).unionByName(probe.select("h", F.col("doc").alias("doc_id"))))
-        n, line = F.length("line"), F.col("line")
-
-        def cut(rows: DataFrame, count: int) -> DataFrame:
-            """The rows with, as ``line``, what is left without the substring of their key."""
-            left, d = line, F.lit(0)
-            for k, (diff, i, shift) in enumerate(specs[:count]):
-                start, length = segments(n - diff, edits)[i]
-                left = F.when(F.col("spec") == k, _without(line, start + shift, length)).otherwise(left)
-                d = F.when(F.col("spec") == k, F.lit(diff)).otherwise(d)
-            return rows.select("key", "h", "doc", left.alias("line"), d.alias("d"))
-
-        index, probe = (materialize(cut(x.join(texts, "h"), c), "hot-rests") for x, c in ((index, own), (probe, len(specs))))
+        rows = index.withColumn("own", F.lit(True)).unionByName(probe.withColumn("own", F.lit(False))).join(many, "key")
+        rows = materialize(rows, "hot-lines")
+        texts = fetched(rows.select("h", F.col("doc").alias("doc_id")))
+        n, line, d = F.length("line"), F.col("line"), F.col("d")
+        # the rows with, as line, what is left without the substring of their key
+        left, diff_of = line, F.lit(0)
+        for k, (diff, i, shift) in enumerate(specs):
+            start, length = segments(n - diff, edits)[i]
+            left = F.when(F.col("spec") == k, _without(line, start + shift, length)).otherwise(left)
+            diff_of = F.when(F.col("spec") == k, F.lit(diff)).otherwise(diff_of)
+        rows = rows.join(texts, "h").select("own", "key", "h", "doc", left.alias("line"), diff_of.alias("d"))
         while True:
-            # groups whose rests are too short to be cut give all their pairs: so few characters can differ
-            found.append(crossed(index.where(n <= edits), probe.where(n - F.col("d") <= edits)))
-            next_index, next_probe = [], []
+            made = []
             for diff, i, shift in specs:
                 start, length = segments(n - diff, edits)[i]
                 at = start + shift
-                made = F.struct(F.xxhash64("key", n - diff, F.lit(i), F.substring(line, at, length)).alias("key"), _without(line, at, length).alias("line"))
-                made = F.when((n - diff > edits) & _found(at, length, n), made)
-                if diff == 0 and shift == 0:
-                    next_index.append(made)
-                next_probe.append(F.when(F.col("d") == diff, made))
-            index, probe = (
-                materialize(
-                    x.select("h", "doc", "d", F.explode(F.array_distinct(F.array(*made))).alias("x")).where("x IS NOT NULL").select("x.key", "h", "doc", "x.line", "d").distinct(), "hot-rests"
-                )
-                for x, made in ((index, next_index), (probe, next_probe))
-            )
-            many = materialize(index.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("key"), "hot-segments")
-            found.append(crossed(index.join(many, "key", "left_anti"), probe))
+                part = F.struct(F.xxhash64("key", n - diff, F.lit(i), F.substring(line, at, length)).alias("key"), _without(line, at, length).alias("line"), F.lit(False).alias("last"))
+                made.append(F.when((n - d > edits) & (d == diff) & _found(at, length, n) & (~F.col("own") | F.lit(diff == 0 and shift == 0)), part))
+            # rests too short to be cut give all pairs of their group: so few characters can differ
+            made.append(F.when(n - d <= edits, F.struct(F.xxhash64("key", F.lit(-1)).alias("key"), F.lit("").alias("line"), F.lit(True).alias("last"))))
+            rows = rows.select("own", "h", "doc", "d", F.explode(F.array_compact(F.array(*made))).alias("x")).select("own", "x.key", "h", "doc", "x.line", "d", "x.last").distinct()
+            rows = materialize(rows, "hot-rests")
+            many = materialize(rows.where("own AND NOT last").groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("key"), "hot-segments")
+            found.append(crossed(rows.where("own").join(many, "key", "left_anti"), rows.where("NOT own")))
             if many.isEmpty():
                 break
-            index, probe = (materialize(x.join(many, "key"), "hot-rests") for x in (index, probe))
+            rows = rows.join(many, "key").drop("last")
 
     pairs = found[0]
     for more in found[1:]:
@@ -176,7 +181,6 @@ def similar_lines(docs: DataFrame, edits: int, min_chars: int, id_col: str = "do
     texts = fetched(pairs.select(F.col("a").alias("h"), F.col("doc_a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("h"), F.col("doc_b").alias("doc_id"))))
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("ta")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("tb")), "b")
     both = both.where(F.abs(F.length("ta") - F.length("tb")) <= edits)
-    both = both.select("a", "b", "doc_a", "doc_b", F.split("ta", "").alias("ta"), F.split("tb", "").alias("tb"))
     return both.where(alike(F.col("ta"), F.col("tb"), edits)).select("a", "b", "doc_a", "doc_b")
 
 
