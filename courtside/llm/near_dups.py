@@ -6,10 +6,10 @@ slot. Steps are taken for all elements of a batch at once; as later steps only g
 soon as all its slots are filled, after one or two steps for long texts.
 
 Equal sets are one class from here on, represented by their least id. Bands of the representatives' signatures make
-buckets. A small bucket gives all its pairs. In a large one all members are compared with one pivot for each round,
-unless they are in its component already, so that a group of near copies costs its size and not its square. What a few
-rounds leave apart in a bucket is compared in full, but for pairs that the distances to pivots exclude (Jaccard distance
-is a metric). Every pair is verified on full sets; 64-bit hashes stand for shingles. Components by ``components``.
+buckets. A small bucket gives all its pairs. In a large one all members are compared with a pivot, so that a group of
+near copies costs its size and not its square; members that this leaves in unlike components are compared if they share
+enough of what tells them from the pivot (``_sharing``), which loses no link. Every pair is verified on full sets; 64-bit
+hashes stand for shingles. Components by ``components``.
 
 With 6 rows in 24 bands a pair at similarity 0.85 shares no bucket with probability 1e-5, at 0.9 with 2e-8.
 
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtside.llm.components import components
@@ -115,6 +115,34 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
     return got.mapInArrow(run, f"doc_id {got.schema['doc_id'].dataType.simpleString()}, shingles array<long>")
 
 
+def _sharing(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of members (p, np, x, nx, c) of one pivot that may be linked though their components differ.
+
+    Let d(x) be the symmetric difference of the sets of x and its pivot; that of x and y is the one of d(x) and d(y).
+    Linked x and y differ in t = (nx + ny) * (100 - percent) / (100 + percent) elements at most, so d(x) and d(y) share
+    (|d(x)| + |d(y)| - t) / 2 or more. If that is none, both are linked with the pivot and are in one component. Else they
+    share an element among the rarest |d| - that + 1 of either, rarest first in the pivot's group; near copies, which
+    differ from their pivot in elements of their own, are not paired at all.
+    """
+    own = members.join(sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("sx")), "x").where("size(sx) = nx")
+    both = own.join(sets.select(F.col("doc_id").alias("p"), F.col("shingles").alias("sp")), "p").where("size(sp) = np")
+    ratio = (100 - percent) / (100 + percent)
+    d = both.select("p", "x", "nx", "c", F.concat(F.array_except("sx", "sp"), F.array_except("sp", "sx")).alias("d")).where("size(d) > 0")
+    d = d.select("p", "x", "nx", "c", F.size("d").alias("size"), F.explode("d").alias("e"))
+    d = materialize(d, "differences")
+    often = d.groupBy("p", "e").agg(F.count("*").alias("often")).where("often > 1")  # an element of one member pairs it with none
+    d = d.join(often, ["p", "e"], "left").withColumn("r", F.row_number().over(Window.partitionBy("p", "x").orderBy(F.coalesce("often", F.lit(1)), "e")))
+    # linked sets' sizes are within percent of each other, so t is at most this
+    d = d.where("often IS NOT NULL").where(F.col("r") <= F.col("nx") * ratio * (1 + 100 / percent) + 1)
+    d = materialize(d.select("p", "e", "r", "x", "nx", "c", "size"), "rare-differences")
+    y = d.select("p", "e", F.col("r").alias("rb"), F.col("x").alias("b"), F.col("nx").alias("nb"), F.col("c").alias("cb"), F.col("size").alias("db"))
+    share = F.greatest(F.lit(1), F.ceil((F.col("size") + F.col("db") - ratio * (F.col("nx") + F.col("nb"))) / 2 - 1e-9))
+    fits = (F.col("x") < F.col("b")) & (F.col("c") != F.col("cb")) & (100 * F.least("nx", "nb") >= percent * F.greatest("nx", "nb")) & (F.col("r") <= F.col("size") - share + 1) & (F.col("rb") <= F.col("db") - share + 1)
+    d, y = d.alias("d"), y.alias("y")
+    found = d.join(y, (F.col("d.p") == F.col("y.p")) & (F.col("d.e") == F.col("y.e")) & fits)
+    return found.select(F.col("x").alias("a"), "b", F.col("nx").alias("na"), "nb").distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     percent: int = 85,
@@ -124,8 +152,7 @@ def near_duplicates(
     rows: int = 6,
     bands: int = 24,
     small: int = 8,
-    rounds: int = 4,
-    broadcast_ids: int = 2_000_000,
+    broadcast_ids: int = 500_000,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row: documents are linked at ``100 * intersection >= percent * union``."""
     spark = docs.sparkSession
@@ -161,39 +188,19 @@ def near_duplicates(
     y = x.select("bucket", F.col("x").alias("b"), F.col("nx").alias("nb"))
     pairs = x.select("bucket", F.col("x").alias("a"), F.col("nx").alias("na")).join(y, "bucket").where("a < b").where(fitting).select("a", "b", "na", "nb")
     large = members.where(F.col("n") > small)
-    open_ = large.withColumn("c", F.col("x"))
-    pivots = None
-    tested = None
-    links = None
-    for k in range(rounds + 1):
-        if k < rounds:
-            head = open_.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("x", F.lit(k)).alias("h"), "x", "nx", "c")).alias("p"))
-            stars = open_.join(head, "bucket").where("x <> p.x AND c <> p.c").select(F.col("p.x").alias("a"), F.col("x").alias("b"), F.col("p.nx").alias("na"), F.col("nx").alias("nb"))
-            stars = stars.where(fitting)
-            new = (pairs.unionByName(stars) if k == 0 else stars).distinct()
-        else:
-            # what is still apart in a bucket: all pairs that no pivot excludes
-            left = open_.select("bucket", F.col("x").alias("a"), F.col("nx").alias("na"), F.col("c").alias("ca"))
-            right = open_.select("bucket", F.col("x").alias("b"), F.col("nx").alias("nb"), F.col("c").alias("cb"))
-            new = left.join(right, "bucket").where("a < b AND ca <> cb").where(fitting).select("a", "b", "na", "nb").distinct()
-            away = F.lit(1.0) - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-            far = tested.select("a", "b", away.alias("d"))
-            far = far.unionByName(far.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).groupBy("a").agg(F.map_from_entries(F.collect_set(F.struct("b", "d"))).alias("d"))
-            new = new.join(far.select("a", F.col("d").alias("da")), "a", "left").join(far.select(F.col("a").alias("b"), F.col("d").alias("db")), "b", "left")
-            apart = F.exists(F.map_keys("da"), lambda p: F.abs(F.element_at("da", p) - F.element_at("db", p)) > 1.0 - percent / 100 + 1e-9)
-            new = new.where(~F.coalesce(apart, F.lit(False))).select("a", "b", "na", "nb")
-        if tested is not None:
-            new = new.join(tested.select("a", "b"), ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        got = materialize(measured(new), "measured")
-        tested = got if tested is None else tested.unionByName(got)
-        links = components(tested.where(linked).select("a", "b"))
-        links = materialize(links, "components")
-        if k < rounds:
-            state = large.join(links.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component")
-            split = state.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-            open_ = materialize(state.join(split, "bucket"), "open-buckets")
-            if open_.isEmpty():
-                break
+    # each large bucket's members against one pivot; a group of near copies shares its pivot over its buckets
+    pivot = large.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("x").alias("h"), "x", "nx")).alias("p"))
+    starred = materialize(large.join(pivot, "bucket").select(F.col("p.x").alias("p"), F.col("p.nx").alias("np"), "x", "nx").distinct(), "stars")
+    stars = starred.where("x <> p").select(F.col("p").alias("a"), F.col("x").alias("b"), F.col("np").alias("na"), F.col("nx").alias("nb")).where(fitting)
+    tested = materialize(measured(pairs.unionByName(stars).distinct()), "measured")
+    links = materialize(components(tested.where(linked).select("a", "b")), "components")
+    apart = starred.join(links.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component")
+    split = apart.groupBy("p").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("p")
+    apart = materialize(apart.join(split, "p"), "apart")
+    if not apart.isEmpty():
+        more = measured(_sharing(apart, sets, percent).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        tested = tested.unionByName(materialize(more, "measured"))
+        links = materialize(components(tested.where(linked).select("a", "b")), "components")
 
     named = classes.select(*same, "rep").join(links.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", *same).join(named, same, "left")
