@@ -114,7 +114,7 @@ def _found(at: Column, length: Column, n: Column) -> Column:
     return (at >= 1) & (length > 0) & (at + length - 1 <= n)
 
 
-def similar_lines(docs: DataFrame, edits: int, min_chars: int, id_col: str = "doc_id", text_col: str = "text", hot: int = 32, broadcast_ids: int = 2_000_000) -> DataFrame:
+def similar_lines(docs: DataFrame, edits: int, min_chars: int, id_col: str = "doc_id", text_col: str = "text", hot: int = 32, broadcast_ids: int = 500_000) -> DataFrame:
     """a, b (hashes of distinct lines), doc_a, doc_b (their first documents): all pairs within ``edits``, each once."""
     lines = _lines(docs, id_col, text_col, min_chars)
     specs = probes(edits)
