@@ -9,8 +9,7 @@ Only hashes move: keys for distinct lines, and texts of candidates. Where many l
 group are not made: the members' remaining characters (without that segment) are joined again in the same way, within
 the group, until groups are small. A line's class is that of the least line alike (by first document, then hash).
 
-A line is dropped if an earlier line of its document has its class, or if its class is in ``min_docs`` documents and
-its document isn't the class's first. Lines are compared without white space at their ends; those with fewer than
+A line is dropped if an earlier line of its document has its class, or if its document isn't the class's first. Lines are compared without white space at their ends; those with fewer than
 ``min_chars`` characters are left alone.
 
 Defined results: a null text stays null and an empty one empty. Rows that share an id are one document whose lines
@@ -184,7 +183,7 @@ def similar_lines(docs: DataFrame, edits: int, min_chars: int, id_col: str = "do
     return both.where(alike(F.col("ta"), F.col("tb"), edits)).select("a", "b", "doc_a", "doc_b")
 
 
-def dedup_lines(docs: DataFrame, edits: int = 1, min_chars: int = 20, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text", broadcast_docs: int = 500_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = 1, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", broadcast_docs: int = 500_000) -> DataFrame:
     """The documents with ``text`` without repeated lines, and n_lines, n_repeated (lines with a line alike elsewhere), n_dropped."""
     alike_ = materialize(similar_lines(docs, edits, min_chars, id_col, text_col), "similar-lines")
     sides = alike_.unionByName(alike_.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("doc_b").alias("doc_a"), F.col("doc_a").alias("doc_b")))
@@ -194,11 +193,11 @@ def dedup_lines(docs: DataFrame, edits: int = 1, min_chars: int = 20, min_docs:
     placed = _lines(docs, id_col, text_col, min_chars).select("doc_id", "pos", "h").join(named, "h", "left").select("doc_id", "pos", F.coalesce("class", "h").alias("class"))
     # each class that occurs again: one row of each document and class first
     counted = placed.groupBy("class", "doc_id").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos")).groupBy("class")
-    repeated = counted.agg(F.sum("n").alias("n"), F.count("*").alias("docs"), F.min("doc_id").alias("first_doc")).where("n > 1").drop("n")
+    repeated = counted.agg(F.sum("n").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1").drop("n")
     repeated = materialize(repeated, "repeated-classes")
-    again = placed.join(repeated, "class").groupBy("doc_id", "class", "docs", "first_doc").agg(F.collect_list("pos").alias("at"))
-    everywhere = (F.col("docs") >= min_docs) & (F.col("doc_id") != F.col("first_doc"))
-    drops = again.select("doc_id", "at", F.when(everywhere, F.col("at")).otherwise(F.filter("at", lambda p: p != F.array_min("at"))).alias("drop"))
+    again = placed.join(repeated, "class").groupBy("doc_id", "class", "first_doc").agg(F.collect_list("pos").alias("at"))
+    later = F.col("doc_id") != F.col("first_doc")
+    drops = again.select("doc_id", "at", F.when(later, F.col("at")).otherwise(F.filter("at", lambda p: p != F.array_min("at"))).alias("drop"))
     drops = drops.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("drop"))).alias("__drop"), F.sum(F.size("at")).cast("long").alias("__again"))
     drops = materialize(drops.withColumnRenamed("doc_id", "__id"), "line-drops")
     hint = F.broadcast(drops) if drops.count() <= broadcast_docs else drops  # else both sides are shuffled

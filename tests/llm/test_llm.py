@@ -131,6 +131,13 @@ def test_dedup_lines(spark):
     assert dedup_lines(spark.createDataFrame([], DOCS)).isEmpty()
 
 
+def test_lines_of_two_documents_are_repeats(spark):
+    passage = " ".join(f"word{i}" for i in range(60))
+    docs = [(1, f"the first text of its own\n{passage}"), (2, f"{passage}\nanother beginning, found here only"), (3, f"{passage}\n{passage}")]
+    got = {r.doc_id: (r.text, r.n_repeated, r.n_dropped) for r in dedup_lines(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == {1: (docs[0][1], 1, 0), 2: ("another beginning, found here only", 1, 1), 3: ("", 2, 2)}
+
+
 def test_text_stats_and_rules(spark):
     rnd = random.Random(3)
     texts = ["the cat sat the cat sat on the mat", "a a a a a a", "x y z x y z x y", "l\nl\n \nm\nl", "#$% & |", long_text(5000)] + [" ".join(rnd.choice("abc") for _ in range(rnd.randint(0, 40))) for _ in range(30)]
