@@ -35,9 +35,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; those of whose characters less than half is left were repeats, and go."""
+    """Documents without repeated lines; those of which only white space is left were repeats, and go."""
     cleaned = dedup_lines(_packed(docs))
-    cleaned = cleaned.where((F.col("n_dropped") == 0) | (2 * F.length("text") >= F.length("__row.text")))
+    cleaned = cleaned.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
     row = F.col("__row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("__row.n_chars")))

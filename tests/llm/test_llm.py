@@ -138,6 +138,15 @@ def test_lines_of_two_documents_are_repeats(spark):
     assert got == {1: (docs[0][1], 1, 0), 2: ("another beginning, found here only", 1, 1), 3: ("", 2, 2)}
 
 
+def test_pipeline_keeps_what_is_left_of_documents(spark):
+    import corpus_pipeline as c
+
+    shared, own = " ".join(f"word{i}" for i in range(60)), "a short text of its own that no other document has"
+    docs = [(1, shared, 1), (2, f"{shared}\n{own}", 1), (3, f"{shared}\n \t", 1), (4, "", 1), (None, shared, 1)]
+    got = c.line_dedup(spark, spark.createDataFrame(docs, DOCS + ", n_chars int"), SF).collect()
+    assert {tuple(r) for r in got} == {(1, shared, 1), (2, own, len(own)), (4, "", 1), (None, shared, 1)}
+
+
 def test_text_stats_and_rules(spark):
     rnd = random.Random(3)
     texts = ["the cat sat the cat sat on the mat", "a a a a a a", "x y z x y z x y", "l\nl\n \nm\nl", "#$% & |", long_text(5000)] + [" ".join(rnd.choice("abc") for _ in range(rnd.randint(0, 40))) for _ in range(30)]
