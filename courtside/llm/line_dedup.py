@@ -7,9 +7,10 @@ bit-parallel automaton: one bit for each diagonal and one word for each number o
 
 Only hashes move: keys for distinct lines, and texts of candidates. Where many lines share a segment, the pairs of its
 group are not made: the members' remaining characters (without that segment) are joined again in the same way, within
-the group, until groups are small. A line's class is that of the least line alike (by first document, then hash).
+the group, until groups are small.
 
-A line is dropped if an earlier line of its document has its class, or if its document isn't the class's first. Lines are compared without white space at their ends; those with fewer than
+A line is dropped if a line alike is in a document before its own, or further up in its own, whether that one is dropped
+or not: in a chain of lines alike only those stay that have none before them. Lines are compared without white space at their ends; those with fewer than
 ``min_chars`` characters are left alone.
 
 Defined results: a null text stays null and an empty one empty. Rows that share an id are one document whose lines
@@ -186,19 +187,18 @@ def similar_lines(docs: DataFrame, edits: int, min_chars: int, id_col: str = "do
 def dedup_lines(docs: DataFrame, edits: int = 1, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", broadcast_docs: int = 500_000) -> DataFrame:
     """The documents with ``text`` without repeated lines, and n_lines, n_repeated (lines with a line alike elsewhere), n_dropped."""
     alike_ = materialize(similar_lines(docs, edits, min_chars, id_col, text_col), "similar-lines")
-    sides = alike_.unionByName(alike_.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("doc_b").alias("doc_a"), F.col("doc_a").alias("doc_b")))
-    named = sides.groupBy(F.col("a").alias("h")).agg(F.min(F.struct(F.col("doc_b").alias("doc"), F.col("b").alias("h"))).alias("other"), F.min(F.struct(F.col("doc_a").alias("doc"), F.col("a").alias("h"))).alias("self"))
-    named = materialize(named.select("h", F.least("other", "self")["h"].alias("class")), "line-classes")
-
-    placed = _lines(docs, id_col, text_col, min_chars).select("doc_id", "pos", "h").join(named, "h", "left").select("doc_id", "pos", F.coalesce("class", "h").alias("class"))
-    # each class that occurs again: one row of each document and class first
-    counted = placed.groupBy("class", "doc_id").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos")).groupBy("class")
-    repeated = counted.agg(F.sum("n").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1").drop("n")
-    repeated = materialize(repeated, "repeated-classes")
-    again = placed.join(repeated, "class").groupBy("doc_id", "class", "first_doc").agg(F.collect_list("pos").alias("at"))
-    later = F.col("doc_id") != F.col("first_doc")
-    drops = again.select("doc_id", "at", F.when(later, F.col("at")).otherwise(F.filter("at", lambda p: p != F.array_min("at"))).alias("drop"))
-    drops = drops.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("drop"))).alias("__drop"), F.sum(F.size("at")).cast("long").alias("__again"))
+    sides = alike_.select("a", "b").unionByName(alike_.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+    # of each line that occurs again or has a line alike: its number and its first place, then those with its neighbours
+    placed = _lines(docs, id_col, text_col, min_chars).select("doc_id", "pos", "h")
+    place = F.struct("doc_id", "pos")
+    stated = placed.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    stated = stated.join(sides.select(F.col("a").alias("h"), F.lit(True).alias("linked")).distinct(), "h", "left").where("n > 1 OR linked")
+    stated = materialize(stated.select("h", "first"), "repeated-lines")
+    near = sides.join(stated.select(F.col("h").alias("b"), "first"), "b").groupBy(F.col("a").alias("h")).agg(F.min("first").alias("near"))
+    repeated = materialize(stated.join(near, "h", "left").select("h", F.least("first", "near").alias("first")), "first-places")
+    again = placed.join(repeated, "h").select("doc_id", "pos", (place > F.col("first")).alias("drop"))
+    drops = again.groupBy("doc_id").agg(F.collect_list(F.when(F.col("drop"), F.col("pos"))).alias("__drop"), F.count("*").alias("__again"))
     drops = materialize(drops.withColumnRenamed("doc_id", "__id"), "line-drops")
     hint = F.broadcast(drops) if drops.count() <= broadcast_docs else drops  # else both sides are shuffled
 

@@ -138,6 +138,26 @@ def test_lines_of_two_documents_are_repeats(spark):
     assert got == {1: (docs[0][1], 1, 0), 2: ("another beginning, found here only", 1, 1), 3: ("", 2, 2)}
 
 
+def test_dedup_lines_of_chains(spark):
+    rnd, base = random.Random(4), "a line that many documents share"
+
+    def edited(x):
+        i = rnd.randrange(len(x) // 2, len(x))
+        return x[:i] + rnd.choice("XY") + x[i + 1 :]
+
+    menu = [base, edited(base)]
+    menu += [edited(x) for x in menu for _ in range(3)]
+    docs = [(1, "01234567890123456789abc"), (2, "01234567890123456789abd"), (3, "01234567890123456789aed")]
+    docs += [(i, "\n".join(rnd.choice([*menu, "short"]) for _ in range(rnd.randint(1, 4)))) for i in range(10, 40)]
+    places = [(i, k, x) for i, t in docs for k, x in enumerate(t.split("\n")) if len(x) >= 20]
+    near = {(x, y): distance(x, y) <= 1 for x in {p[2] for p in places} for y in {p[2] for p in places}}
+    gone = {p[:2] for p in places if any(q[:2] < p[:2] and near[p[2], q[2]] for q in places)}
+    again = collections.Counter(p[0] for p in places if any(q[:2] != p[:2] and near[p[2], q[2]] for q in places))
+    want = {i: ("\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone), again[i]) for i, t in docs}
+    assert {r.doc_id: (r.text, r.n_repeated) for r in dedup_lines(spark.createDataFrame(docs, DOCS)).collect()} == want
+    assert want[3] == ("", 1)
+
+
 def test_pipeline_keeps_what_is_left_of_documents(spark):
     import corpus_pipeline as c
 
