@@ -1,6 +1,8 @@
 """Secret scan with a random forest that removes false findings.
 
-A candidate is a run of at least ``min_chars`` key characters with a digit inside a word. Its features are length, shares
+A candidate is each run of at least ``min_chars`` key characters with a digit inside a word, and each run of at least
+``min_named`` of them, with or without a digit, that is assigned to a key-like name (``password=...``), in its own word
+or with the name in the one or two words before it. Its features are length, shares
 of character classes, entropy, transitions (class changes, and the mean log-probability of its letter pairs under the
 corpus's own dictionary), the share that dictionary words cover, the path of the document and the words around it. The
 dictionary is counted over all documents. A forest (Spark ML) is fitted on labelled findings and scores all candidates.
@@ -30,25 +32,43 @@ NAMES = r"(?i)(?:token|secret|passw(?:or)?d|api_?-?key|access_?-?key|private_?-?
 PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|your[_-]?|xxxx|0000000|1234567"
 EXAMPLES = r"(?i)(?:^|[/_.-])(?:test|tests|example|examples|sample|mock|fixture|doc|docs)(?:$|[/_.-])"
 _KEY = r"[A-Za-z0-9_+/=-]"
+#: A key-like name up to its end, and the sign between it and its value.
+_NAMED = NAMES + r"[A-Za-z0-9_-]{0,20}"
+_ASSIGN = r"[\"'`]?\s*(?:=>|:=|[=:])\s*[\"'`(\[{]*"
 FEATURES = ["n_chars", "digits", "uppers", "lowers", "others", "entropy", "changes", "hex", "pair_logp", "covered", "in_examples", "path_depth", "named", "assigned", "quoted", "next_word"]
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", min_chars: int = 16) -> DataFrame:
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", min_chars: int = 16, min_named: int = 6) -> DataFrame:
     """doc_id, path, pos (the word's number), candidate, word, before (three words), after."""
     got = docs.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    got = got.where(F.col("text").rlike(rf"[0-9]{_KEY}{{0,{min_chars - 1}}}{_KEY}|{_KEY}[0-9]")).select("doc_id", "path", F.split("text", r"\s+").alias("w"))
-    found = F.filter(
-        F.transform("w", lambda x, i: F.struct(i.alias("pos"), x.alias("word"), F.when(x.rlike(r"[0-9]"), F.regexp_extract(x, rf"{_KEY}{{{min_chars},}}", 0)).alias("candidate"))),
-        lambda s: F.coalesce((F.length(s["candidate"]) >= min_chars) & s["candidate"].rlike("[0-9]"), F.lit(False)),
-    )
-    got = got.select("doc_id", "path", "w", F.explode(found).alias("x"))
-    return got.select("doc_id", "path", "x.pos", "x.candidate", "x.word", F.array_join(F.slice("w", F.greatest(F.col("x.pos") - 2, F.lit(1)), F.least(F.lit(3), F.col("x.pos"))), " ").alias("before"), F.coalesce(F.get("w", F.col("x.pos") + 1), F.lit("")).alias("after"))
-
-
-def dictionary(docs: DataFrame, text_col: str = "text", min_count: int = 20, max_words: int = 20_000) -> DataFrame:
-    """word, n: the corpus's ``max_words`` most frequent words of four or more letters, counted over all texts."""
+    long = rf"{_KEY}{{{min_chars},}}"
+    some = (F.col("text").rlike(long) & F.col("text").rlike("[0-9]")) | F.col("text").rlike(rf"{_NAMED}{_ASSIGN}{_KEY}{{{min_named},}}")
+    got = got.where(some).select("doc_id", "path", F.split("text", r"\s+").alias("w"))
+    pair = rf"{_NAMED}{_ASSIGN}({_KEY}{{{min_named},}})"
+
+    def may_hold(x: Column, i: Column) -> Column:
+        valued = x.rlike(rf"{_KEY}{{{min_named},}}") & (F.coalesce(F.get("w", i - 1).rlike(r"[=:>][\"'`(\[{]*$"), F.lit(False)) | x.rlike("^[=:]"))
+        return (x.rlike(long) & x.rlike("[0-9]")) | x.rlike(pair) | valued
+
+    words = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("pos"), F.when(may_hold(x, i), x).alias("word"))), lambda s: s["word"].isNotNull())
+    got = got.select("doc_id", "path", "w", F.explode(words).alias("x")).select("doc_id", "path", "w", "x.pos", "x.word")
+    got = got.withColumn("before", F.array_join(F.slice("w", F.greatest(F.col("pos") - 2, F.lit(1)), F.least(F.lit(3), F.col("pos"))), " ")).withColumn("after", F.coalesce(F.get("w", F.col("pos") + 1), F.lit(""))).drop("w")
+    # the value of an assignment: the first run after the sign, whatever its length up to min_chars
+    inside = F.regexp_extract_all("word", F.lit(pair), F.lit(1))
+    across = F.when(F.col("before").rlike(rf"{_NAMED}{_ASSIGN}$"), F.regexp_extract("word", rf"^[\"'`(\[{{]*({_KEY}{{{min_named},}})", 1)).otherwise(F.lit(""))
+    across = F.when((across == "") & F.col("before").rlike(rf"{_NAMED}[\"'`]?$"), F.regexp_extract("word", rf"^(?:=>|:=|[=:])[\"'`(\[{{]*({_KEY}{{{min_named},}})", 1)).otherwise(across)
+    runs = F.filter(F.regexp_extract_all("word", F.lit(long), F.lit(0)), lambda x: x.rlike("[0-9]"))
+    named = F.filter(F.concat(inside, F.array(across)), lambda x: (F.length(x) >= min_named) & ~F.exists(runs, lambda r: r.contains(x)))
+    got = got.withColumn("candidate", F.explode(F.array_distinct(F.concat(runs, named))))
+    return got.select("doc_id", "path", "pos", "candidate", "word", "before", "after")
+
+
+def dictionary(docs: DataFrame, text_col: str = "text", per_million: float = 2.0) -> DataFrame:
+    """word, n: the corpus's words of four or more letters that are at least ``per_million`` of a million of them, and occur twice at least."""
     words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), r"[^a-z]+")).alias("word")).where(F.length("word") >= 4)
-    return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_count).orderBy(F.desc("n"), "word").limit(max_words)
+    counted = materialize(words.groupBy("word").agg(F.count("*").alias("n")), "word-counts")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    return counted.where((F.col("n") >= 2) & (F.col("n") * 1e6 >= per_million * total))
 
 
 def letter_pairs(words: DataFrame) -> DataFrame:
@@ -69,7 +89,7 @@ def featured(found: DataFrame, words: DataFrame) -> DataFrame:
     c = F.col("candidate")
     distinct = found.select("candidate").distinct()
     parts = distinct.select("candidate", F.explode(F.filter(F.split(F.lower("candidate"), "[^a-z]+"), lambda x: F.length(x) >= 4)).alias("word"))
-    covered = parts.join(F.broadcast(words.select("word")), "word").groupBy("candidate").agg(F.sum(F.length("word")).alias("in_words"))
+    covered = parts.join(words.select("word"), "word").groupBy("candidate").agg(F.sum(F.length("word")).alias("in_words"))
     once = distinct.join(covered, "candidate", "left").crossJoin(F.broadcast(letter_pairs(words)))  # one row of at most 676 entries
     chars = F.split("candidate", "")
     letters = F.regexp_replace(F.lower("candidate"), "[^a-z]", "")
