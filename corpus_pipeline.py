@@ -65,7 +65,7 @@ def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("line dedup", line_dedup), ("near-dedup", near_dedup), ("decontamination", decontaminate), ("BPE", encode_bpe)]
 
-#: Near-dedup, tiling and BPE have no SQL form; tests hold each stage against a brute-force version.
+#: Near-dedup, tiling and BPE have no SQL form; tests of the operators hold them against brute-force versions.
 ORACLE_SQL = None
 
 
