@@ -144,8 +144,8 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
-    """The records with, for revisits, the length of the payload of the response that they refer to."""
-    responses = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("payload_digest").alias("original_digest"), F.col("payload_bytes").alias("original_bytes")).dropDuplicates(["refers_to_id"])
-    revisits = records.where("record_type = 'revisit'").join(responses, "refers_to_id", "left")
+    """The records with, for revisits, the length of the payload of the response that they refer to; null where none has their digest."""
+    responses = records.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id"), "payload_digest").agg(F.max("payload_bytes").alias("original_bytes"))
+    revisits = records.where("record_type = 'revisit'").join(responses, ["refers_to_id", "payload_digest"], "left")
     plain = records.where("record_type <> 'revisit'")
-    return plain.unionByName(revisits.withColumn("payload_bytes", F.col("original_bytes")).where("original_digest IS NULL OR original_digest = payload_digest").drop("original_digest", "original_bytes"))
+    return plain.unionByName(revisits.withColumn("payload_bytes", F.col("original_bytes")).drop("original_bytes"))

@@ -273,6 +273,13 @@ def test_warc_round_trip(spark, tmp_path):
     assert [bytes(b) for _, b in _records(sample)] == [b"abc", b""]
 
 
+def test_warc_revisits_of_one_id_with_two_payloads(spark):
+    rows = [("a", "response", "x", 3, None), ("a", "response", "y", 5, None), ("b", "revisit", "x", None, "a"), ("c", "revisit", "y", None, "a"), ("d", "revisit", "z", None, "a")]
+    records = spark.createDataFrame(rows, "record_id string, record_type string, payload_digest string, payload_bytes long, refers_to_id string")
+    got = resolve_revisits(records).where("record_type = 'revisit'").collect()
+    assert {r.record_id: r.payload_bytes for r in got} == {"b": 3, "c": 5, "d": None}
+
+
 def test_decontamination(spark):
     rnd = random.Random(4)
     items = [(i, " ".join(f"t{rnd.randrange(500)}" for _ in range(40))) for i in range(5)] + [(9, "too short item"), (10, None), (11, "")]
