@@ -6,10 +6,13 @@ slot. Steps are taken for all elements of a batch at once; as later steps only g
 soon as all its slots are filled, after one or two steps for long texts.
 
 Equal sets are one class from here on, represented by their least id. Bands of the representatives' signatures make
-buckets. A small bucket gives all its pairs. In a large one all members are compared with a pivot, so that a group of
-near copies costs its size and not its square; members that this leaves in unlike components are compared if they share
-enough of what tells them from the pivot (``_sharing``), which loses no link. Every pair is verified on full sets; 64-bit
-hashes stand for shingles. Components by ``components``.
+buckets. A small bucket gives all its pairs. In a large one all members are compared with its most central one (whose
+buckets are the fullest), so that a group of near copies costs its size and not its square. Those that it isn't linked
+with get a central member of their own to be compared with, again and again while that links an eighth of them. Members
+that this leaves in unlike components are compared if they share enough of what tells them from the first pivot
+(``_sharing``), which loses no link. Every pair is verified on full sets, in which 64-bit hashes stand for shingles: two
+of the n shingles of a pair of texts share one with probability n * n / 2**65, 3e-8 for a million. Components by
+``components``.
 
 With 6 rows in 24 bands a pair at similarity 0.85 shares no bucket with probability 1e-5, at 0.9 with 2e-8.
 
@@ -115,6 +118,20 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
     return got.mapInArrow(run, f"doc_id {got.schema['doc_id'].dataType.simpleString()}, shingles array<long>")
 
 
+def _with_set(rows: DataFrame, key: str, other: str, sets: DataFrame, out: str, parts: int = 2000) -> DataFrame:
+    """rows with the set of ``key`` as ``out``.
+
+    A key that more than one of ``parts`` rows has (there are fewer than ``parts`` of them, so they can be broadcast) is
+    dealt over several tasks by ``other``, and its set goes to each.
+    """
+    total = rows.count()
+    hot = rows.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__c")).where(F.col("__c") * parts > total).where("__c > 64")
+    hot = materialize(hot.select("__key", F.ceil(F.col("__c") * parts / max(1, total)).cast("int").alias("__parts")), "hot-keys")
+    left = rows.join(F.broadcast(hot), F.col(key) == F.col("__key"), "left").withColumn("__part", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(other), "__parts")).cast("int"))
+    right = sets.join(F.broadcast(hot), F.col("doc_id") == F.col("__key"), "left").select(F.col("doc_id").alias(key), F.col("shingles").alias(out), F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)).alias("__part"))
+    return left.drop("__key", "__parts").join(right, [key, "__part"]).drop("__part")
+
+
 def _sharing(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, na, nb) of members (p, np, x, nx, c) of one pivot that may be linked though their components differ.
 
@@ -122,22 +139,25 @@ def _sharing(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     Linked x and y differ in t = (nx + ny) * (100 - percent) / (100 + percent) elements at most, so d(x) and d(y) share
     (|d(x)| + |d(y)| - t) / 2 or more. If that is none, both are linked with the pivot and are in one component. Else they
     share an element among the rarest |d| - that + 1 of either, rarest first in the pivot's group; near copies, which
-    differ from their pivot in elements of their own, are not paired at all.
+    differ from their pivot in elements of their own, are not paired at all. As Jaccard distance is a metric, those whose
+    distances from the pivot differ by more than a link's are not either.
     """
     own = members.join(sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("sx")), "x").where("size(sx) = nx")
-    both = own.join(sets.select(F.col("doc_id").alias("p"), F.col("shingles").alias("sp")), "p").where("size(sp) = np")
+    both = _with_set(materialize(own, "members"), "p", "x", sets, "sp").where("size(sp) = np")
     ratio = (100 - percent) / (100 + percent)
-    d = both.select("p", "x", "nx", "c", F.concat(F.array_except("sx", "sp"), F.array_except("sp", "sx")).alias("d")).where("size(d) > 0")
-    d = d.select("p", "x", "nx", "c", F.size("d").alias("size"), F.explode("d").alias("e"))
+    d = both.select("p", "np", "x", "nx", "c", F.concat(F.array_except("sx", "sp"), F.array_except("sp", "sx")).alias("d")).where("size(d) > 0")
+    far = 2 * F.size("d") / (F.col("nx") + F.col("np") + F.size("d"))
+    d = d.select("p", "x", "nx", "c", far.alias("far"), F.size("d").alias("size"), F.explode("d").alias("e"))
     d = materialize(d, "differences")
     often = d.groupBy("p", "e").agg(F.count("*").alias("often")).where("often > 1")  # an element of one member pairs it with none
     d = d.join(often, ["p", "e"], "left").withColumn("r", F.row_number().over(Window.partitionBy("p", "x").orderBy(F.coalesce("often", F.lit(1)), "e")))
     # linked sets' sizes are within percent of each other, so t is at most this
     d = d.where("often IS NOT NULL").where(F.col("r") <= F.col("nx") * ratio * (1 + 100 / percent) + 1)
-    d = materialize(d.select("p", "e", "r", "x", "nx", "c", "size"), "rare-differences")
-    y = d.select("p", "e", F.col("r").alias("rb"), F.col("x").alias("b"), F.col("nx").alias("nb"), F.col("c").alias("cb"), F.col("size").alias("db"))
+    d = materialize(d.select("p", "e", "r", "x", "nx", "c", "far", "size"), "rare-differences")
+    y = d.select("p", "e", F.col("r").alias("rb"), F.col("x").alias("b"), F.col("nx").alias("nb"), F.col("c").alias("cb"), F.col("far").alias("farb"), F.col("size").alias("db"))
     share = F.greatest(F.lit(1), F.ceil((F.col("size") + F.col("db") - ratio * (F.col("nx") + F.col("nb"))) / 2 - 1e-9))
     fits = (F.col("x") < F.col("b")) & (F.col("c") != F.col("cb")) & (100 * F.least("nx", "nb") >= percent * F.greatest("nx", "nb")) & (F.col("r") <= F.col("size") - share + 1) & (F.col("rb") <= F.col("db") - share + 1)
+    fits &= F.abs(F.col("far") - F.col("farb")) <= (100 - percent) / 100 + 1e-9
     d, y = d.alias("d"), y.alias("y")
     found = d.join(y, (F.col("d.p") == F.col("y.p")) & (F.col("d.e") == F.col("y.e")) & fits)
     return found.select(F.col("x").alias("a"), "b", F.col("nx").alias("na"), "nb").distinct()
@@ -176,30 +196,54 @@ def near_duplicates(
 
     def measured(pairs: DataFrame) -> DataFrame:
         """pairs (a, b, na, nb) with both, the size of the intersection."""
-        left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
+        pairs = materialize(pairs.distinct(), "pairs")
         right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-        got = pairs.join(right, "b").where("size(sb) = nb").join(left, "a").where("size(sa) = na")
-        return got.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("both")).groupBy("a", "b", "na", "nb").agg(F.max("both").alias("both"))
+        got = _with_set(pairs, "a", "b", sets, "sa").where("size(sa) = na").join(right, "b").where("size(sb) = nb")
+        return materialize(got.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("both")).groupBy("a", "b", "na", "nb").agg(F.max("both").alias("both")), "measured")
 
     fitting = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
     linked = F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("both"))
 
+    def stars(rows: DataFrame, pivot: str, size: str) -> DataFrame:
+        return rows.where(F.col("x") != F.col(pivot)).select(F.col(pivot).alias("a"), F.col("x").alias("b"), F.col(size).alias("na"), F.col("nx").alias("nb")).where(fitting)
+
+    def central(rows: DataFrame, group: str, weight: DataFrame) -> DataFrame:
+        """group, q, nq, n: the member (x, nx) of each group that has most weight, and how many there are."""
+        best = rows.join(weight, "x").groupBy(group).agg(F.max(F.struct("w", F.xxhash64("x").alias("h"), "x", "nx")).alias("m"), F.count("*").alias("n"))
+        return best.select(group, F.col("m.x").alias("q"), F.col("m.nx").alias("nq"), "n")
+
     x = members.where(F.col("n") <= small)
     y = x.select("bucket", F.col("x").alias("b"), F.col("nx").alias("nb"))
     pairs = x.select("bucket", F.col("x").alias("a"), F.col("nx").alias("na")).join(y, "bucket").where("a < b").where(fitting).select("a", "b", "na", "nb")
-    large = members.where(F.col("n") > small)
-    # each large bucket's members against one pivot; a group of near copies shares its pivot over its buckets
-    pivot = large.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("x").alias("h"), "x", "nx")).alias("p"))
-    starred = materialize(large.join(pivot, "bucket").select(F.col("p.x").alias("p"), F.col("p.nx").alias("np"), "x", "nx").distinct(), "stars")
-    stars = starred.where("x <> p").select(F.col("p").alias("a"), F.col("x").alias("b"), F.col("np").alias("na"), F.col("nx").alias("nb")).where(fitting)
-    tested = materialize(measured(pairs.unionByName(stars).distinct()), "measured")
-    links = materialize(components(tested.where(linked).select("a", "b")), "components")
-    apart = starred.join(links.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component")
-    split = apart.groupBy("p").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("p")
-    apart = materialize(apart.join(split, "p"), "apart")
+    # a large bucket's members against its pivot; a group of near copies mostly shares one over all its buckets
+    large = members.where(F.col("n") > small).select("bucket", "x", "nx")
+    pivots = central(large, "bucket", members.groupBy("x").agg(F.sum("n").alias("w"))).select("bucket", F.col("q").alias("p"), F.col("nq").alias("np"))
+    starred = materialize(large.join(pivots, "bucket").select("p", "np", "x", "nx").distinct(), "stars")
+    tested = measured(pairs.unionByName(stars(starred, "p", "np")))
+
+    def grouped() -> tuple[DataFrame, DataFrame]:
+        """The components so far, and the members (p, np, x, nx, c, cp) of pivots that they split; c and cp name components."""
+        links = materialize(components(tested.where(linked).select("a", "b")), "components")
+        apart = starred.join(links.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component")
+        split = apart.groupBy("p").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.when(F.col("x") == F.col("p"), F.col("c"))).alias("cp")).where("lo < hi").select("p", "cp")
+        return links, materialize(apart.join(split, "p"), "apart")
+
+    links, apart = grouped()
+    before = None
+    while True:
+        rest = materialize(apart.where("c <> cp").select("p", "x", "nx"), "rest")
+        left = rest.count()
+        if left <= small or (before is not None and 8 * left > 7 * before):
+            break
+        before = left
+        near = members.join(rest.select("x").distinct(), "x", "left_semi").select("bucket", "x")
+        weight = near.join(near.groupBy("bucket").agg(F.count("*").alias("m")), "bucket").groupBy("x").agg(F.sum("m").alias("w"))
+        more = stars(rest.join(central(rest, "p", weight).where(F.col("n") > small), "p"), "q", "nq")
+        tested = tested.unionByName(measured(more.join(tested.select("a", "b"), ["a", "b"], "left_anti")))
+        links, apart = grouped()
     if not apart.isEmpty():
-        more = measured(_sharing(apart, sets, percent).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-        tested = tested.unionByName(materialize(more, "measured"))
+        more = _sharing(apart.drop("cp"), sets, percent).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        tested = tested.unionByName(measured(more))
         links = materialize(components(tested.where(linked).select("a", "b")), "components")
 
     named = classes.select(*same, "rep").join(links.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
