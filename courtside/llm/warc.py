@@ -6,6 +6,9 @@ whole record, and the sink's line separator is the empty line pair that ends a r
 file, record by record by its Content-Length, and checks payload digests. ``resolve_revisits`` joins the revisit records
 read to the responses they refer to.
 
+An archive holds about ``file_bytes`` of payloads: a task with more deals its records to several archives by a hash of
+their ids, so that a reader of one, which holds it whole, needs that much and the largest record.
+
 Defined results: a null payload is empty. Records are equal if their payloads are, from ``min_bytes`` on; then the one
 with the largest id is the response and the others revisit it. Rows that repeat that id and payload are responses all.
 A null id is the least of all. Empty tables write no archives. Other columns of the input are not read.
@@ -61,11 +64,17 @@ def id_of(urn: Column) -> Column:
     return F.nullif(F.regexp_extract(urn, r"^<urn:x-record:([^>]*)>$", 1), F.lit("null"))
 
 
-def write_warc(records: DataFrame, path: str, id_col: str, url_col: str, payload_col: str, min_bytes: int = 0, records_per_file: int = 4096, broadcast_rows: int = 200_000) -> None:
+def _archives(rows: DataFrame, file_bytes: int) -> int:
+    """How many archives a task writes, by the payload bytes of the task that has most of them."""
+    tasks = rows.select(F.spark_partition_id().alias("task"), F.octet_length("payload").alias("n")).groupBy("task").agg(F.sum("n").alias("n"))
+    return max(1, -(-(tasks.agg(F.max("n")).first()[0] or 0) // file_bytes))
+
+
+def write_warc(records: DataFrame, path: str, id_col: str, url_col: str, payload_col: str, min_bytes: int = 0, file_bytes: int = 64_000_000, broadcast_rows: int = 200_000) -> None:
     """Write one record for each row: a response with an HTTP head and the payload, or a revisit without a body.
 
     Up to ``broadcast_rows`` repeated digests (of about 100 bytes each) go to the tasks, and no payload is shuffled;
-    beyond, payloads are joined by digest. records_per_file bounds what a reader of one file holds.
+    beyond, payloads are joined by digest. Records are dated by the time of writing.
     """
     one_line = lambda c: F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"[\r\n]+", " ")
     rows = records.select(F.col(id_col).alias("id"), one_line(F.col(url_col)).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload")).withColumn("payload_digest", base32_sha1(F.col("payload")))
@@ -79,7 +88,7 @@ def write_warc(records: DataFrame, path: str, id_col: str, url_col: str, payload
         F.lit(f"{_CRLF}WARC-Record-ID: "),
         record_urn(F.col("id")),
         F.lit(f"{_CRLF}WARC-Date: "),
-        F.date_format(F.lit("2024-01-01 00:00:00").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
         F.lit(f"{_CRLF}WARC-Target-URI: "),
         F.col("url"),
         F.lit(f"{_CRLF}WARC-Payload-Digest: sha1:"),
@@ -88,8 +97,13 @@ def write_warc(records: DataFrame, path: str, id_col: str, url_col: str, payload
         F.lit(f"{_CRLF}Content-Type: application/http; msgtype=response{_CRLF}Content-Length: "),
     )
     block = F.when(revisit, F.lit("")).otherwise(F.concat(http, F.col("payload")))
-    lines = found.select(F.concat(head, F.octet_length(block).cast("string"), F.lit(_CRLF * 2), block).alias("value"))
-    lines.write.option("lineSep", _CRLF * 2).option("maxRecordsPerFile", records_per_file).text(path)
+    value = F.concat(head, F.octet_length(block).cast("string"), F.lit(_CRLF * 2), block).alias("value")
+    archives = _archives(found, file_bytes)
+    if archives == 1:
+        found.select(value).write.option("lineSep", _CRLF * 2).text(path)
+    else:  # a task writes its archives one after the other, sorted by their number
+        dealt = found.select(value, F.pmod(F.xxhash64("id", "url"), F.lit(archives)).cast("int").alias("archive"))
+        dealt.write.option("lineSep", _CRLF * 2).partitionBy("archive").text(path)
 
 
 def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

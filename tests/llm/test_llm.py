@@ -273,6 +273,23 @@ def test_warc_round_trip(spark, tmp_path):
     assert [bytes(b) for _, b in _records(sample)] == [b"abc", b""]
 
 
+def test_warc_archives_are_bounded_by_bytes(spark, tmp_path):
+    rows = [(i, "u", chr(97 + i % 26) * (200_000 + i)) for i in range(100)] + [(200, "u", "z" * 5_000_000), (201, "u", "z" * 5_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    write_warc(pages, f"file://{tmp_path}/w", "page_id", "url", "html", file_bytes=1_000_000)
+    assert max(x.stat().st_size for x in (tmp_path / "w").rglob("*.txt")) < 8_000_000
+    got = resolve_revisits(read_warc(spark, f"file://{tmp_path}/w"))
+    assert sorted((int(r.id), r.payload_bytes) for r in got.select(id_of(F.col("record_id")).alias("id"), "payload_bytes").collect()) == [(i, len(h)) for i, _, h in rows]
+
+
+def test_warc_rows_of_one_id_with_unlike_payloads_stay(spark, tmp_path):
+    rows = [(5, "u", "A"), (5, "u", "B"), (1, "u", "A"), (2, "u", "B"), (2, "u", "B")]
+    write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w", "page_id", "url", "html")
+    records = read_warc(spark, f"file://{tmp_path}/w")
+    got = resolve_revisits(records).select(id_of(F.col("record_id")).cast("int").alias("id"), "record_type", "payload_bytes", id_of(F.col("refers_to_id")).alias("to")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(5, "response", 1, None)] * 2 + [(1, "revisit", 1, "5")] + [(2, "revisit", 1, "5")] * 2, key=str)
+
+
 def test_warc_revisits_of_one_id_with_two_payloads(spark):
     rows = [("a", "response", "x", 3, None), ("a", "response", "y", 5, None), ("b", "revisit", "x", None, "a"), ("c", "revisit", "y", None, "a"), ("d", "revisit", "z", None, "a")]
     records = spark.createDataFrame(rows, "record_id string, record_type string, payload_digest string, payload_bytes long, refers_to_id string")
