@@ -1,21 +1,24 @@
 """Line dedup: a segment-partition edit join of all lines, then removal of repeats.
 
-Two lines are alike within ``edits`` = t character edits. Cut in t + 1 segments, one of them must occur unchanged in a
-line alike, shifted by what the edits before and after it allow; so each distinct line is indexed by its segments, and
+Two lines are alike within t character edits, t being given by the shorter one's length (``edits``: pairs of a length
+and the t of lines of that many characters or more). Cut in t + 1 segments, one of them must occur unchanged in a line
+alike, shifted by what the edits before and after it allow; so each distinct line is indexed by its segments, and
 probes the indexes of its own and of up to t smaller lengths with those substrings. Candidates are verified by a banded
 bit-parallel automaton: one bit for each diagonal and one word for each number of errors, a step for each character.
 
 Only hashes move: keys for distinct lines, and texts of candidates. Where many lines share a segment, the pairs of its
 group are not made: the members' remaining characters (without that segment) are joined again in the same way, within
-the group, until groups are small.
+the group, until groups are small. Lines of one group whose rests are of t characters at most are all alike; each is
+paired with the first of them only.
 
 A line is dropped if a line alike is in a document before its own, or further up in its own, whether that one is dropped
-or not: in a chain of lines alike only those stay that have none before them. Lines are compared without white space at their ends; those with fewer than
-``min_chars`` characters are left alone.
+or not: in a chain of lines alike only those stay that have none before them. Lines are compared without white space at
+their ends; those with fewer than ``min_chars`` characters are left alone.
 
 Defined results: a null text stays null and an empty one empty. Rows that share an id are one document whose lines
 carry on; dropping takes the same line numbers from each of them. Rows with a null id are returned as they are. Tables
-without lines give their rows back. Other columns are kept.
+without lines give their rows back. Other columns are kept, but for those that have a result's name (n_lines,
+n_repeated, n_dropped), which the result replaces.
 """
 
 from __future__ import annotations
@@ -26,6 +29,9 @@ from pyspark.sql import functions as F
 from courtside.shared import materialize
 
 _BLANK = " \t\x0b\f\r"
+#: (characters, edits): lines of 20 characters or more are alike within one edit, those of 80 or more within two.
+EDITS = ((20, 1), (80, 2))
+Edits = tuple[tuple[int, int], ...]
 
 
 def segments(n: Column, edits: int) -> list[tuple[Column, Column]]:
@@ -47,14 +53,29 @@ def probes(edits: int) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda x: (x[0] != 0 or x[2] != 0, x))
 
 
-def segment_keys(line: Column, n: Column, edits: int, *group: Column) -> list[Column]:
-    """A 64-bit key for each of ``probes``; null where the line is too short for it. Lengths and groups are part of a key."""
+def _of_length(n: Column, edits: Edits, low: int) -> Column:
+    """Whether the band of ``edits`` that starts at ``low`` is that of n characters."""
+    above = [at for at, _ in edits if at > low]
+    return (n >= low) & (n < min(above)) if above else n >= low
+
+
+def _specs(edits: Edits) -> list[tuple[int, int, int, int, int]]:
+    """(band's start, its edits, length difference, segment, shift) of all probes; a line's own segments first."""
+    return sorted(((low, t, *probe) for low, t in edits for probe in probes(t)), key=lambda x: (x[2] != 0 or x[4] != 0, x))
+
+
+def _own(spec: tuple[int, int, int, int, int]) -> bool:
+    return spec[2] == 0 and spec[4] == 0
+
+
+def segment_keys(line: Column, n: Column, edits: Edits) -> list[Column]:
+    """A 64-bit key for each of ``_specs``; null where it isn't one of the line's. Lengths are part of a key."""
     out = []
-    for d, i, shift in probes(edits):
-        start, length = segments(n - d, edits)[i]
+    for low, t, d, i, shift in _specs(edits):
+        start, length = segments(n - d, t)[i]
         at = start + shift
-        fits = (length > 0) & (at >= 1) & (at + length - 1 <= n)
-        out.append(F.when(fits, F.xxhash64(n - d, F.lit(i), *group, F.substring(line, at, length))))
+        fits = _of_length(n - d, edits, low) & (length > 0) & (at >= 1) & (at + length - 1 <= n)
+        out.append(F.when(fits, F.xxhash64(n - d, F.lit(i), F.substring(line, at, length))))
     return out
 
 
@@ -114,29 +135,35 @@ def _found(at: Column, length: Column, n: Column) -> Column:
     return (at >= 1) & (length > 0) & (at + length - 1 <= n)
 
 
-def similar_lines(docs: DataFrame, edits: int, min_chars: int, id_col: str = "doc_id", text_col: str = "text", hot: int = 32, broadcast_ids: int = 500_000) -> DataFrame:
-    """a, b (hashes of distinct lines), doc_a, doc_b (their first documents): all pairs within ``edits``, each once."""
+def similar_lines(docs: DataFrame, edits: Edits = EDITS, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", hot: int = 32, broadcast_rows: int = 200_000) -> DataFrame:
+    """a, b (hashes of distinct lines): pairs of lines alike, each once.
+
+    Among lines that differ in a few characters at one place, only pairs with the one that occurs first are sure to be there.
+    """
     lines = _lines(docs, id_col, text_col, min_chars)
-    specs = probes(edits)
-    own = edits + 1  # the first of specs are a line's own segments
+    specs = _specs(edits)
+    own = sum(map(_own, specs))  # the first of specs are a line's own segments
     names = [f"k{i}" for i in range(len(specs))]
-    keyed = lines.select("doc_id", "h", "g", "n", *[k.alias(c) for c, k in zip(names, segment_keys(F.col("line"), F.col("n"), edits), strict=True)])
-    distinct = keyed.groupBy("h", "g", "n").agg(F.min("doc_id").alias("doc"), *[F.max(c).alias(c) for c in names])
+    keyed = lines.select("h", "g", "n", F.struct("doc_id", "pos").alias("at"), *[k.alias(c) for c, k in zip(names, segment_keys(F.col("line"), F.col("n"), edits), strict=True)])
+    distinct = keyed.groupBy("h", "g", "n").agg(F.min("at").alias("at"), *[F.max(c).alias(c) for c in names])
     distinct = materialize(distinct.drop("g", "n"), "line-keys")
 
     def exploded(count: int) -> DataFrame:
-        keys = F.explode(F.array(*[F.struct(F.col(c).alias("key"), F.lit(i).alias("spec")) for i, c in enumerate(names[:count])]))
-        return distinct.select("h", "doc", keys.alias("x")).select("x.key", "x.spec", "h", "doc").where("key IS NOT NULL")
+        keys = F.explode(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("key"), F.lit(i).alias("spec"))) for i, c in enumerate(names[:count])])))
+        return distinct.select("h", "at", keys.alias("x")).select("x.key", "x.spec", "h", "at")
 
-    def crossed(index: DataFrame, probe: DataFrame) -> DataFrame:
-        got = index.select("key", F.col("h").alias("a"), F.col("doc").alias("doc_a")).join(probe.select("key", F.col("h").alias("b"), F.col("doc").alias("doc_b")), "key").where("a <> b")
+    def ordered(rows: DataFrame) -> DataFrame:
+        """Rows (a, b, at_a, at_b) with a < b."""
         first = F.col("a") < F.col("b")
-        return got.select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(n) for n, x, y in (("a", "a", "b"), ("b", "b", "a"), ("doc_a", "doc_a", "doc_b"), ("doc_b", "doc_b", "doc_a"))])
+        return rows.where("a <> b").select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(n) for n, x, y in (("a", "a", "b"), ("b", "b", "a"), ("at_a", "at_a", "at_b"), ("at_b", "at_b", "at_a"))])
+
+    def crossed(index: DataFrame, probe: DataFrame) -> DataFrame:
+        return ordered(index.select("key", F.col("h").alias("a"), F.col("at").alias("at_a")).join(probe.select("key", F.col("h").alias("b"), F.col("at").alias("at_b")), "key"))
 
     def fetched(wanted: DataFrame) -> DataFrame:
-        """h, line of the lines (h, doc_id) wanted, from their first documents."""
-        wanted = materialize(wanted.distinct(), "wanted-lines")
-        hint = F.broadcast if wanted.count() <= broadcast_ids else (lambda d: d)  # beyond, both sides are shuffled
+        """h, line of the lines (h, at) wanted, from their first places."""
+        wanted = materialize(wanted.select("h", F.col("at.doc_id").alias("doc_id")).distinct(), "wanted-lines")
+        hint = F.broadcast if wanted.count() <= broadcast_rows else (lambda d: d)  # beyond, both sides are shuffled
         some = docs.join(hint(wanted.select(F.col("doc_id").alias(id_col)).distinct()), id_col, "left_semi")
         texts = _lines(some, id_col, text_col, min_chars).join(hint(wanted), ["h", "doc_id"], "left_semi")
         return materialize(texts.groupBy("h").agg(F.first("line").alias("line")), "line-texts")
@@ -148,43 +175,54 @@ def similar_lines(docs: DataFrame, edits: int, min_chars: int, id_col: str = "do
     if not many.isEmpty():
         rows = index.withColumn("own", F.lit(True)).unionByName(probe.withColumn("own", F.lit(False))).join(many, "key")
         rows = materialize(rows, "hot-lines")
-        texts = fetched(rows.select("h", F.col("doc").alias("doc_id")))
+        texts = fetched(rows.select("h", "at"))
         n, line, d = F.length("line"), F.col("line"), F.col("d")
-        # the rows with, as line, what is left without the substring of their key
-        left, diff_of = line, F.lit(0)
-        for k, (diff, i, shift) in enumerate(specs):
-            start, length = segments(n - diff, edits)[i]
-            left = F.when(F.col("spec") == k, _without(line, start + shift, length)).otherwise(left)
-            diff_of = F.when(F.col("spec") == k, F.lit(diff)).otherwise(diff_of)
-        rows = rows.join(texts, "h").select("own", "key", "h", "doc", left.alias("line"), diff_of.alias("d"))
+        # the rows with, as line, what is left without the substring of their key; t edits may be in it
+        cut = None
+        for k, (_, t, diff, i, shift) in enumerate(specs):
+            start, length = segments(n - diff, t)[i]
+            part = F.struct(_without(line, start + shift, length).alias("line"), F.lit(diff).alias("d"), F.lit(t).alias("t"), F.lit(shift != 0).alias("moved"))
+            cut = F.when(F.col("spec") == k, part) if cut is None else cut.when(F.col("spec") == k, part)
+        rows = rows.join(texts, "h").select("own", "key", "h", "at", cut.alias("x")).select("own", "key", "h", "at", "x.*")
         while True:
             made = []
-            for diff, i, shift in specs:
-                start, length = segments(n - diff, edits)[i]
-                at = start + shift
-                part = F.struct(F.xxhash64("key", n - diff, F.lit(i), F.substring(line, at, length)).alias("key"), _without(line, at, length).alias("line"), F.lit(False).alias("last"))
-                made.append(F.when((n - d > edits) & (d == diff) & _found(at, length, n) & (~F.col("own") | F.lit(diff == 0 and shift == 0)), part))
-            # rests too short to be cut give all pairs of their group: so few characters can differ
-            made.append(F.when(n - d <= edits, F.struct(F.xxhash64("key", F.lit(-1)).alias("key"), F.lit("").alias("line"), F.lit(True).alias("last"))))
-            rows = rows.select("own", "h", "doc", "d", F.explode(F.array_compact(F.array(*made))).alias("x")).select("own", "x.key", "h", "doc", "x.line", "d", "x.last").distinct()
+            for t in {t for _, t in edits}:
+                for diff, i, shift in probes(t):
+                    start, length = segments(n - diff, t)[i]
+                    at = start + shift
+                    part = F.struct(F.xxhash64("key", n - diff, F.lit(i), F.substring(line, at, length)).alias("key"), _without(line, at, length).alias("line"), (F.col("moved") | F.lit(shift != 0)).alias("moved"), F.lit(False).alias("last"))
+                    made.append(F.when((F.col("t") == t) & (n - d > t) & (d == diff) & _found(at, length, n) & (~F.col("own") | F.lit(diff == 0 and shift == 0)), part))
+            made.append(F.when(n - d <= F.col("t"), F.struct(F.xxhash64("key", F.lit(-1)).alias("key"), F.lit("").alias("line"), F.col("moved"), F.lit(True).alias("last"))))
+            rows = rows.select("own", "h", "at", "d", "t", F.explode(F.array_compact(F.array(*made))).alias("x")).select("own", "x.key", "h", "at", "x.line", "d", "t", "x.moved", "x.last").distinct()
             rows = materialize(rows, "hot-rests")
-            many = materialize(rows.where("own AND NOT last").groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("key"), "hot-segments")
+            # rests too short to be cut: those of one length and at one place are all alike, others give the pairs of their group
+            ends = rows.where("last AND own")
+            first = ends.groupBy("key").agg(F.min(F.struct("at", "h")).alias("least"))
+            found.append(ordered(ends.join(first, "key").select(F.col("h").alias("a"), F.col("least.h").alias("b"), F.col("at").alias("at_a"), F.col("least.at").alias("at_b"))))
+            found.append(crossed(ends, rows.where("last AND NOT own AND (d > 0 OR moved)")))
+            rows = rows.where("NOT last").drop("last")
+            many = materialize(rows.where("own").groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("key"), "hot-segments")
             found.append(crossed(rows.where("own").join(many, "key", "left_anti"), rows.where("NOT own")))
             if many.isEmpty():
                 break
-            rows = rows.join(many, "key").drop("last")
+            rows = rows.join(many, "key")
 
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
     pairs = materialize(pairs.distinct(), "line-pairs")
-    texts = fetched(pairs.select(F.col("a").alias("h"), F.col("doc_a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("h"), F.col("doc_b").alias("doc_id"))))
+    texts = fetched(pairs.select(F.col("a").alias("h"), F.col("at_a").alias("at")).unionByName(pairs.select(F.col("b").alias("h"), F.col("at_b").alias("at"))))
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("ta")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("tb")), "b")
-    both = both.where(F.abs(F.length("ta") - F.length("tb")) <= edits)
-    return both.where(alike(F.col("ta"), F.col("tb"), edits)).select("a", "b", "doc_a", "doc_b")
+    shorter = F.least(F.length("ta"), F.length("tb"))
+    fits = None
+    for low, t in edits:
+        mine = _of_length(shorter, edits, low)
+        near = (F.abs(F.length("ta") - F.length("tb")) <= t) & alike(F.col("ta"), F.col("tb"), t)
+        fits = F.when(mine, near) if fits is None else fits.when(mine, near)
+    return both.where(fits).select("a", "b")
 
 
-def dedup_lines(docs: DataFrame, edits: int = 1, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", broadcast_docs: int = 500_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: Edits = EDITS, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 16_000_000, parts: int = 20_000) -> DataFrame:
     """The documents with ``text`` without repeated lines, and n_lines, n_repeated (lines with a line alike elsewhere), n_dropped."""
     alike_ = materialize(similar_lines(docs, edits, min_chars, id_col, text_col), "similar-lines")
     sides = alike_.select("a", "b").unionByName(alike_.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -194,21 +232,29 @@ def dedup_lines(docs: DataFrame, edits: int = 1, min_chars: int = 20, id_col: st
     place = F.struct("doc_id", "pos")
     stated = placed.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     stated = stated.join(sides.select(F.col("a").alias("h"), F.lit(True).alias("linked")).distinct(), "h", "left").where("n > 1 OR linked")
-    stated = materialize(stated.select("h", "first"), "repeated-lines")
+    stated = materialize(stated.select("h", "n", "first"), "repeated-lines")
     near = sides.join(stated.select(F.col("h").alias("b"), "first"), "b").groupBy(F.col("a").alias("h")).agg(F.min("first").alias("near"))
-    repeated = materialize(stated.join(near, "h", "left").select("h", F.least("first", "near").alias("first")), "first-places")
-    again = placed.join(repeated, "h").select("doc_id", "pos", (place > F.col("first")).alias("drop"))
+    repeated = materialize(stated.join(near, "h", "left").select("h", "n", F.least("first", "near").alias("first")), "first-places")
+
+    # fewer than ``parts`` lines are more than one of ``parts`` of all repeats each: those go to every task, the others are shuffled
+    total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = F.col("n") * parts > total
+    again = placed.join(F.broadcast(repeated.where(often).select("h", F.col("first").alias("hot"))), "h", "left")
+    again = again.join(repeated.where(~often).select("h", "first"), "h", "left") if total >= parts else again.withColumn("first", F.lit(None).cast(repeated.schema["first"].dataType))
+    again = again.select("doc_id", "pos", F.coalesce("hot", "first").alias("first")).where("first IS NOT NULL").select("doc_id", "pos", (place > F.col("first")).alias("drop"))
     drops = again.groupBy("doc_id").agg(F.collect_list(F.when(F.col("drop"), F.col("pos"))).alias("__drop"), F.count("*").alias("__again"))
     drops = materialize(drops.withColumnRenamed("doc_id", "__id"), "line-drops")
-    hint = F.broadcast(drops) if drops.count() <= broadcast_docs else drops  # else both sides are shuffled
+    held = drops.agg(F.coalesce(F.sum(64 + 4 * F.size("__drop")), F.lit(0))).first()[0]
+    hint = F.broadcast(drops) if held <= broadcast_bytes else drops  # else both sides are shuffled
 
-    got = docs.join(hint, F.col(id_col) == F.col("__id"), "left").withColumn("__lines", F.split(text_col, "\n"))
+    kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_repeated", "n_dropped")]
+    got = docs.select(F.struct(*kept_columns).alias("__row"), F.col(id_col).alias("__doc"), F.split(text_col, "\n").alias("__lines")).join(hint, F.col("__doc") == F.col("__id"), "left")
     number = F.size("__lines")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), number - 1), "__drop"), lambda i: F.get("__lines", i))
     changed = F.size("__drop") > 0
     return got.select(
-        *[F.when(changed, F.array_join(kept, "\n")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.coalesce(F.when(F.col(text_col).isNotNull(), number), F.lit(0)).cast("long").alias("n_lines"),
+        *[F.when(changed, F.array_join(kept, "\n")).otherwise(F.col(f"__row.{c}")).alias(c) if c == text_col else F.col("__row").getField(c).alias(c) for c in kept_columns],
+        F.coalesce(F.when(F.col("__lines").isNotNull(), number), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce("__again", F.lit(0)).alias("n_repeated"),
         F.when(changed, F.size("__drop")).otherwise(F.lit(0)).cast("long").alias("n_dropped"),
     )

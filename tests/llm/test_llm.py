@@ -104,9 +104,17 @@ def distance(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize(("edits", "hot"), [(1, 16), (2, 2)])
+BANDS = {"one": ((20, 1),), "two": ((20, 2),), "both": ((20, 1), (24, 2))}
+
+
+def within(a, b, edits):
+    """Whether lines are alike: the shorter one's length gives the edits."""
+    return distance(a, b) <= max(t for low, t in edits if min(len(a), len(b)) >= low)
+
+
+@pytest.mark.parametrize(("edits", "hot"), [("one", 16), ("two", 2), ("both", 3)])
 def test_similar_lines(spark, edits, hot):
-    rnd = random.Random(edits)
+    edits, rnd = BANDS[edits], random.Random(len(edits))
     bases = ["".join(rnd.choice("abé ü") for _ in range(rnd.choice([20, 21, 24, 30]))).strip().ljust(20, "x") for _ in range(8)]
 
     def edited(x):
@@ -116,10 +124,51 @@ def test_similar_lines(spark, edits, hot):
         return x
 
     docs = [(i, "\n".join(rnd.choice([edited(rnd.choice(bases)), "short", ""]) for _ in range(rnd.randint(0, 6)))) for i in range(50)]
-    lines = sorted({x.strip() for _, t in docs for x in t.split("\n") if len(x.strip()) >= 20})
-    hashes = {r.x: r.h for r in spark.createDataFrame([(x,) for x in lines], "x string").select("x", F.xxhash64("x").alias("h")).collect()}
-    want = {tuple(sorted((hashes[a], hashes[b]))) for a, b in itertools.combinations(lines, 2) if distance(a, b) <= edits}
-    assert {(r.a, r.b) for r in similar_lines(spark.createDataFrame(docs, DOCS), edits, 20, hot=hot).collect()} == want
+    places = [(i, k, x.strip()) for i, t in docs for k, x in enumerate(t.split("\n")) if len(x.strip()) >= 20]
+    lines = sorted({x for _, _, x in places})
+    first = {x: min((i, k) for i, k, y in places if y == x) for x in lines}
+    hashes = {r.h: r.x for r in spark.createDataFrame([(x,) for x in lines], "x string").select("x", F.xxhash64("x").alias("h")).collect()}
+    want = {frozenset((a, b)) for a, b in itertools.combinations(lines, 2) if within(a, b, edits)}
+    got = {frozenset((hashes[r.a], hashes[r.b])) for r in similar_lines(spark.createDataFrame(docs, DOCS), edits, 20, hot=hot).collect()}
+    assert got <= want
+    for x in lines:  # the first of the lines alike is found for each
+        least = lambda pairs: min((first[y] for p in pairs if x in p for y in p if y != x), default=None)  # noqa: B023, E731
+        assert least(want) is None and least(got) is None or min(least(want), first[x]) == min(least(got), first[x])
+
+
+@pytest.mark.parametrize("edits", ["one", "both"])
+def test_dedup_lines_against_brute_force(spark, edits):
+    edits, rnd = BANDS[edits], random.Random(9)
+    bases = ["".join(rnd.choice("abcdefgh ") for _ in range(n)).strip().ljust(n, "x") for n in (20, 22, 23, 24, 25, 40)]
+
+    def edited(x):
+        for _ in range(rnd.choice([0, 0, 1, 1, 2, 3])):
+            i = rnd.randrange(len(x))
+            x = rnd.choice([x[:i] + x[i + 1 :], x[:i] + rnd.choice("yz") + x[i:], x[:i] + rnd.choice("yz") + x[i + 1 :]])
+        return x
+
+    docs = [(i, "\n".join(rnd.choice([edited(rnd.choice(bases)), "short", "", f" {bases[0]}\t"]) for _ in range(rnd.randint(0, 7)))) for i in range(60)] + [(70, None), (71, ""), (72, "\n"), (72, bases[5])]
+    numbered = sorted((i, k, x.strip(" \t")) for i, t in docs if t is not None for k, x in enumerate(t.split("\n")) if len(x.strip(" \t")) >= 20)
+    alike = {(x, y): within(x, y, edits) for x in {p[2] for p in numbered} for y in {p[2] for p in numbered}}
+    gone = {p[:2] for p in numbered if any(q[:2] < p[:2] and alike[p[2], q[2]] for q in numbered)}
+    again = collections.Counter(p[0] for p in numbered if any(q is not p and alike[p[2], q[2]] for q in numbered))
+    want = []
+    for i, t in docs:
+        parts = (t or "").split("\n")
+        dropped = {k for j, k in gone if j == i}
+        text = t if not dropped else "\n".join(x for k, x in enumerate(parts) if k not in dropped)
+        want.append((i, text, 7, 0 if t is None else len(parts), again[i], len(dropped)))
+    frame = spark.createDataFrame([(i, t, "x", 7, "y") for i, t in docs], DOCS + ", n_lines string, __drop int, n_dropped string")
+    got = dedup_lines(frame, edits)
+    assert got.columns == ["doc_id", "text", "__drop", "n_lines", "n_repeated", "n_dropped"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_many_variants_of_a_line(spark):
+    docs = [(i, f"the same line but for its number {i:03d} of many") for i in range(400)]
+    got = similar_lines(spark.createDataFrame(docs, DOCS), ((20, 1),), hot=8)
+    assert got.count() < 400 * 30
+    assert dedup_lines(spark.createDataFrame(docs, DOCS), ((20, 1),)).where("n_repeated = 0").isEmpty()
 
 
 def test_dedup_lines(spark):
