@@ -34,13 +34,11 @@ EDITS = ((20, 1), (80, 2))
 Edits = tuple[tuple[int, int], ...]
 
 
-def segments(n: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(start, length) of each of the edits + 1 segments of a line of n characters; the last ones take the remainder."""
-    parts = edits + 1
+def segment(n: Column, i: int, edits: int | Column) -> tuple[Column, Column]:
+    """(start, length) of segment i of the edits + 1 of a line of n characters; the last ones take the remainder."""
+    parts = edits + F.lit(1)
     short, rest = F.floor(n / parts).cast("int"), (n % parts).cast("int")
-    return [
-        (1 + i * short + F.greatest(F.lit(0), F.lit(i - parts) + rest), short + (F.lit(i) >= F.lit(parts) - rest).cast("int")) for i in range(parts)
-    ]
+    return 1 + i * short + F.greatest(F.lit(0), i - parts + rest), short + (F.lit(i) >= parts - rest).cast("int")
 
 
 def probes(edits: int) -> list[tuple[int, int, int]]:
@@ -53,28 +51,31 @@ def probes(edits: int) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda x: (x[0] != 0 or x[2] != 0, x))
 
 
-def _of_length(n: Column, edits: Edits, low: int) -> Column:
-    """Whether the band of ``edits`` that starts at ``low`` is that of n characters."""
-    above = [at for at, _ in edits if at > low]
-    return (n >= low) & (n < min(above)) if above else n >= low
-
-
-def _specs(edits: Edits) -> list[tuple[int, int, int, int, int]]:
-    """(band's start, its edits, length difference, segment, shift) of all probes; a line's own segments first."""
-    return sorted(((low, t, *probe) for low, t in edits for probe in probes(t)), key=lambda x: (x[2] != 0 or x[4] != 0, x))
+def _allowed(n: Column, edits: Edits) -> Column:
+    """The edits of lines of n characters; null where there are none."""
+    out = F.lit(None).cast("int")
+    for low, t in sorted(edits):
+        out = F.when(n >= low, F.lit(t)).otherwise(out)
+    return out
 
 
-def _own(spec: tuple[int, int, int, int, int]) -> bool:
-    return spec[2] == 0 and spec[4] == 0
+def _specs(edits: Edits) -> dict[tuple[int, int, int], list[int]]:
+    """The numbers of edits that take each probe (length difference, segment, shift); a line's own segments come first."""
+    out: dict[tuple[int, int, int], list[int]] = {}
+    for t in sorted({t for _, t in edits}):
+        for probe in probes(t):
+            out.setdefault(probe, []).append(t)
+    return dict(sorted(out.items(), key=lambda x: (x[0][0] != 0 or x[0][2] != 0, x)))
 
 
 def segment_keys(line: Column, n: Column, edits: Edits) -> list[Column]:
     """A 64-bit key for each of ``_specs``; null where it isn't one of the line's. Lengths are part of a key."""
     out = []
-    for low, t, d, i, shift in _specs(edits):
-        start, length = segments(n - d, t)[i]
+    for (d, i, shift), takers in _specs(edits).items():
+        t = _allowed(n - d, edits)
+        start, length = segment(n - d, i, t)
         at = start + shift
-        fits = _of_length(n - d, edits, low) & (length > 0) & (at >= 1) & (at + length - 1 <= n)
+        fits = t.isin(takers) & (length > 0) & (at >= 1) & (at + length - 1 <= n)
         out.append(F.when(fits, F.xxhash64(n - d, F.lit(i), F.substring(line, at, length))))
     return out
 
@@ -84,9 +85,31 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _prefix(a: Column, b: Column) -> Column:
+    """The number of characters that two strings begin with alike: doubled steps, the widest first."""
+    steps = F.sequence(F.floor(F.log2(F.length(a) + 1)).cast("int"), F.lit(0), F.lit(-1))
+    shorter = F.least(F.length(a), F.length(b))
+
+    def step(n: Column, power: Column) -> Column:
+        width = F.call_function("shiftleft", F.lit(1), power)
+        return F.when(F.substring(a, n + 1, width) == F.substring(b, n + 1, width), F.least(n + width, shorter)).otherwise(n)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
 def alike(a: Column, b: Column, edits: int) -> Column:
-    """Whether two strings are within ``edits`` of each other."""
-    return _let(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b")), lambda x: _alike(x["a"], x["b"], edits))
+    """Whether two strings are within ``edits`` of each other. What they begin and end with alike is left out first."""
+    whole = F.struct(a.alias("a"), b.alias("b"), _prefix(a, b).alias("n"))
+    tails = _let(whole, lambda x: F.struct(F.reverse(F.substring(x["a"], x["n"] + 1, F.length(x["a"]))).alias("a"), F.reverse(F.substring(x["b"], x["n"] + 1, F.length(x["b"]))).alias("b")))
+    tails = _let(tails, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), _prefix(x["a"], x["b"]).alias("n")))
+    inner = _let(tails, lambda x: F.struct(F.substring(x["a"], x["n"] + 1, F.length(x["a"])).alias("a"), F.substring(x["b"], x["n"] + 1, F.length(x["b"])).alias("b")))
+
+    def decided(x: Column) -> Column:
+        long = F.greatest(F.length(x["a"]), F.length(x["b"]))
+        some = _let(F.struct(F.split(x["a"], "").alias("a"), F.split(x["b"], "").alias("b")), lambda y: _alike(y["a"], y["b"], edits))
+        return F.when(long <= edits, True).when(F.least(F.length(x["a"]), F.length(x["b"])) == 0, False).otherwise(some)
+
+    return _let(inner, decided)
 
 
 def _alike(a: Column, b: Column, edits: int) -> Column:
@@ -120,6 +143,17 @@ def _alike(a: Column, b: Column, edits: int) -> Column:
     return ended[f"e{edits}"].bitwiseAND(F.call_function("shiftleft", F.lit(1), edits + F.size(a) - F.size(b))) != 0
 
 
+def may_be_alike(a: Column, b: Column, edits: int) -> Column:
+    """False only for strings that aren't alike: of the 6 * edits blocks of a, each edit spoils one at most, and the others are in b near their place."""
+    n = 6 * edits
+    size = F.floor(F.length(a) / n).cast("int")
+    found = F.lit(0)
+    for k in range(n):
+        at = F.floor(F.length(a) * k / n).cast("int") + 1
+        found = found + F.substring(b, F.greatest(F.lit(1), at - edits), size + 2 * edits).contains(F.substring(a, at, size)).cast("int")
+    return found >= n - edits
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """doc_id, pos, line, n, h, g (two hashes) of the lines that take part."""
     got = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("pos", "raw"))
@@ -141,8 +175,8 @@ def similar_lines(docs: DataFrame, edits: Edits = EDITS, min_chars: int = 20, id
     Among lines that differ in a few characters at one place, only pairs with the one that occurs first are sure to be there.
     """
     lines = _lines(docs, id_col, text_col, min_chars)
-    specs = _specs(edits)
-    own = sum(map(_own, specs))  # the first of specs are a line's own segments
+    specs = list(_specs(edits))
+    own = sum(d == 0 and shift == 0 for d, _, shift in specs)  # the first of specs are a line's own segments
     names = [f"k{i}" for i in range(len(specs))]
     keyed = lines.select("h", "g", "n", F.struct("doc_id", "pos").alias("at"), *[k.alias(c) for c, k in zip(names, segment_keys(F.col("line"), F.col("n"), edits), strict=True)])
     distinct = keyed.groupBy("h", "g", "n").agg(F.min("at").alias("at"), *[F.max(c).alias(c) for c in names])
@@ -179,16 +213,17 @@ def similar_lines(docs: DataFrame, edits: Edits = EDITS, min_chars: int = 20, id
         n, line, d = F.length("line"), F.col("line"), F.col("d")
         # the rows with, as line, what is left without the substring of their key; t edits may be in it
         cut = None
-        for k, (_, t, diff, i, shift) in enumerate(specs):
-            start, length = segments(n - diff, t)[i]
-            part = F.struct(_without(line, start + shift, length).alias("line"), F.lit(diff).alias("d"), F.lit(t).alias("t"), F.lit(shift != 0).alias("moved"))
+        for k, (diff, i, shift) in enumerate(specs):
+            t = _allowed(n - diff, edits)
+            start, length = segment(n - diff, i, t)
+            part = F.struct(_without(line, start + shift, length).alias("line"), F.lit(diff).alias("d"), t.alias("t"), F.lit(shift != 0).alias("moved"))
             cut = F.when(F.col("spec") == k, part) if cut is None else cut.when(F.col("spec") == k, part)
         rows = rows.join(texts, "h").select("own", "key", "h", "at", cut.alias("x")).select("own", "key", "h", "at", "x.*")
         while True:
             made = []
             for t in {t for _, t in edits}:
                 for diff, i, shift in probes(t):
-                    start, length = segments(n - diff, t)[i]
+                    start, length = segment(n - diff, i, t)
                     at = start + shift
                     part = F.struct(F.xxhash64("key", n - diff, F.lit(i), F.substring(line, at, length)).alias("key"), _without(line, at, length).alias("line"), (F.col("moved") | F.lit(shift != 0)).alias("moved"), F.lit(False).alias("last"))
                     made.append(F.when((F.col("t") == t) & (n - d > t) & (d == diff) & _found(at, length, n) & (~F.col("own") | F.lit(diff == 0 and shift == 0)), part))
@@ -213,13 +248,12 @@ def similar_lines(docs: DataFrame, edits: Edits = EDITS, min_chars: int = 20, id
     pairs = materialize(pairs.distinct(), "line-pairs")
     texts = fetched(pairs.select(F.col("a").alias("h"), F.col("at_a").alias("at")).unionByName(pairs.select(F.col("b").alias("h"), F.col("at_b").alias("at"))))
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("ta")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("tb")), "b")
-    shorter = F.least(F.length("ta"), F.length("tb"))
-    fits = None
-    for low, t in edits:
-        mine = _of_length(shorter, edits, low)
-        near = (F.abs(F.length("ta") - F.length("tb")) <= t) & alike(F.col("ta"), F.col("tb"), t)
-        fits = F.when(mine, near) if fits is None else fits.when(mine, near)
-    return both.where(fits).select("a", "b")
+    both = both.withColumn("t", _allowed(F.least(F.length("ta"), F.length("tb")), edits)).where(F.abs(F.length("ta") - F.length("tb")) <= F.col("t"))
+    may, sure = F.lit(False), F.lit(False)
+    for t in {t for _, t in edits}:
+        may = F.when(F.col("t") == t, may_be_alike(F.col("ta"), F.col("tb"), t)).otherwise(may)
+        sure = F.when(F.col("t") == t, alike(F.col("ta"), F.col("tb"), t)).otherwise(sure)
+    return both.where(may).where(sure).select("a", "b")
 
 
 def dedup_lines(docs: DataFrame, edits: Edits = EDITS, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 16_000_000, parts: int = 20_000) -> DataFrame:

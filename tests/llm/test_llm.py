@@ -19,7 +19,7 @@ from courtside.llm.bpe import decode, encode
 from courtside.llm.components import components
 from courtside.llm.decontaminate import Benchmark, leaks, leaks_of
 from courtside.llm.html_text import extract_text, main_text
-from courtside.llm.line_dedup import dedup_lines, similar_lines
+from courtside.llm.line_dedup import alike, dedup_lines, may_be_alike, similar_lines
 from courtside.llm.near_dups import near_duplicates
 from courtside.llm.quality_rules import judge_quality, text_stats
 from courtside.llm.secret_scan import candidates, dictionary, scan_secrets
@@ -149,9 +149,9 @@ def test_dedup_lines_against_brute_force(spark, edits):
 
     docs = [(i, "\n".join(rnd.choice([edited(rnd.choice(bases)), "short", "", f" {bases[0]}\t"]) for _ in range(rnd.randint(0, 7)))) for i in range(60)] + [(70, None), (71, ""), (72, "\n"), (72, bases[5])]
     numbered = sorted((i, k, x.strip(" \t")) for i, t in docs if t is not None for k, x in enumerate(t.split("\n")) if len(x.strip(" \t")) >= 20)
-    alike = {(x, y): within(x, y, edits) for x in {p[2] for p in numbered} for y in {p[2] for p in numbered}}
-    gone = {p[:2] for p in numbered if any(q[:2] < p[:2] and alike[p[2], q[2]] for q in numbered)}
-    again = collections.Counter(p[0] for p in numbered if any(q is not p and alike[p[2], q[2]] for q in numbered))
+    similar = {(x, y): within(x, y, edits) for x in {p[2] for p in numbered} for y in {p[2] for p in numbered}}
+    gone = {p[:2] for p in numbered if any(q[:2] < p[:2] and similar[p[2], q[2]] for q in numbered)}
+    again = collections.Counter(p[0] for p in numbered if any(q is not p and similar[p[2], q[2]] for q in numbered))
     want = []
     for i, t in docs:
         parts = (t or "").split("\n")
@@ -164,6 +164,20 @@ def test_dedup_lines_against_brute_force(spark, edits):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("edits", [1, 2])
+def test_alike_is_edit_distance(spark, edits):
+    rnd, pairs = random.Random(edits), [("", ""), ("", "ab"), ("a", ""), ("aaaa", "aaa"), ("abab", "baba")]
+    for _ in range(400):
+        a = "".join(rnd.choice("abé") for _ in range(rnd.randint(0, 30)))
+        b = a
+        for _ in range(rnd.randint(0, 4)):
+            i = rnd.randint(0, len(b))
+            b = rnd.choice([b[:i] + b[i + 1 :], b[:i] + rnd.choice("abé") + b[i:], b[:i] + rnd.choice("ab") + b[i + 1 :]])
+        pairs.append((a, b))
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", alike(F.col("a"), F.col("b"), edits).alias("is"), may_be_alike(F.col("a"), F.col("b"), edits).alias("may")).collect()
+    assert all(r["is"] == (distance(r.a, r.b) <= edits) and (r.may or not r["is"]) for r in got)
+
+
 def test_many_variants_of_a_line(spark):
     docs = [(i, f"the same line but for its number {i:03d} of many") for i in range(400)]
     got = similar_lines(spark.createDataFrame(docs, DOCS), ((20, 1),), hot=8)
