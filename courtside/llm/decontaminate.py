@@ -1,16 +1,18 @@
 """Benchmark decontamination by greedy string tiling.
 
 Windows of ``seed_words`` words, hashed as a running Karp-Rabin search does, are the seeds that documents and benchmark
-items share. A pair whose seeds could cover enough of the item is tiled: seeds in a row on one diagonal are a match; the
-longest match whose words are free in both texts is marked, again and again (a match that marks cut goes back with its
+items share. A shared seed whose words before it differ begins a match, whose length is found by halving steps over
+running hashes of both texts; so a long run of one word costs its length, not its square. A pair whose matches could
+cover enough of the item is tiled: the longest match whose words are free in both texts is marked, again and again (a match that marks cut goes back with its
 free parts), until none of ``seed_words`` words is left. Tiles may lie in any order, so reordered passages count. A
 document is contaminated by an item of whose words its tiles cover ``coverage`` or more.
 
 The benchmark is the stated query set. It goes to the tasks in blocks of ``block_chars`` characters, one pass over the
 documents for each block, however large it is; documents only stream through.
 
-Words are compared without ASCII punctuation and case. Defined results: null, empty and blank texts have no words. Items
-with fewer than ``seed_words`` words are too short to tell and fit nothing. Rows that share an id are each tiled; a
+Words are compared without ASCII punctuation and case. Of equally long matches the first in the document, then in the
+item, is marked first. Defined results: null, empty and blank texts have no words. An item with fewer than ``seed_words``
+words fits just the documents that consist of its words and no others. Rows that share an id are each tiled; a
 null id is reported as null. Equal items count once. Other columns of the inputs are not read.
 """
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm.words import shingle_hashes, text_bytes, text_slices, word_hashes
+from courtside.llm.words import mix, powers, shingle_hashes, text_bytes, text_slices, word_hashes
 
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -36,58 +38,77 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(*text_bytes(column), drop=_PUNCTUATION)
 
 
+def _running(words: np.ndarray) -> np.ndarray:
+    """Sums of words times powers of a base, from which ``_same`` compares any two stretches."""
+    return np.r_[np.uint64(0), np.cumsum(words * powers(len(words) + 1)[0][: len(words)], dtype=np.uint64)]
+
+
+def _stretch(sums: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return (sums[at + n] - sums[at]) * powers(len(sums))[1][at]
+
+
+def _keys(seeds: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """A hash of each seed and the word before it."""
+    return mix(seeds * np.uint64(0x9E3779B97F4A7C15) + before)
+
+
 class Benchmark:
-    """Items' words and the places of their seeds."""
+    """Items' words and the places of their seeds, sorted by seed and then by the word before."""
 
     def __init__(self, texts: list[str], seed_words: int):
         self.words, self.first = words_of(pa.array(texts, pa.string()))
-        self.size = np.diff(self.first)
+        self.size, self.sums = np.diff(self.first), _running(self.words)
         seeds, at = shingle_hashes(self.words, self.first, seed_words)
         item = np.repeat(np.arange(len(texts)), np.diff(at))
         place = np.arange(len(seeds)) - at[:-1][item] if len(seeds) else item
-        whole = self.size[item] >= seed_words
-        order = np.argsort(seeds[whole], kind="stable")
-        seeds, self.item, self.place = seeds[whole][order], item[whole][order], place[whole][order]
-        self.seeds, self.begin, self.count = np.unique(seeds, return_index=True, return_counts=True)
+        word = self.first[:-1][item] + place
+        before = np.where(place > 0, self.words[word - 1], np.uint64(1)) if len(seeds) else seeds
+        keys = _keys(seeds, before)
+        order = np.lexsort((keys, seeds))
+        self.item, self.word, self.place = item[order], word[order], place[order]
+        self.seeds, self.begin, self.count = np.unique(seeds[order], return_index=True, return_counts=True)
+        self.keys, self.key_begin, self.key_count = np.unique(keys[order], return_index=True, return_counts=True)
         self.sieve = np.zeros(1 << 22, bool)
         self.sieve[(self.seeds & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
-    def hits(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, item, place in the item) of each shared seed."""
+    def hits(self, windows: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, posting) of each shared seed that isn't the continuation of one a word earlier."""
         maybe = np.flatnonzero(self.sieve[(windows & np.uint64((1 << 22) - 1)).astype(np.int64)])
         if not len(self.seeds) or not len(maybe):
-            return (np.zeros(0, np.int64),) * 3
+            return (np.zeros(0, np.int64),) * 2
         at = np.minimum(np.searchsorted(self.seeds, windows[maybe]), len(self.seeds) - 1)
         real = self.seeds[at] == windows[maybe]
         maybe, at = maybe[real], at[real]
-        n = self.count[at]
+        keys = _keys(windows[maybe], before[maybe])
+        key = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        skip = np.where(self.keys[key] == keys, self.key_count[key], 0)
+        n = self.count[at] - skip
         posting = np.repeat(self.begin[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        return np.repeat(maybe, n), self.item[posting], self.place[posting]
+        posting += np.repeat(skip, n) * (posting >= np.repeat(self.key_begin[key], n))
+        return np.repeat(maybe, n), posting
 
 
-def tile(in_doc: np.ndarray, in_item: np.ndarray, seed_words: int) -> list[tuple[int, int, int]]:
-    """(place in the document, place in the item, words) of the tiles, from the places of shared seeds."""
-    order = np.lexsort((in_doc, in_doc - in_item))
-    p, q = in_doc[order], in_item[order]
-    cut = np.flatnonzero(np.r_[True, (np.diff(p) != 1) | (np.diff(p - q) != 0)])
-    length = np.diff(np.r_[cut, len(p)]) + seed_words - 1
-    heap = [(-n, a, b) for n, a, b in zip(length.tolist(), p[cut].tolist(), q[cut].tolist(), strict=True)]
+def tile(matches: list[tuple[int, int, int]], size: int, seed_words: int) -> list[tuple[int, int, int]]:
+    """(place in the document, place in the item, words) of the tiles, from all longest common stretches of both."""
+    low = min(a for a, _, _ in matches)
+    used_doc = np.zeros(max(a + n for a, _, n in matches) - low, bool)
+    used_item = np.zeros(size, bool)
+    heap = [(-n, a - low, b) for a, b, n in matches]
     heapq.heapify(heap)
-    used_doc: set[int] = set()
-    used_item: set[int] = set()
-    tiles = []
-    while heap:
+    tiles, free = [], size
+    while heap and free:
         n, a, b = heapq.heappop(heap)
         n = -n
-        taken = [i for i in range(n) if a + i in used_doc or b + i in used_item]
-        if not taken:
-            tiles.append((a, b, n))
-            used_doc.update(range(a, a + n))
-            used_item.update(range(b, b + n))
+        taken = np.flatnonzero(used_doc[a : a + n] | used_item[b : b + n])
+        if not len(taken):
+            tiles.append((a + low, b, n))
+            used_doc[a : a + n] = used_item[b : b + n] = True
+            free -= n
             continue
-        for low, high in zip([-1, *taken], [*taken, n], strict=True):
-            if high - low - 1 >= seed_words:
-                heapq.heappush(heap, (low + 1 - high, a + low + 1, b + low + 1))
+        bounds = np.r_[-1, taken, n]
+        for k in np.flatnonzero(np.diff(bounds) > seed_words).tolist():
+            start, end = int(bounds[k]) + 1, int(bounds[k + 1])
+            heapq.heappush(heap, (start - end, a + start, b + start))
     return tiles
 
 
@@ -95,24 +116,39 @@ def leaks_of(bench: Benchmark, column: pa.Array, seed_words: int, coverage: floa
     """(text, item, words of the item, words covered, tiles) of the contaminated texts of a column."""
     words, first = words_of(column)
     windows, at = shingle_hashes(words, first, seed_words)
-    window, item, place = bench.hits(windows)
-    text = np.searchsorted(at, window, "right") - 1
-    spot = window - at[text]
-    # the words of the item that seeds touch bound what tiles can cover
-    order = np.lexsort((place, item, text))
-    text, item, place, spot = text[order], item[order], place[order], spot[order]
-    if not len(text):
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(at))
+    start = first[:-1][owner] + np.arange(len(windows)) - at[:-1][owner]
+    # at the beginning of a text there is no word before; 0 and 1 tell texts from items
+    before = np.where(start > first[:-1][owner], words[start - 1], np.uint64(0)) if len(words) else windows
+    window, posting = bench.hits(windows, before)
+    if not len(window):
         return []
+    text, item, place, spot, there = owner[window], bench.item[posting], bench.place[posting], start[window], bench.word[posting]
+    # the length of each match: halving steps over the running hashes
+    sums = _running(words)
+    most = np.minimum(first[1:][text] - spot, bench.first[1:][item] - there)
+    length = np.minimum(seed_words, bench.size[item])
+    step = 1 << int(most.max()).bit_length()
+    while step:
+        longer = length + step
+        fits = np.flatnonzero(longer <= most)
+        same = _stretch(sums, spot[fits], longer[fits]) == _stretch(bench.sums, there[fits], longer[fits])
+        length[fits[same]] = longer[fits[same]]
+        step >>= 1
+    # the words of the item that matches touch bound what tiles can cover
+    order = np.lexsort((place, item, text))
+    text, item, place, length, spot = text[order], item[order], place[order], length[order], (spot - first[:-1][text])[order]
     new = np.r_[True, (np.diff(text) != 0) | (np.diff(item) != 0)]
-    gap = np.r_[np.diff(place), seed_words]
-    gap[np.r_[new[1:], True]] = seed_words
+    apart = np.cumsum(new) * (int(bench.size.max()) + 1)
+    ends = np.maximum.accumulate(apart + place + length)
+    touched = np.maximum(0, apart + place + length - np.maximum(apart + place, np.r_[0, ends[:-1]]))
     begins = np.flatnonzero(new)
-    touched = np.add.reduceat(np.minimum(gap, seed_words), begins)
     out = []
-    for k in np.flatnonzero(touched >= coverage * bench.size[item[begins]] - 1e-9).tolist():
+    for k in np.flatnonzero(np.add.reduceat(touched, begins) >= coverage * bench.size[item[begins]] - 1e-9).tolist():
         rows = slice(begins[k], begins[k + 1] if k + 1 < len(begins) else len(text))
-        tiles = tile(spot[rows], place[rows], seed_words)
-        size, covered = int(bench.size[item[begins[k]]]), sum(n for _, _, n in tiles)
+        size = int(bench.size[item[begins[k]]])
+        tiles = tile(list(zip(spot[rows].tolist(), place[rows].tolist(), length[rows].tolist(), strict=True)), size, seed_words)
+        covered = sum(n for _, _, n in tiles)
         if covered >= coverage * size - 1e-9:
             out.append((int(text[begins[k]]), int(item[begins[k]]), size, covered, sorted(tiles)))
     return out

@@ -40,7 +40,8 @@ def _powers_of(size: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of an odd base mod 2**64, and of its inverse."""
     return _powers_of(1 << max(16, (n - 1).bit_length()))
 
 
@@ -88,8 +89,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, drop:
     if drop is not None:
         values[~kept] = 0
     place = np.arange(1, n + 1) if drop is None else np.cumsum(kept, dtype=np.int64)  # place among the bytes that count
-    powers, back = _powers(n + 2)
-    sums = np.cumsum(values * (powers[1 : n + 1] if drop is None else powers[place]), dtype=np.uint64)
+    ups, back = powers(n + 2)
+    sums = np.cumsum(values * (ups[1 : n + 1] if drop is None else ups[place]), dtype=np.uint64)
     if drop is None:
         ends = inside.copy()
         ends[:-1] &= ~inside[1:]

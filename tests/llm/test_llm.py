@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import duckdb
 import public_tokenizers
@@ -407,6 +408,16 @@ def test_tiles_match_a_plain_greedy_tiling():
         assert (got[0][3] if got else 0) == covered
 
 
+def test_decontamination_of_repetitive_and_short_texts(spark):
+    bench = Benchmark(["x " * 2000, "a b " * 500, "only three words", "q"], 5)
+    texts = ["x " * 200_000, "y " + "x " * 1700, "a b " * 30_000, "Only three, words", "only three words more", "q", "q q"]
+    start = time.time()
+    got = {(t, i): (n, tiles) for t, i, _, n, tiles in leaks_of(bench, pa.array(texts), 5, 0.8)}
+    assert time.time() - start < 10
+    assert {k: v[0] for k, v in got.items()} == {(0, 0): 2000, (1, 0): 1700, (2, 1): 1000, (3, 2): 3, (5, 3): 1}
+    assert got[2, 1][1] == [(0, 0, 1000)]
+
+
 def test_secret_scan(spark):
     rnd = random.Random(8)
     key = lambda n=40: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
