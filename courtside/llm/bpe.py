@@ -7,8 +7,10 @@ node's state is the last token of the encoding of its prefix, computed once for
 end there, the one that stays beside the last token of the prefix where it starts. A word's ids are read off by
 stepping back over those states.
 
-Texts are cut at single spaces into pieces whose encodings don't depend on each other; the encodings of pieces are kept
-in a worker for the tasks of one call, at most about ``max_pieces`` of them. Only documents stream through: no shuffle, one Arrow batch at a time.
+Texts are cut at single spaces into pieces whose encodings don't depend on each other; the encodings of pieces of up to
+``max_chars`` characters are kept in a worker for the tasks of one call, at most about ``max_pieces`` of them. Only
+documents stream through: no shuffle, one Arrow batch at a time. Of a very long word, each place tries just the lengths of
+tokens that end in the three bytes before it.
 
 Defined results: a null text is empty and has no ids. Special strings inside a text become their ids. Decoding joins the
 bytes of all ids and replaces what isn't UTF-8; ids that the vocabulary lacks, and nulls, are left out. Rows that repeat
@@ -18,6 +20,7 @@ an id are each encoded. Other columns of the input are not read.
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +36,16 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 class Encoder:
-    def __init__(self, vocab: Vocab, max_pieces: int = 1_000_000):
+    def __init__(self, vocab: Vocab, max_pieces: int = 1_000_000, max_chars: int = 64):
         code = {c: b for b, c in enumerate(byte_letters())}
         self.ids = {bytes(code[c] for c in t): i for t, i in vocab.tokens.items()}
         self.spelling = {i: t for t, i in self.ids.items()} | {i: s.encode() for s, i in vocab.special.items()}
         self.longest = max(map(len, self.ids))
+        lengths: dict[bytes, set[int]] = {}
+        for t in self.ids:
+            if len(t) >= 3:
+                lengths.setdefault(t[-3:], {1, 2}).add(len(t))
+        self.lengths = {t: tuple(sorted(n, reverse=True)) for t, n in lengths.items()}
         self.rank = {(a, b): r for r, (a, b, _) in enumerate(vocab.merges)}
         self.parts = {c: (r, a, b) for r, (a, b, c) in enumerate(vocab.merges)}
         self.beside: dict[int, bool] = {}
@@ -45,9 +53,10 @@ class Encoder:
         self.special_ids = vocab.special
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(vocab.special, key=len, reverse=True)) + ")") if vocab.special else None
         self.marks = {s[:2] for s in vocab.special}
-        #: A space next to other white space: there, pieces would depend on each other.
+        #: A space next to other white space or at an end: no piece begins there.
         self.entangled = regex.compile(r" \s|[^\S ] |^ | $")
-        self.max_pieces = max_pieces
+        self.between = regex.compile(r"(?<=\S) (?=\S)")
+        self.max_pieces, self.max_chars = max_pieces, max_chars
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # the generation before; what is met again moves on
 
@@ -69,20 +78,22 @@ class Encoder:
     def encode_words(self, words: set[bytes]) -> dict[bytes, list[int]]:
         out: dict[bytes, list[int]] = {}
         path, last, start = b"", [-1], [0]  # of the path's prefixes: the last token and where it starts
-        ids, beside, longest = self.ids, self.beside, self.longest
+        ids, beside, longest, lengths = self.ids, self.beside, self.longest, self.lengths
         for word in sorted(words):
             shared, most = 0, min(len(path), len(word))
             while shared < most and path[shared] == word[shared]:
                 shared += 1
             del last[shared + 1 :], start[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                head = word[:end]
-                if head in ids:
+                if end <= longest and (head := word[:end]) in ids:
                     last.append(ids[head])
                     start.append(0)
                     continue
-                for at in range(max(1, end - longest), end):
-                    tail = head[at:]
+                for n in lengths.get(word[end - 3 : end], (2, 1)) if end > 2 else (1,):
+                    at = end - n
+                    if at <= 0:
+                        continue
+                    tail = word[at:end]
                     if tail in ids:
                         token = ids[tail]
                         pair = last[at] << 20 | token
@@ -117,9 +128,11 @@ class Encoder:
         """Strings that, joined, are the text, and that are encoded alone as they are in it."""
         if not text:
             return []
-        if self.entangled.search(text) or (self.special and any(m in text for m in self.marks)):
-            return [text]
-        first, *rest = text.split(" ")
+        if self.special and any(m in text for m in self.marks):
+            parts = self.special.split(text)
+            if len(parts) > 1:
+                return [x for k, part in enumerate(parts) for x in ([part] if k % 2 else self.pieces(part))]
+        first, *rest = self.between.split(text) if self.entangled.search(text) else text.split(" ")
         return [first, *[f" {x}" for x in rest]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -141,9 +154,13 @@ class Encoder:
                     flat.append(w)
                 else:
                     flat += ids[w]
-            self.known[p] = np.array(flat, "<i4").tobytes()
+            self.known[p] = array("i", flat).tobytes()
         known = self.known.__getitem__
-        return [b"".join(map(known, pieces)) for pieces in cut]
+        out = [b"".join(map(known, pieces)) for pieces in cut]
+        for p in new:
+            if len(p) > self.max_chars:
+                del self.known[p]
+        return out
 
     def decode(self, ids: list[int | None]) -> str:
         get = self.spelling.get

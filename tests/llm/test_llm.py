@@ -9,6 +9,7 @@ import re
 import time
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from courtside.llm import queries
-from courtside.llm.bpe import decode, encode
+from courtside.llm.bpe import Encoder, decode, encode
 from courtside.llm.components import components
 from courtside.llm.decontaminate import Benchmark, leaks, leaks_of
 from courtside.llm.html_text import extract_text, main_text
@@ -26,6 +27,7 @@ from courtside.llm.quality_rules import judge_quality, text_stats
 from courtside.llm.secret_scan import candidates, dictionary, scan_secrets
 from courtside.llm.token_counts import count_tokens
 from courtside.llm.url_filters import judge_urls
+from courtside.llm.vocab import load_vocab
 from courtside.llm.warc import _records, id_of, read_warc, resolve_revisits, write_warc
 
 SF = "/root/testdata/sf0.001"
@@ -281,6 +283,19 @@ def test_token_counts_and_bpe_match_the_library(spark):
     assert encode(docs.limit(0), path).isEmpty() and count_tokens(docs.limit(0), public_tokenizers.path("word_bpe_49k.json")).isEmpty()
 
 
+def test_bpe_of_very_long_words_and_texts():
+    rnd, path = random.Random(7), public_tokenizers.path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), Encoder(load_vocab(path))
+    long = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    start = time.time()
+    encoder.encode([long])
+    assert time.time() - start < 30 and not encoder.known
+    texts = [long[:20_000], "é" * 5000, "  double  spaces \n and ends ", "a<|endoftext|> b  <|endoftext|>c "] + [" ".join(rnd.choice(["a", "", "\n", "b.", "\u3000", "<|endoftext|>"]) for _ in range(30)) for _ in range(300)]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<i4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert max(map(len, encoder.known)) <= 64
+
+
 def test_url_rules(spark):
     rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/es/1", "allow"), ("b.example.org", "/es/", "allow"), ("com", "/de/", "block"), ("com", "/de/", "allow"), (None, "/", "block")]
     urls = ["https://example.org/es/1?x", "http://B.example.org/es/2", "https://a.b.example.org/es/1", "https://xexample.org/es/", "https://org", "https://x.com/de/", "ftp://com/de", "no scheme", "", None, "https://e.net/#a", "a://b://c/d"] + [f"https://h{i}.example.org/{p}" for i in range(30) for p in ("es/1", "es/2", "x")]
