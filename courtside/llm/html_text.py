@@ -4,11 +4,14 @@ Each node of a page's tree has a density: its characters for each tag, scaled do
 relative to the page. The subtree with the largest sum of its children's densities is the main one; a node beside the
 path from it to the body counts as well if it is as dense as the least dense node of that path, and headings there do.
 If the main subtree lies in an ``article`` or ``main`` element, that element is taken whole. Elements that are never
-content (navigation, asides, forms, scripts, and those that class, id or role name so: menus, notices, adverts,
-comments, ...) are left out before densities are computed; one that holds the page's article is kept.
+content (navigation, asides, forms, scripts, and containers that class, id or role name so: menus, notices, adverts,
+comments, ...) are left out before densities are computed; one that holds the page's article is kept. Headings and
+inline elements are never left out by name, and inside an article only whole names count (``comments``, not
+``comments-on-method``), as they do for ids everywhere.
 
 Pages only stream through: no shuffle, one page's tree at a time; tags are read in one pass, with the usual implied ends
-(a ``p`` ends at the next block, an ``li`` at the next ``li``, and so on).
+(a ``p`` ends at the next block, an ``li`` at the next ``li``, and so on), with counts of open elements instead of walks up.
+Of equal sums of densities the deepest and last node is taken.
 
 Defined results: null, empty and text-less pages give an empty text. White space is what ``str.split`` takes for it. An
 unclosed comment, script or style runs to the end. Rows that repeat an id are each extracted. Other columns of the
@@ -18,6 +21,7 @@ input are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from math import e, log
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 #: Element names by their role in HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
-NEVER = {"head", "script", "style", "noscript", "template", "iframe", "object", "svg", "canvas", "math", "button", "select", "textarea", "input", "option", "label", "fieldset", "dialog", "menu", "audio", "video", "title", "embed"}
+NEVER = {"head", "script", "style", "noscript", "template", "iframe", "object", "svg", "canvas", "button", "select", "textarea", "input", "option", "dialog", "menu", "audio", "video", "title", "embed"}
 FRAME = {"nav", "header", "footer", "aside", "form"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
@@ -53,10 +57,21 @@ BOILERPLATE = re.compile(
     r"|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|trending|popular|comments?|comment-?list|disqus|respond|replies|reply|pagination|pager|paging|widget|search|searchform|form|complementary|contentinfo|dialog|copyright|legal|skip-?link|tags|tagcloud)(?=$|[\s_-])",
     re.I,
 )
+#: Whole names that mark the same inside an article, and wherever they are an id.
+NAMES = set(
+    "ad ads advert advertisement adsense adsbygoogle banner ad-slot ad-banner sponsored promo menu nav navbar navigation sidebar breadcrumb breadcrumbs toolbar cookie-notice cookie-banner cookie-consent consent notice notices notification alert popup modal overlay"
+    " newsletter newsletter-signup subscribe signup share sharing share-buttons social social-share social-links related related-posts related-articles recommended trending comment comments comment-list comment-form comments-section reader-comments disqus disqus_thread respond reply replies pagination"
+    " pager search searchform widget footer site-footer page-footer site-header page-header masthead topbar copyright skip-link tagcloud".split()
+)
+#: Elements that names can mark.
+CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "p", "details", "figure", "center", "main", "article", "aside", "header", "footer", "nav", "form", "menu", "iframe"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
-TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+INSIDE = re.compile(r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+#: How far a quoted attribute is looked for; tags that are longer end at their first ``>``.
+TAG_CHARS = 65_536
+ATTRIBUTE = re.compile(r"(?<![^\s\"'])(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -67,52 +82,102 @@ class Node:
         self.tag, self.parent, self.boiler, self.kids = tag, parent, boiler, []
 
 
-def _boiler(tag: str, attributes: str) -> bool:
+def _boiler(tag: str, attributes: str, within: bool) -> bool:
+    """within: whether the element is in an article."""
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and HIDDEN.search(value)):
             return True
-        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and BOILERPLATE.search(value):
-            return True
-        if tag == "article" and name in ("class", "id") and re.search(r"(?:^|[\s_-])(?:comments?|reply|replies|ads?|promo|related|teaser)(?=$|[\s_-])", value, re.I):
+        if name not in ("class", "id", "role") or tag not in CONTAINERS or tag == "main":
+            continue
+        if tag == "article":
+            if name != "role" and re.search(r"(?:^|[\s_-])(?:comments?|reply|replies|ads?|promo|related|teaser)(?=$|[\s_-])", value, re.I):
+                return True
+        elif within or name == "id":
+            if not NAMES.isdisjoint(value.lower().split()):
+                return True
+        elif BOILERPLATE.search(value):
             return True
     return False
 
 
+def _tokens(html: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(start, end, tag or None, closing, attributes) of each mark-up token; the reader sends where to go on after raw text."""
+    at, no_cdata = 0, False
+    while (at := html.find("<", at)) >= 0:
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            end = len(html) if end < 0 else end + 3
+            yield at, end, None, False, ""
+        elif html[at + 1 : at + 2] in ("!", "?"):
+            end = -1
+            if not no_cdata and html.startswith("<![CDATA[", at):
+                end = html.find("]]>", at)
+                no_cdata, end = end < 0, end + 2 if end >= 0 else -1
+            end = html.find(">", at) if end < 0 else end
+            if end < 0:
+                return
+            end += 1
+            yield at, end, None, False, ""
+        elif m := TAG.match(html, at):
+            inside = INSIDE.match(html, m.end(), min(len(html), m.end() + TAG_CHARS))
+            end = inside.end() if inside else html.find(">", m.end()) + 1
+            if not end:  # no tag ends from here on
+                return
+            moved = yield at, end, m[2].lower(), bool(m[1]), html[m.end() : end - 1]
+            if moved is not None:
+                end = moved
+                yield -1, end, None, False, ""
+        else:
+            end = at + 1
+        at = end
+
+
 def parse(html: str) -> Node:
     root = node = Node("#root", None)
+    opened: Counter[str] = Counter()  # of the node and those around it
     at, end = 0, len(html)
-    for m in iter(lambda: TOKEN.search(html, at), None):
-        if m.start() > at:
-            node.kids.append(unescape(html[at : m.start()]))
-        at = m.end()
-        tag = m[2] or m[5]
+
+    def closed(node: Node, last: Node) -> Node:
+        """The parent of ``last``, which ends with all in it that are open."""
+        while node is not last:
+            opened[node.tag] -= 1
+            node = node.parent
+        opened[last.tag] -= 1
+        return last.parent
+
+    tokens = _tokens(html)
+    for begin, after, tag, closing, attributes in tokens:
+        if begin > at:
+            node.kids.append(unescape(html[at:begin]))
+        at = after
         if tag is None:
             continue
-        tag = tag.lower()
-        if m[1] or m[4]:
-            open_ = node
-            while open_ is not None and open_.tag != tag:
-                open_ = open_.parent
-            if open_ is not None:
-                node = open_.parent
+        if closing:
+            if opened[tag]:
+                open_ = node
+                while open_.tag != tag:
+                    open_ = open_.parent
+                node = closed(node, open_)
             continue
         for ends, starts, walls in IMPLIED:
-            if tag in starts:
+            if tag in starts and any(opened[x] for x in ends):
                 open_ = node
                 while open_ is not None and open_.tag not in ends and open_.tag not in walls:
                     open_ = open_.parent
                 if open_ is not None and open_.tag in ends:
-                    node = open_.parent
-        attributes = (m[3] or m[6] or "").rstrip()
-        new = Node(tag, node, bool(attributes) and _boiler(tag, attributes))
+                    node = closed(node, open_)
+        attributes = attributes.rstrip()
+        new = Node(tag, node, bool(attributes) and _boiler(tag, attributes, bool(opened["article"] or opened["main"])))
         node.kids.append(new)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
             new.kids.append(html[at : close.start() if close else end])
             at = close.end() if close else end
+            tokens.send(at)
         elif tag not in VOID and not attributes.endswith("/"):
             node = new
+            opened[tag] += 1
     if at < end:
         node.kids.append(unescape(html[at:]))
     return root
@@ -140,14 +205,15 @@ def prune(root: Node) -> None:
     size: dict[int, int] = {}
     for n in reversed(nodes):
         size[id(n)] = sum(len(k.strip()) if isinstance(k, str) else 0 if k.tag in NEVER else size[id(k)] for k in n.kids)
+    inside: set[int] = set()
     for n in nodes:
-        within = n
-        while within is not None and within.tag not in ("article", "main"):
-            within = within.parent
+        within = n.tag in ("article", "main") or id(n.parent) in inside
+        if within:
+            inside.add(id(n))
         kids = []
         for k in n.kids:
             if isinstance(k, Node):
-                frame = k.tag in FRAME and not (k.tag == "header" and within is not None)
+                frame = k.tag in FRAME and not (k.tag == "header" and within)
                 whole = k.tag == "form" and size[id(k)] > 0.6 * size[id(root)]
                 if k.tag in NEVER or k.boiler or frame:
                     if not (id(k) in holds and k.tag not in NEVER) and not whole:

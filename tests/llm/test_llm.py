@@ -332,6 +332,21 @@ def test_main_text(spark):
     assert sorted(extract_text(rows).select(F.length("text")).collect()) == sorted([(73,), (73,), (0,), (1,)])
 
 
+def test_main_text_keeps_what_an_article_says():
+    kept = '<h2 id="popular-culture">In culture</h2><section id="related-work"><p>Others did so.</p></section><div class="article-header">By one</div><p class="side note">Note.</p><math><mi>x</mi></math><label>A label</label>'
+    gone = '<div class="comments"><p>First!</p></div><div class="share">Tell all</div><section id="comments"><p>Second!</p></section><aside>Side</aside><p class="advert">Buy</p>'
+    assert main_text(f"<nav>Home</nav><article><p>Text of it.</p>{kept}{gone}</article>") == "Text of it. In culture Others did so. By one Note. xA label"
+    page = f'<div class="menu"><a href=a>Home</a></div><div class="content"><p>{"A long text of the page. " * 20}</p><h2 id="popular-culture">In culture</h2><p>{"And more of it here. " * 20}</p></div>'
+    assert main_text(page) == " ".join(f'{"A long text of the page. " * 20} In culture {"And more of it here. " * 20}'.split())
+
+
+@pytest.mark.parametrize("html", ["<div>" * 100_000 + "deep", "<p>" + "<a " * 100_000, "<p>x" + "<![CDATA[ >" * 100_000, "<ul>" + "<li><b>x" * 30_000, "</b>" * 100_000 + "<p>x", "<p>x<a href='" * 20_000, "x<!-- " * 100_000, "<i><p>" * 50_000 + "x"])
+def test_main_text_of_broken_markup_is_linear(html):
+    start = time.time()
+    main_text(html)
+    assert time.time() - start < 10
+
+
 def test_warc_round_trip(spark, tmp_path):
     html = [(1, "u", "<p>é</p>"), (2, "u\nx", "<p>é</p>"), (3, None, None), (4, "u", ""), (5, "u", "WARC/1.1\r\n\r\nContent-Length: 9\r\n\r\n"), (6, "u", "\r\n\r\n"), (7, "u", "<p>é</p>"), (None, "u", "only")]
     pages = spark.createDataFrame([(*h, "x") for h in html], "page_id long, url string, html string, payload string")
