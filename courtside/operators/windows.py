@@ -80,8 +80,31 @@ def cusum_peak(values: Column, mean: Column, threshold: float = 0.05) -> Column:
     return F.aggregate(values, zero, step, lambda s: s["peak"])
 
 
-def exponential_mean(values: Column, alpha: float) -> Column:
-    """Exponentially weighted mean of an array, oldest first, with weights (1 - alpha)^age that are normalised."""
-    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("weight"))
-    fold = F.aggregate(values, zero, lambda s, x: F.struct((s["sum"] * (1 - alpha) + x).alias("sum"), (s["weight"] * (1 - alpha) + 1).alias("weight")), lambda s: F.when(s["weight"] > 0, s["sum"] / s["weight"]))
-    return fold
+def exponential_means(history: DataFrame, name: str, means: dict[str, tuple[float, int]], key: str, block: int = 256) -> DataFrame:
+    """history with exponentially weighted means of ``name`` over all rows before, by name of result: (alpha, least rows).
+
+    Weights (1 - alpha)^age are normalised. Rows are numbered in each key and dealt to blocks; in a block they are sums of
+    scaled values, and what the blocks before leave is a sum over the last few block totals: further ones weigh less than
+    a double can show (``block`` * number of totals rows at least).
+    """
+    numbered = history.withColumn("__n", F.row_number().over(by(key)) - 1).withColumn("__block", F.floor(F.col("__n") / block)).withColumn("__pos", F.col("__n") % block)
+    weight = lambda q, power: F.pow(F.lit(q), power)
+    blocks = numbered.groupBy(key, "__block").agg(*[F.sum(F.col(name) * weight(1 - a, block - 1 - F.col("__pos"))).alias(f"__total_{m}") for m, (a, _) in means.items()])
+    before = Window.partitionBy(key).orderBy("__block")
+    carried = []
+    for m, (a, _) in means.items():
+        lags, reach = [], max(1, -(-600 // block))
+        while (1 - a) ** (block * reach) > 1e-18:
+            reach += 1
+        for k in range(1, reach + 1):
+            lags.append(F.coalesce(F.lag(f"__total_{m}", k).over(before), F.lit(0.0)) * (1 - a) ** (block * (k - 1)))
+        carried.append(sum(lags[1:], lags[0]).alias(f"__carry_{m}"))
+    joined = numbered.join(blocks.select(key, "__block", *carried), [key, "__block"])
+    inside = Window.partitionBy(key, "__block").orderBy("__pos").rowsBetween(Window.unboundedPreceding, -1)
+    out = []
+    for m, (a, least) in means.items():
+        q = 1 - a
+        local = F.coalesce(F.sum(F.col(name) * weight(q, -F.col("__pos"))).over(inside), F.lit(0.0)) * weight(q, F.col("__pos") - 1)
+        total = local + F.col(f"__carry_{m}") * weight(q, F.col("__pos"))
+        out.append(F.when(F.col("__n") >= least, total * a / (1 - weight(q, F.col("__n")))).alias(m))
+    return joined.select(*history.columns, *out)

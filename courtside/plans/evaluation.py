@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from courtside.functions import scalars as S
+from courtside.operators.quantiles import exact_quantiles
 from courtside.operators.joins import in_bins
 from courtside.plans.registry import query
 from courtside.sources import domain as D
@@ -81,8 +82,8 @@ def a20_a35_disagreement_deciles(spark, sf_dir):
     m = (F.col("pred_a") + F.col("pred_b") + F.col("pred_c")) / 3
     o = o.withColumn("m", m).withColumn("sd", F.round(F.sqrt((F.pow(F.col("pred_a") - F.col("m"), F.lit(2)) + F.pow(F.col("pred_b") - F.col("m"), F.lit(2)) + F.pow(F.col("pred_c") - F.col("m"), F.lit(2))) / 3), 9))
     o = o.select("sd", F.abs(F.col("m") - F.col("y_true")).alias("err"))
-    edges = o.agg(F.percentile("sd", F.array(*[F.lit(i / 10) for i in range(1, 10)])).alias("q"), F.avg("err").alias("overall"))
-    d = o.crossJoin(F.broadcast(edges)).withColumn("decile", F.size(F.filter("q", lambda x: x < F.col("sd"))).cast("long"))
+    edges = F.array(*map(F.lit, exact_quantiles(o, F.col("sd"), [i / 10 for i in range(1, 10)])))
+    d = o.crossJoin(F.broadcast(o.agg(F.avg("err").alias("overall")))).withColumn("decile", F.size(F.filter(edges, lambda x: x < F.col("sd"))).cast("long"))
     multiplier = F.when(F.count("*") < 100, 1.0).otherwise(F.least(F.lit(2.0), F.greatest(F.lit(0.2), F.max("overall") / F.avg("err"))))
     return d.groupBy("decile").agg(F.count("*").alias("n"), _r(F.avg("err"), "mae"), _r(multiplier, "multiplier"))
 
@@ -105,10 +106,14 @@ def a22_heteroscedasticity(spark, sf_dir):
 @query(f"""{_O}, u AS (SELECT 'y_true' AS name, y_true AS x FROM oof UNION ALL SELECT 'pred_a', pred_a FROM oof UNION ALL SELECT 'prob', prob FROM oof)
 SELECT name, count(*) AS n, round(min(x), 6) AS low, round(quantile_cont(x, 0.05), 6) AS p5, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.95), 6) AS p95, round(max(x), 6) AS high, round(avg(x), 6) AS mean, round(stddev_samp(x), 5) AS std FROM u GROUP BY 1""")
 def a25_column_profile(spark, sf_dir):
-    u = D.oof(spark, sf_dir).unpivot([], ["y_true", "pred_a", "prob"], "name", "x")
-    return u.groupBy("name").agg(
-        F.count("*").alias("n"), _r(F.min("x"), "low"), *[_r(F.percentile("x", q), f"p{round(100 * q)}") for q in (0.05, 0.5, 0.95)], _r(F.max("x"), "high"), _r(F.avg("x"), "mean"), _r(F.stddev_samp("x"), "std", 5)
-    )
+    o, names = D.oof(spark, sf_dir), ["y_true", "pred_a", "prob"]
+    at = {name: exact_quantiles(o, F.col(name), [0.05, 0.5, 0.95]) for name in names}
+
+    def quantile(k: int):
+        return F.round(F.create_map(*[x for name in names for x in (F.lit(name), F.lit(at[name][k]))])[F.col("name")], 6)
+
+    stats = o.unpivot([], names, "name", "x").groupBy("name").agg(F.count("*").alias("n"), _r(F.min("x"), "low"), _r(F.max("x"), "high"), _r(F.avg("x"), "mean"), _r(F.stddev_samp("x"), "std", 5))
+    return stats.select("name", "n", "low", *[quantile(k).alias(f"p{p}") for k, p in enumerate((5, 50, 95))], "high", "mean", "std")
 
 
 @query(f"WITH {D.GAMES_SQL} SELECT season, season_type, count(*) AS n, round(avg(home_pts + away_pts), 6) AS mean_total, round(stddev_samp(home_pts + away_pts), 6) AS std_total FROM games GROUP BY ROLLUP (season, season_type)")
@@ -205,10 +210,10 @@ def f13_f26_symbolic_features(spark, sf_dir):
 @query(f"""{_O}, m AS (SELECT quantile_cont(l_quantity, 0.5) AS q FROM lineitem WHERE year(l_shipdate) < 1998)
 SELECT l_orderkey AS game_id, l_linenumber AS line, CASE WHEN l_returnflag = 'R' THEN q ELSE l_quantity END AS value FROM lineitem, m""")
 def p16_p17_train_median(spark, sf_dir):
-    """Missing values (here those of returned lines) take the median of the training seasons, one aggregated row."""
+    """Missing values (here those of returned lines) take the median of the training seasons."""
     rows = table(spark, sf_dir, "lineitem")
-    median = rows.where(F.year("l_shipdate") < 1998).agg(F.percentile("l_quantity", 0.5).alias("q"))
-    return rows.crossJoin(F.broadcast(median)).select(F.col("l_orderkey").alias("game_id"), F.col("l_linenumber").alias("line"), F.when(F.col("l_returnflag") == "R", F.col("q")).otherwise(F.col("l_quantity")).alias("value"))
+    median = F.lit(exact_quantiles(rows.where(F.year("l_shipdate") < 1998), F.col("l_quantity"), [0.5])[0])
+    return rows.select(F.col("l_orderkey").alias("game_id"), F.col("l_linenumber").alias("line"), F.when(F.col("l_returnflag") == "R", median).otherwise(F.col("l_quantity")).alias("value"))
 
 
 @query(f"""{_O}, e AS (SELECT abs(pred_a - y_true) AS e FROM oof), m AS (SELECT quantile_cont(round(e, 9), 0.5) AS mad FROM e)
@@ -216,8 +221,8 @@ SELECT k, round(greatest(0.1, mad / 0.6745::DOUBLE * k), 6) AS delta, round(avg(
 FROM e, m, (VALUES (1.0::DOUBLE), (1.35::DOUBLE), (2.0::DOUBLE)) AS t(k) GROUP BY k, mad""")
 def l4_huber_grid(spark, sf_dir):
     e = D.oof(spark, sf_dir).select(F.abs(F.col("pred_a") - F.col("y_true")).alias("e"))
-    mad = e.agg(F.percentile(F.round("e", 9), 0.5).alias("mad"))
-    e = e.crossJoin(F.broadcast(mad)).withColumn("k", F.explode(F.array(F.lit(1.0), F.lit(1.35), F.lit(2.0))))
+    mad = F.lit(exact_quantiles(e, F.round("e", 9), [0.5])[0])
+    e = e.withColumn("mad", mad).withColumn("k", F.explode(F.array(F.lit(1.0), F.lit(1.35), F.lit(2.0))))
     delta = F.greatest(F.lit(0.1), F.col("mad") / 0.6745 * F.col("k"))
     loss = F.when(F.col("e") <= delta, 0.5 * F.col("e") * F.col("e")).otherwise(delta * (F.col("e") - 0.5 * delta))
     return e.groupBy("k", "mad").agg(_r(F.avg(loss), "huber", 5)).select("k", _r(F.greatest(F.lit(0.1), F.col("mad") / 0.6745 * F.col("k")), "delta"), "huber")

@@ -163,7 +163,7 @@ def w9_pythagorean(spark, sf_dir):
 
 def _ewm_sql(alpha: float, least: int) -> str:
     # weights (1 - alpha)^age over the lagged list, newest last
-    w = "OVER (PARTITION BY team_id ORDER BY game_date, game_id ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)"
+    w = "OVER (PARTITION BY team_id ORDER BY game_date, game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     return f"CASE WHEN count(pf) {w} >= {least} THEN list(pf::DOUBLE) {w} END"
 
 
@@ -178,13 +178,10 @@ l AS (SELECT team_id, game_id, {_ewm_sql(0.159, 3)} AS acute, {_ewm_sql(0.069, 8
 e AS (SELECT team_id, game_id, {_fold_sql('acute', 0.159)} AS a, {_fold_sql('chronic', 0.069)} AS c FROM l)
 SELECT team_id, game_id, round(a, 5) AS acute, round(c, 5) AS chronic, round(a / c, 5) AS ratio FROM e""")
 def w10_workload_ratio(spark, sf_dir):
-    """Acute and chronic exponentially weighted loads over the last 60 games and their ratio, each team for itself."""
-    w = W.lagged(60, "team_id")
-    loads = F.collect_list(F.col("pf").cast("double")).over(w)
-    h = D.team_history(D.games(spark, sf_dir)).select("team_id", "game_id", loads.alias("loads"))
-    acute = F.when(F.size("loads") >= 3, W.exponential_mean(F.col("loads"), 0.159))
-    chronic = F.when(F.size("loads") >= 8, W.exponential_mean(F.col("loads"), 0.069))
-    return h.select("team_id", "game_id", acute.alias("a"), chronic.alias("c")).select("team_id", "game_id", _r(F.col("a"), "acute", 5), _r(F.col("c"), "chronic", 5), _r(F.col("a") / F.col("c"), "ratio", 5))
+    """Acute and chronic exponentially weighted loads over all earlier games and their ratio, each team for itself."""
+    h = D.team_history(D.games(spark, sf_dir)).select("team_id", "game_id", "game_date", F.col("pf").cast("double").alias("x"))
+    found = W.exponential_means(h, "x", {"acute": (0.159, 3), "chronic": (0.069, 8)}, "team_id")
+    return found.select("team_id", "game_id", _r(F.col("acute"), "acute", 5), _r(F.col("chronic"), "chronic", 5), _r(F.col("acute") / F.col("chronic"), "ratio", 5))
 
 
 def _entropy_sql(p: str) -> str:

@@ -123,24 +123,28 @@ def l6_blend_weights(spark, sf_dir):
     return spark.createDataFrame([(m, round(w, 5)) for m, w in zip(names, weights, strict=True)], "model string, weight double")
 
 
+def _seasons(df: DataFrame) -> list[int]:
+    return sorted(r["season"] for r in df.select("season").distinct().collect())
+
+
 @query()
 def l7_stacking(spark, sf_dir):
-    """A meta-learner over out-of-fold columns against their mean, by season."""
+    """A meta-learner over out-of-fold columns, fitted without the season that it scores, against their mean."""
     df = _data(spark, sf_dir)
-    meta = LinearRegression(labelCol="y_true", featuresCol="features", regParam=0.01).fit(df.where("season % 2 = 0"))
-    scored = meta.transform(df.where("season % 2 = 1"))
+    regression = LinearRegression(labelCol="y_true", featuresCol="features", regParam=0.01)
+    scored = reduce(DataFrame.unionByName, [regression.fit(df.where(F.col("season") != s)).transform(df.where(F.col("season") == s)) for s in _seasons(df)])
     flat = (F.col("pred_a") + F.col("pred_b") + F.col("pred_c")) / 3
     return scored.groupBy("season").agg(F.round(F.avg(F.abs(F.col("prediction") - F.col("y_true"))), 5).alias("stacked"), F.round(F.avg(F.abs(flat - F.col("y_true"))), 5).alias("flat"))
 
 
 @query()
 def m8_single_feature_scores(spark, sf_dir):
-    """Accuracy of each feature alone, against that of the commoner class."""
+    """Accuracy of each feature alone, each season scored by a model of the others, against that of the commoner class."""
     df = _data(spark, sf_dir)
     parts = []
     for name in FEATURES:
         one = VectorAssembler(inputCols=[name], outputCol="one").transform(df.drop("features"))
-        model = LogisticRegression(featuresCol="one", maxIter=10).fit(one.where("season % 2 = 0"))
-        scored = model.transform(one.where("season % 2 = 1"))
+        regression = LogisticRegression(featuresCol="one", maxIter=10)
+        scored = reduce(DataFrame.unionByName, [regression.fit(one.where(F.col("season") != s)).transform(one.where(F.col("season") == s)) for s in _seasons(df)])
         parts.append(scored.agg(F.round(F.avg((F.col("prediction") == F.col("label")).cast("int")), 5).alias("accuracy"), F.round(F.greatest(F.avg("label"), 1 - F.avg("label")), 5).alias("null_score")).select(F.lit(name).alias("feature"), "accuracy", "null_score"))
     return reduce(DataFrame.unionByName, parts)

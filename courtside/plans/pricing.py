@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from courtside.functions import scalars as S
+from courtside.operators.quantiles import exact_quantiles
 from courtside.plans.registry import query
 from courtside.sources import domain as D
 from courtside.tables import table
@@ -27,13 +28,12 @@ def f17_fair_quotes(spark, sf_dir):
     return t.select("event_id", fair.cast("int").alias("fair"), F.greatest(F.lit(1), fair - half).cast("int").alias("bid"), F.least(F.lit(99), fair + half).cast("int").alias("ask"))
 
 
-@query("""WITH l AS (SELECT user_id AS ticker, event_type IN ('click', 'view') AS yes, CAST(round(least(value, 99)) AS INT) AS price FROM events WHERE event_id % 7 = 0),
+@query("""WITH l AS (SELECT user_id AS ticker, event_type IN ('click', 'view') AS yes, CAST(round(least(value, 99)) AS INT) AS price FROM events),
 t AS (SELECT ticker, max(CASE WHEN yes THEN price END) AS best_yes, 100 - max(CASE WHEN NOT yes THEN price END) AS best_ask FROM l GROUP BY 1)
 SELECT ticker, CASE WHEN best_yes < best_ask THEN best_yes END AS bid, CASE WHEN best_yes < best_ask THEN best_ask END AS ask, CASE WHEN best_yes < best_ask THEN (best_yes + best_ask) / 2.0::DOUBLE END AS mid FROM t""")
 def f18_f30_f31_top_of_book(spark, sf_dir):
     """Best bid from the yes side, best ask from the no side; a crossed book has neither."""
-    e = table(spark, sf_dir, "events").where("event_id % 7 = 0")
-    e = e.select(F.col("user_id").alias("ticker"), F.col("event_type").isin("click", "view").alias("yes"), F.round(F.least("value", F.lit(99.0))).cast("int").alias("price"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("ticker"), F.col("event_type").isin("click", "view").alias("yes"), F.round(F.least("value", F.lit(99.0))).cast("int").alias("price"))
     t = e.groupBy("ticker").agg(F.max(F.when(F.col("yes"), F.col("price"))).alias("b"), (100 - F.max(F.when(~F.col("yes"), F.col("price")))).alias("a"))
     there = F.col("b") < F.col("a")
     return t.select("ticker", F.when(there, F.col("b")).alias("bid"), F.when(there, F.col("a")).alias("ask"), F.when(there, (F.col("a") + F.col("b")) / 2.0).alias("mid"))
@@ -67,8 +67,8 @@ def a23_f23_confidence_tiers(spark, sf_dir):
     """Tiers by thirds of the models' disagreement, their accuracy and a sizing multiplier; edges and the mean are one row each."""
     three = [F.col(c) for c in ("pred_a", "pred_b", "pred_c")]
     s = D.oof(spark, sf_dir).select(F.round(F.greatest(*three) - F.least(*three), 9).alias("gap"), ((F.col("pred_a") > 15) == (F.col("y_true") > 15)).cast("int").alias("right"))
-    e = s.agg(F.percentile("gap", 1 / 3).alias("lo"), F.percentile("gap", 2 / 3).alias("hi"), F.avg("right").alias("all"))
-    t = s.crossJoin(F.broadcast(e)).withColumn("tier", F.when(F.col("gap") <= F.col("lo"), "high").when(F.col("gap") <= F.col("hi"), "medium").otherwise("low"))
+    low, high = exact_quantiles(s, F.col("gap"), [1 / 3, 2 / 3])
+    t = s.crossJoin(F.broadcast(s.agg(F.avg("right").alias("all")))).withColumn("tier", F.when(F.col("gap") <= low, "high").when(F.col("gap") <= high, "medium").otherwise("low"))
     return t.groupBy("tier").agg(F.count("*").alias("n"), _r(F.avg("right"), "accuracy"), _r(F.least(F.lit(2.0), F.greatest(F.lit(0.2), F.avg("right") / F.max("all"))), "multiplier"))
 
 
@@ -87,7 +87,8 @@ def a28_budget_shares(spark, sf_dir):
 def a33_disagreement_stats(spark, sf_dir):
     three = [F.col(c) for c in ("pred_a", "pred_b", "pred_c")]
     s = D.oof(spark, sf_dir).select((F.greatest(*three) - F.least(*three)).alias("gap"))
-    return s.agg(_r(F.avg("gap"), "mean"), _r(F.stddev_samp("gap"), "std"), *[_r(F.percentile("gap", q), n) for q, n in ((0.5, "median"), (0.75, "p75"), (0.95, "p95"))])
+    found = exact_quantiles(s, F.col("gap"), [0.5, 0.75, 0.95])
+    return s.agg(_r(F.avg("gap"), "mean"), _r(F.stddev_samp("gap"), "std"), *[_r(F.lit(q), n) for q, n in zip(found, ("median", "p75", "p95"), strict=True)])
 
 
 @query(f"""{_O}, u AS (SELECT season, 'pred_a' AS feature, avg(abs(pred_a - y_true)) AS s FROM oof GROUP BY 1 UNION ALL SELECT season, 'pred_b', avg(abs(pred_b - y_true)) FROM oof GROUP BY 1 UNION ALL SELECT season, 'pred_c', avg(abs(pred_c - y_true)) FROM oof GROUP BY 1)

@@ -63,13 +63,13 @@ def r2_factor_admission(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {D.GAMES_SQL.strip()},
-e AS (SELECT DISTINCT season, home_team_id AS a, away_team_id AS b FROM games WHERE season_type = 'Playoffs' AND game_id % 16 = 0),
+e AS (SELECT DISTINCT season, home_team_id AS a, away_team_id AS b FROM games),
 s AS (SELECT season, a, b FROM e UNION SELECT season, b, a FROM e),
 r(season, a, b) AS (SELECT season, a, b FROM s UNION SELECT r.season, r.a, s.b FROM r JOIN s ON r.season = s.season AND r.b = s.a)
 SELECT season, a AS team_id, least(a, min(b)) AS component FROM r GROUP BY 1, 2""")
 def r9_schedule_components(spark, sf_dir):
-    """Components of each season's play-off schedule (of every sixteenth order, to be unconnected): least labels spread along games until none changes."""
-    g = D.games(spark, sf_dir).where("season_type = 'Playoffs' AND game_id % 16 = 0").select("season", F.col("home_team_id").alias("a"), F.col("away_team_id").alias("b")).distinct()
+    """Components of each season's schedule: least labels spread along games until none changes."""
+    g = D.games(spark, sf_dir).select("season", F.col("home_team_id").alias("a"), F.col("away_team_id").alias("b")).distinct()
     return schedule_components(g)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from courtside.operators.quantiles import exact_quantiles
 from courtside.functions import scalars as S
 from courtside.operators import quality as Q
 from courtside.operators.joins import keep_last, upsert_new
@@ -46,12 +47,12 @@ def p6_f27_season_calendar(spark, sf_dir):
 m AS (SELECT quantile_cont(round(density, 9), 0.5) AS med FROM d)
 SELECT game_id, round(1 + coalesce(density, med), 6) AS crowd_weight FROM d, m""")
 def p5_crowd_weight(spark, sf_dir):
-    """Crowd density clipped to 1.5, with the median (one aggregated row) where it isn't known."""
+    """Crowd density clipped to 1.5, with the median where it isn't known."""
     g = D.games(spark, sf_dir).withColumn("cap", F.max("attendance").over(Window.partitionBy("home_team_id")))
     known = F.when(F.col("attendance") % 7 > 0, F.col("attendance") / F.col("cap"))
     d = g.select("game_id", F.when(known.isNotNull(), F.least(F.lit(1.5), F.greatest(F.lit(0.0), known))).alias("density"))
-    median = d.agg(F.percentile(F.round("density", 9), 0.5).alias("med"))
-    return d.crossJoin(F.broadcast(median)).select("game_id", F.round(1 + F.coalesce("density", "med"), 6).alias("crowd_weight"))
+    median = F.lit(exact_quantiles(d, F.round("density", 9), [0.5])[0])
+    return d.select("game_id", F.round(1 + F.coalesce("density", median), 6).alias("crowd_weight"))
 
 
 @query("""WITH r AS (SELECT l_orderkey % 50 AS a, CASE WHEN l_linenumber % 3 > 0 THEN l_linenumber END AS b, CASE WHEN l_partkey % 5 > 0 THEN l_returnflag END AS c, CASE WHEN l_partkey % 4 > 0 THEN l_partkey % 100 END AS d FROM lineitem),
@@ -198,10 +199,10 @@ def o6_o7_schedule_changes(spark, sf_dir):
 
 @query(f"""WITH {D.GAMES_SQL}, e AS (SELECT quantile_cont(attendance, [0.2, 0.4, 0.6, 0.8]) AS q FROM games) SELECT game_id, CAST(len(list_filter(q, lambda x: x < attendance)) AS INT) AS fifth FROM games, e""")
 def w25_quantile_bins(spark, sf_dir):
-    """Bins by quantile edges, which one aggregated row holds; equal values share a bin."""
+    """Bins by quantile edges; equal values share a bin."""
     g = D.games(spark, sf_dir).select("game_id", "attendance")
-    edges = g.agg(F.percentile("attendance", F.array(*[F.lit(x) for x in (0.2, 0.4, 0.6, 0.8)])).alias("q"))
-    return g.crossJoin(F.broadcast(edges)).select("game_id", F.size(F.filter("q", lambda x: x < F.col("attendance"))).alias("fifth"))
+    edges = F.array(*map(F.lit, exact_quantiles(g, F.col("attendance"), [0.2, 0.4, 0.6, 0.8])))
+    return g.select("game_id", F.size(F.filter(edges, lambda x: x < F.col("attendance"))).alias("fifth"))
 
 
 @query("""WITH c AS (SELECT 100 * count(value) / count(*)::DOUBLE AS v, 100 * count(CASE WHEN event_type <> 'error' THEN props END) / count(*)::DOUBLE AS p FROM events) SELECT 'value' AS "column", round(v, 6) AS coverage FROM c UNION ALL SELECT 'props', round(p, 6) FROM c""")

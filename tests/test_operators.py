@@ -85,8 +85,13 @@ def test_scalars(spark):
 
 
 def test_cusum_and_exponential_mean(spark):
-    got = spark.range(1).select(W.cusum_peak(F.array(*[F.lit(x) for x in (1.0, 1.0, 0.0)]), F.lit(0.5)).alias("c"), W.exponential_mean(F.array(F.lit(1.0), F.lit(3.0)), 0.5).alias("e")).first()
-    assert got.c == pytest.approx(0.5) and got.e == pytest.approx((0.5 * 1 + 3) / 1.5)
+    assert spark.range(1).select(W.cusum_peak(F.array(*[F.lit(x) for x in (1.0, 1.0, 0.0)]), F.lit(0.5)).alias("c")).first().c == pytest.approx(0.5)
+    values = [float(i * 37 % 101) for i in range(60)]
+    rows = spark.createDataFrame([(t, i, day(i), x) for t in (1, 2) for i, x in enumerate(values)], "team_id int, game_id int, game_date date, x double")
+    got = W.exponential_means(rows, "x", {"e": (0.3, 2)}, "team_id", block=8).where("team_id = 2").orderBy("game_id").collect()
+    for n, r in enumerate(got):
+        weights = [0.7 ** (n - 1 - i) for i in range(n)]
+        assert r.e is None if n < 2 else r.e == pytest.approx(sum(w * x for w, x in zip(weights, values, strict=False)) / sum(weights), rel=1e-12)
 
 
 def test_zermelo_orders_teams_by_strength(spark):
