@@ -36,7 +36,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 class Encoder:
-    def __init__(self, vocab: Vocab, max_pieces: int = 1_000_000, max_chars: int = 64):
+    def __init__(self, vocab: Vocab, max_pieces: int = 200_000, max_chars: int = 64):
         code = {c: b for b, c in enumerate(byte_letters())}
         self.ids = {bytes(code[c] for c in t): i for t, i in vocab.tokens.items()}
         self.spelling = {i: t for t, i in self.ids.items()} | {i: s.encode() for s, i in vocab.special.items()}
@@ -110,7 +110,7 @@ class Encoder:
                 found.append(last[at])
                 at = start[at]
             out[word] = found[::-1]
-        if len(beside) > 4_000_000:
+        if len(beside) > 500_000:
             beside.clear()
         return out
 
@@ -188,7 +188,7 @@ def _slices(b: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
         yield b.slice(at, rows)
 
 
-def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False, max_pieces: int = 1_000_000) -> DataFrame:
+def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False, max_pieces: int = 200_000) -> DataFrame:
     """doc_id, ids array<int> for every row; with ``decoded`` also the text that the ids decode to, in the same pass."""
     vocab = docs.sparkSession.sparkContext.broadcast(load_vocab(vocab_path))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
