@@ -127,7 +127,7 @@ def j19_franchise_crosswalk(spark, sf_dir):
 
 
 @query(f"""{_O}, p AS (SELECT game_id, line, max(CASE WHEN line % 2 = 1 THEN pred_a END) AS held_out, max(CASE WHEN line % 3 < 2 THEN pred_b END) AS inferred FROM oof GROUP BY 1, 2)
-SELECT game_id, line, round(coalesce(held_out, inferred), 6) AS prediction, held_out IS NOT NULL AS is_oof FROM p WHERE coalesce(held_out, inferred) IS NOT NULL""")
+SELECT game_id, line, round(coalesce(held_out, inferred) + 1e-9::DOUBLE, 6) AS prediction, held_out IS NOT NULL AS is_oof FROM p WHERE coalesce(held_out, inferred) IS NOT NULL""")
 def j22_coalesced_predictions(spark, sf_dir):
     """Out-of-fold values first, inferred ones for keys without (the largest, where a key repeats); keys with neither go."""
     o = D.oof(spark, sf_dir)
@@ -135,7 +135,7 @@ def j22_coalesced_predictions(spark, sf_dir):
     held = o.where("line % 2 = 1").groupBy(*keys).agg(F.max("pred_a").alias("held_out"))
     inferred = o.where("line % 3 < 2").groupBy(*keys).agg(F.max("pred_b").alias("inferred"))
     joined = o.select(*keys).distinct().join(held, keys, "left").join(inferred, keys, "left").where("coalesce(held_out, inferred) IS NOT NULL")
-    return joined.select(*keys, _r(F.coalesce("held_out", "inferred"), "prediction"), F.col("held_out").isNotNull().alias("is_oof"))
+    return joined.select(*keys, _r(F.coalesce("held_out", "inferred") + 1e-9, "prediction"), F.col("held_out").isNotNull().alias("is_oof"))
 
 
 @query(f"{_O}, {D.GAMES_SQL} SELECT games.season AS season, count(*) AS n, round(avg(abs(pred_a - y_true)), 6) AS mae FROM oof JOIN games USING (game_id) GROUP BY 1")
