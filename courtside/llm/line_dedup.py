@@ -9,7 +9,8 @@ bit-parallel automaton: one bit for each diagonal and one word for each number o
 Only hashes move: keys for distinct lines, and texts of candidates. Where many lines share a segment, the pairs of its
 group are not made: the members' remaining characters (without that segment) are joined again in the same way, within
 the group, until groups are small. Lines of one group whose rests are of t characters at most are all alike; each is
-paired with the first of them only.
+paired with the first of them only. A segment counts as shared by the lines indexed under it, not by those that probe it:
+few lines that many probe still give all those pairs.
 
 A line is dropped if a line alike is in a document before its own, or further up in its own, whether that one is dropped
 or not: in a chain of lines alike only those stay that have none before them. Lines are compared without white space at
