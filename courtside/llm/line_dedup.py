@@ -6,11 +6,14 @@ alike, shifted by what the edits before and after it allow; so each distinct lin
 probes the indexes of its own and of up to t smaller lengths with those substrings. Candidates are verified by a banded
 bit-parallel automaton: one bit for each diagonal and one word for each number of errors, a step for each character.
 
-Only hashes move: keys for distinct lines, and texts of candidates. Where many lines share a segment, the pairs of its
-group are not made: the members' remaining characters (without that segment) are joined again in the same way, within
-the group, until groups are small. Lines of one group whose rests are of t characters at most are all alike; each is
-paired with the first of them only. A segment counts as shared by the lines indexed under it, not by those that probe it:
-few lines that many probe still give all those pairs.
+Only hashes move: keys for distinct lines, and texts of candidates. Keys are counted first, and those that one line
+alone has are left out. A group of a key gives its pairs (lines indexed times lines that probe) if they are no more than
+``hot`` for each of its rows, so that pairs grow with rows and not with the square of a group. Else the members'
+remaining characters (without that segment) are joined again in the same way, within the group, until groups are small.
+Lines of one group whose rests are of t characters at most are all alike; each is paired with the first of them only.
+Two lines that share several segments are paired by one of them: by the first segment, else the last, else one between.
+Rows of other segments carry the hashes of those before in that order ("earlier"); pairs that agree in one aren't made,
+and a group whose rows all agree in one goes, as its pairs are found by the other segment.
 
 A line is dropped if a line alike is in a document before its own, or further up in its own, whether that one is dropped
 or not: in a chain of lines alike only those stay that have none before them. Lines are compared without white space at
@@ -170,7 +173,7 @@ def _found(at: Column, length: Column, n: Column) -> Column:
     return (at >= 1) & (length > 0) & (at + length - 1 <= n)
 
 
-def similar_lines(docs: DataFrame, edits: Edits = EDITS, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", hot: int = 32, broadcast_rows: int = 200_000) -> DataFrame:
+def similar_lines(docs: DataFrame, edits: Edits = EDITS, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", hot: int = 8, broadcast_rows: int = 200_000) -> DataFrame:
     """a, b (hashes of distinct lines): pairs of lines alike, each once.
 
     Among lines that differ in a few characters at one place, only pairs with the one that occurs first are sure to be there.
@@ -181,11 +184,16 @@ def similar_lines(docs: DataFrame, edits: Edits = EDITS, min_chars: int = 20, id
     names = [f"k{i}" for i in range(len(specs))]
     keyed = lines.select("h", "g", "n", F.struct("doc_id", "pos").alias("at"), *[k.alias(c) for c, k in zip(names, segment_keys(F.col("line"), F.col("n"), edits), strict=True)])
     distinct = keyed.groupBy("h", "g", "n").agg(F.min("at").alias("at"), *[F.max(c).alias(c) for c in names])
-    distinct = materialize(distinct.drop("g", "n"), "line-keys")
+    distinct = materialize(distinct.drop("g"), "line-keys")
 
-    def exploded(count: int) -> DataFrame:
-        keys = F.explode(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("key"), F.lit(i).alias("spec"))) for i, c in enumerate(names[:count])])))
-        return distinct.select("h", "at", keys.alias("x")).select("x.key", "x.spec", "h", "at")
+    def weighed(rows: DataFrame, indexed: Column, probing: Column, level: int) -> DataFrame:
+        """key, heavy (whether its pairs are too many) of the keys that two lines have, one of them indexed."""
+        i, p = F.sum(indexed.cast("long")), F.sum(probing.cast("long"))
+        counted = rows.groupBy("key").agg(i.alias("i"), p.alias("p"), F.min("h").alias("low"), F.max("h").alias("high"), *[agg(F.get("earlier", F.lit(k))).alias(f"{name}{k}") for k in range(2 * level + 2) for name, agg in (("least", F.min), ("most", F.max))])
+        for k in range(2 * level + 2):  # all rows of a group have the same slots
+            counted = counted.where(F.coalesce(F.col(f"least{k}") < F.col(f"most{k}"), F.lit(True)))
+        counted = counted.where("i > 0 AND low < high").select("key", (F.col("i") * F.col("p") > hot * (F.col("i") + F.col("p"))).alias("heavy"))
+        return materialize(counted, "shared-segments")
 
     def ordered(rows: DataFrame) -> DataFrame:
         """Rows (a, b, at_a, at_b) with a < b."""
@@ -193,7 +201,9 @@ def similar_lines(docs: DataFrame, edits: Edits = EDITS, min_chars: int = 20, id
         return rows.where("a <> b").select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(n) for n, x, y in (("a", "a", "b"), ("b", "b", "a"), ("at_a", "at_a", "at_b"), ("at_b", "at_b", "at_a"))])
 
     def crossed(index: DataFrame, probe: DataFrame) -> DataFrame:
-        return ordered(index.select("key", F.col("h").alias("a"), F.col("at").alias("at_a")).join(probe.select("key", F.col("h").alias("b"), F.col("at").alias("at_b")), "key"))
+        a = index.select(F.col("key").alias("ka"), F.col("h").alias("a"), F.col("at").alias("at_a"), F.col("earlier").alias("ea"))
+        b = probe.select(F.col("key").alias("kb"), F.col("h").alias("b"), F.col("at").alias("at_b"), F.col("earlier").alias("eb"))
+        return ordered(a.join(b, (F.col("ka") == F.col("kb")) & (F.col("a") != F.col("b")) & ~F.coalesce(F.arrays_overlap("ea", "eb"), F.lit(False))))
 
     def fetched(wanted: DataFrame) -> DataFrame:
         """h, line of the lines (h, at) wanted, from their first places."""
@@ -203,13 +213,28 @@ def similar_lines(docs: DataFrame, edits: Edits = EDITS, min_chars: int = 20, id
         texts = _lines(some, id_col, text_col, min_chars).join(hint(wanted), ["h", "doc_id"], "left_semi")
         return materialize(texts.groupBy("h").agg(F.first("line").alias("line")), "line-texts")
 
-    index, probe = exploded(own), exploded(len(specs))
-    many = materialize(index.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("key"), "hot-segments")
-    found = [crossed(index.join(many, "key", "left_anti"), probe)]
-
-    if not many.isEmpty():
-        rows = index.withColumn("own", F.lit(True)).unionByName(probe.withColumn("own", F.lit(False))).join(many, "key")
-        rows = materialize(rows, "hot-lines")
+    def entry(k: int) -> Column:
+        diff, i, _ = specs[k]
+        t = _allowed(F.col("n") - diff, edits)
+        first, last = F.lit(None).cast("long"), F.lit(None).cast("long")
+        if i:
+            first = F.col(names[specs.index((diff, 0, 0))])
+            for e in {e for _, e in edits if i < e and diff <= e}:
+                last = F.when(t == e, F.col(names[specs.index((diff, e, diff))])).otherwise(last)
+        return F.when(F.col(names[k]).isNotNull(), F.struct(F.col(names[k]).alias("key"), F.lit(k).alias("spec"), F.array(first, last).alias("earlier")))
+
+    keys = F.explode(F.array_compact(F.array(*map(entry, range(len(specs))))))
+    every = distinct.select("h", "at", keys.alias("x")).select("x.key", "x.spec", "h", "at", "x.earlier")
+    indexed = F.col("spec") < own
+    shared = weighed(every, indexed, F.lit(True), 0)
+    few = shared.count() <= broadcast_rows  # beyond, both sides are shuffled
+    every = materialize(every.join(F.broadcast(shared) if few else shared, "key"), "shared-lines")
+    light = every.where("NOT heavy")
+    found = [crossed(light.where(indexed), light)]
+
+    rows = every.where("heavy").drop("heavy")
+    if not rows.isEmpty():
+        rows = rows.where(indexed).withColumn("own", F.lit(True)).unionByName(rows.withColumn("own", F.lit(False)))
         texts = fetched(rows.select("h", "at"))
         n, line, d = F.length("line"), F.col("line"), F.col("d")
         # the rows with, as line, what is left without the substring of their key; t edits may be in it
@@ -219,17 +244,25 @@ def similar_lines(docs: DataFrame, edits: Edits = EDITS, min_chars: int = 20, id
             start, length = segment(n - diff, i, t)
             part = F.struct(_without(line, start + shift, length).alias("line"), F.lit(diff).alias("d"), t.alias("t"), F.lit(shift != 0).alias("moved"))
             cut = F.when(F.col("spec") == k, part) if cut is None else cut.when(F.col("spec") == k, part)
-        rows = rows.join(texts, "h").select("own", "key", "h", "at", cut.alias("x")).select("own", "key", "h", "at", "x.*")
+        rows = rows.join(texts, "h").select("own", "key", "h", "at", "earlier", cut.alias("x")).select("own", "key", "h", "at", "earlier", "x.*")
+        level = 0
         while True:
+            level += 1
             made = []
             for t in {t for _, t in edits}:
                 for diff, i, shift in probes(t):
                     start, length = segment(n - diff, i, t)
                     at = start + shift
-                    part = F.struct(F.xxhash64("key", n - diff, F.lit(i), F.substring(line, at, length)).alias("key"), _without(line, at, length).alias("line"), (F.col("moved") | F.lit(shift != 0)).alias("moved"), F.lit(False).alias("last"))
+                    (_, size), (tail, tail_size) = segment(n - diff, 0, t), segment(n - diff, t, t)
+                    none = F.lit(None).cast("long")
+                    first = F.xxhash64(F.size("earlier"), F.substring(line, F.lit(1), size)) if i else none
+                    last = F.xxhash64(F.size("earlier") + 1, F.substring(line, tail + diff, tail_size)) if 0 < i < t else none
+                    part = F.struct(F.array(first, last).alias("new"), F.xxhash64("key", n - diff, F.lit(i), F.substring(line, at, length)).alias("key"), _without(line, at, length).alias("line"), (F.col("moved") | F.lit(shift != 0)).alias("moved"), F.lit(False).alias("last"))
                     made.append(F.when((F.col("t") == t) & (n - d > t) & (d == diff) & _found(at, length, n) & (~F.col("own") | F.lit(diff == 0 and shift == 0)), part))
-            made.append(F.when(n - d <= F.col("t"), F.struct(F.xxhash64("key", F.lit(-1)).alias("key"), F.lit("").alias("line"), F.col("moved"), F.lit(True).alias("last"))))
-            rows = rows.select("own", "h", "at", "d", "t", F.explode(F.array_compact(F.array(*made))).alias("x")).select("own", "x.key", "h", "at", "x.line", "d", "t", "x.moved", "x.last").distinct()
+            made.append(F.when(n - d <= F.col("t"), F.struct(F.lit(None).cast("array<bigint>").alias("new"), F.xxhash64("key", F.lit(-1)).alias("key"), F.lit("").alias("line"), F.col("moved"), F.lit(True).alias("last"))))
+            rows = rows.select("own", "h", "at", "d", "t", "earlier", F.explode(F.array_compact(F.array(*made))).alias("x"))
+            earlier = F.concat("earlier", F.coalesce("x.new", F.array().cast("array<bigint>"))).alias("earlier")
+            rows = rows.select("own", "x.key", "h", "at", "x.line", "d", "t", "x.moved", "x.last", earlier).distinct()
             rows = materialize(rows, "hot-rests")
             # rests too short to be cut: those of one length and at one place are all alike, others give the pairs of their group
             ends = rows.where("last AND own")
@@ -237,11 +270,12 @@ def similar_lines(docs: DataFrame, edits: Edits = EDITS, min_chars: int = 20, id
             found.append(ordered(ends.join(first, "key").select(F.col("h").alias("a"), F.col("least.h").alias("b"), F.col("at").alias("at_a"), F.col("least.at").alias("at_b"))))
             found.append(crossed(ends, rows.where("last AND NOT own AND (d > 0 OR moved)")))
             rows = rows.where("NOT last").drop("last")
-            many = materialize(rows.where("own").groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("key"), "hot-segments")
-            found.append(crossed(rows.where("own").join(many, "key", "left_anti"), rows.where("NOT own")))
-            if many.isEmpty():
+            rows = rows.join(weighed(rows, F.col("own"), ~F.col("own"), level), "key")
+            light = rows.where("NOT heavy")
+            found.append(crossed(light.where("own"), light.where("NOT own")))
+            rows = rows.where("heavy").drop("heavy")
+            if rows.isEmpty():
                 break
-            rows = rows.join(many, "key")
 
     pairs = found[0]
     for more in found[1:]:
