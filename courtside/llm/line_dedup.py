@@ -111,7 +111,8 @@ def alike(a: Column, b: Column, edits: int) -> Column:
     def decided(x: Column) -> Column:
         long = F.greatest(F.length(x["a"]), F.length(x["b"]))
         some = _let(F.struct(F.split(x["a"], "").alias("a"), F.split(x["b"], "").alias("b")), lambda y: _alike(y["a"], y["b"], edits))
-        return F.when(long <= edits, True).when(F.least(F.length(x["a"]), F.length(x["b"])) == 0, False).otherwise(some)
+        may = ends_may_be_alike(x["a"], x["b"], edits)
+        return F.when(long <= edits, True).when((F.least(F.length(x["a"]), F.length(x["b"])) == 0) | ~may, False).otherwise(some)
 
     return _let(inner, decided)
 
@@ -147,6 +148,16 @@ def _alike(a: Column, b: Column, edits: int) -> Column:
     return ended[f"e{edits}"].bitwiseAND(F.call_function("shiftleft", F.lit(1), edits + F.size(a) - F.size(b))) != 0
 
 
+def ends_may_be_alike(a: Column, b: Column, edits: int) -> Column:
+    """False only for strings that aren't alike: the same of blocks of four characters, six from either end."""
+    size, n = 4, 6
+    found = F.lit(0)
+    for k in range(n):
+        for at, there in ((F.lit(1 + k * size), F.lit(1 + k * size)), (F.length(a) - (k + 1) * size + 1, F.length(b) - (k + 1) * size + 1)):
+            found = found + F.substring(b, F.greatest(F.lit(1), there - edits), F.lit(size + 2 * edits)).contains(F.substring(a, at, F.lit(size))).cast("int")
+    return (F.length(a) < 2 * n * size) | (found >= 2 * n - edits)
+
+
 def may_be_alike(a: Column, b: Column, edits: int) -> Column:
     """False only for strings that aren't alike: of the 6 * edits blocks of a, each edit spoils one at most, and the others are in b near their place."""
     n = 6 * edits
@@ -238,31 +249,38 @@ def similar_lines(docs: DataFrame, edits: Edits = EDITS, min_chars: int = 20, id
         texts = fetched(rows.select("h", "at"))
         n, line, d = F.length("line"), F.col("line"), F.col("d")
         # the rows with, as line, what is left without the substring of their key; t edits may be in it
-        cut = None
-        for k, (diff, i, shift) in enumerate(specs):
-            t = _allowed(n - diff, edits)
-            start, length = segment(n - diff, i, t)
-            part = F.struct(_without(line, start + shift, length).alias("line"), F.lit(diff).alias("d"), t.alias("t"), F.lit(shift != 0).alias("moved"))
-            cut = F.when(F.col("spec") == k, part) if cut is None else cut.when(F.col("spec") == k, part)
-        rows = rows.join(texts, "h").select("own", "key", "h", "at", "earlier", cut.alias("x")).select("own", "key", "h", "at", "earlier", "x.*")
+        spec = F.get(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("d", "i", "shift"), x, strict=True)]) for x in specs]), F.col("spec"))
+        rows = rows.join(texts, "h").withColumn("s", spec).withColumn("t", _allowed(n - F.col("s.d"), edits))
+        start, length = segment(n - F.col("s.d"), F.col("s.i"), F.col("t"))
+        rows = rows.select("own", "key", "h", "at", "earlier", _without(line, start + F.col("s.shift"), length).alias("line"), F.col("s.d").alias("d"), "t", (F.col("s.shift") != 0).alias("moved"))
+        # the substrings to look up, as rows; -1 for rests that are too short to be cut
+        named = [F.struct(*[F.lit(v).alias(c) for c, v in zip(("t", "d", "i", "shift"), (t, *x), strict=True)]) for t in sorted({t for _, t in edits}) for x in probes(t)]
+        short = F.struct(F.col("t"), F.col("d"), F.lit(-1).alias("i"), F.lit(0).alias("shift"))
+        taken = F.filter(F.array(*named), lambda x: (x["t"] == F.col("t")) & (x["d"] == F.col("d")) & (~F.col("own") | ((x["d"] == 0) & (x["shift"] == 0))))
+        cuts = F.when(n - d <= F.col("t"), F.array(short)).otherwise(taken)
         level = 0
         while True:
             level += 1
-            made = []
-            for t in {t for _, t in edits}:
-                for diff, i, shift in probes(t):
-                    start, length = segment(n - diff, i, t)
-                    at = start + shift
-                    (_, size), (tail, tail_size) = segment(n - diff, 0, t), segment(n - diff, t, t)
-                    none = F.lit(None).cast("long")
-                    first = F.xxhash64(F.size("earlier"), F.substring(line, F.lit(1), size)) if i else none
-                    last = F.xxhash64(F.size("earlier") + 1, F.substring(line, tail + diff, tail_size)) if 0 < i < t else none
-                    part = F.struct(F.array(first, last).alias("new"), F.xxhash64("key", n - diff, F.lit(i), F.substring(line, at, length)).alias("key"), _without(line, at, length).alias("line"), (F.col("moved") | F.lit(shift != 0)).alias("moved"), F.lit(False).alias("last"))
-                    made.append(F.when((F.col("t") == t) & (n - d > t) & (d == diff) & _found(at, length, n) & (~F.col("own") | F.lit(diff == 0 and shift == 0)), part))
-            made.append(F.when(n - d <= F.col("t"), F.struct(F.lit(None).cast("array<bigint>").alias("new"), F.xxhash64("key", F.lit(-1)).alias("key"), F.lit("").alias("line"), F.col("moved"), F.lit(True).alias("last"))))
-            rows = rows.select("own", "h", "at", "d", "t", "earlier", F.explode(F.array_compact(F.array(*made))).alias("x"))
-            earlier = F.concat("earlier", F.coalesce("x.new", F.array().cast("array<bigint>"))).alias("earlier")
-            rows = rows.select("own", "x.key", "h", "at", "x.line", "d", "t", "x.moved", "x.last", earlier).distinct()
+            rows = rows.select("own", "key", "h", "at", "d", "t", "earlier", "line", "moved", n.alias("n"), F.explode(cuts).alias("s"))
+            i, base = F.col("s.i"), F.col("n") - d
+            start, length = segment(base, i, F.col("t"))
+            at = start + F.col("s.shift")
+            rows = rows.where((i < 0) | _found(at, length, F.col("n")))
+            (_, size), (tail, tail_size) = segment(base, 0, F.col("t")), segment(base, F.col("t"), F.col("t"))
+            first = F.when(i > 0, F.xxhash64(F.size("earlier"), F.substring(line, F.lit(1), size)))
+            last = F.when((i > 0) & (i < F.col("t")), F.xxhash64(F.size("earlier") + 1, F.substring(line, tail + d, tail_size)))
+            rows = rows.select(
+                "own",
+                F.when(i < 0, F.xxhash64("key", i)).otherwise(F.xxhash64("key", base, i, F.substring(line, at, length))).alias("key"),
+                "h",
+                "at",
+                F.when(i < 0, F.lit("")).otherwise(_without(line, at, length)).alias("line"),
+                "d",
+                "t",
+                (F.col("moved") | (F.col("s.shift") != 0)).alias("moved"),
+                (i < 0).alias("last"),
+                F.when(i < 0, F.col("earlier")).otherwise(F.concat("earlier", F.array(first, last))).alias("earlier"),
+            ).distinct()
             rows = materialize(rows, "hot-rests")
             # rests too short to be cut: those of one length and at one place are all alike, others give the pairs of their group
             ends = rows.where("last AND own")
@@ -280,7 +298,8 @@ def similar_lines(docs: DataFrame, edits: Edits = EDITS, min_chars: int = 20, id
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
-    pairs = materialize(pairs.distinct(), "line-pairs")
+    # a number of its own, as verification takes far more time than the bytes of pairs tell
+    pairs = materialize(pairs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b").distinct(), "line-pairs")
     texts = fetched(pairs.select(F.col("a").alias("h"), F.col("at_a").alias("at")).unionByName(pairs.select(F.col("b").alias("h"), F.col("at_b").alias("at"))))
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("ta")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("tb")), "b")
     both = both.withColumn("t", _allowed(F.least(F.length("ta"), F.length("tb")), edits)).where(F.abs(F.length("ta") - F.length("tb")) <= F.col("t"))
