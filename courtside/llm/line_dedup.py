@@ -184,7 +184,7 @@ def _found(at: Column, length: Column, n: Column) -> Column:
     return (at >= 1) & (length > 0) & (at + length - 1 <= n)
 
 
-def similar_lines(docs: DataFrame, edits: Edits = EDITS, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", hot: int = 8, broadcast_rows: int = 200_000) -> DataFrame:
+def similar_lines(docs: DataFrame, edits: Edits = EDITS, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", hot: int = 8, broadcast_rows: int = 200_000, broadcast_bytes: int = 16_000_000) -> DataFrame:
     """a, b (hashes of distinct lines): pairs of lines alike, each once.
 
     Among lines that differ in a few characters at one place, only pairs with the one that occurs first are sure to be there.
@@ -301,7 +301,9 @@ def similar_lines(docs: DataFrame, edits: Edits = EDITS, min_chars: int = 20, id
     # a number of its own, as verification takes far more time than the bytes of pairs tell
     pairs = materialize(pairs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b").distinct(), "line-pairs")
     texts = fetched(pairs.select(F.col("a").alias("h"), F.col("at_a").alias("at")).unionByName(pairs.select(F.col("b").alias("h"), F.col("at_b").alias("at"))))
-    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("ta")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("tb")), "b")
+    held = texts.agg(F.coalesce(F.sum(64 + F.octet_length("line")), F.lit(0))).first()[0]
+    hint = F.broadcast if held <= broadcast_bytes else (lambda d: d)  # beyond, both sides are shuffled
+    both = pairs.select("a", "b").join(hint(texts.select(F.col("h").alias("a"), F.col("line").alias("ta"))), "a").join(hint(texts.select(F.col("h").alias("b"), F.col("line").alias("tb"))), "b")
     both = both.withColumn("t", _allowed(F.least(F.length("ta"), F.length("tb")), edits)).where(F.abs(F.length("ta") - F.length("tb")) <= F.col("t"))
     may, sure = F.lit(False), F.lit(False)
     for t in {t for _, t in edits}:
