@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtside.llm.bpe import encode
+from courtside.llm.collocations import collocations
 from courtside.llm.decontaminate import leaks
 from courtside.llm.html_text import extract_text
 from courtside.llm.line_dedup import dedup_lines
+from courtside.llm.manifest import digest_of, folded, proof_digest, proofs
 from courtside.llm.near_dups import near_duplicates
 from courtside.llm.quality_rules import judge_quality
 from courtside.llm.secret_scan import scan_secrets
+from courtside.llm.sharding import read_shards, shard_of, with_slots, write_shards
 from courtside.llm.token_counts import count_tokens
 from courtside.llm.url_filters import judge_urls
 from courtside.llm.warc import id_of, read_warc, resolve_revisits, write_warc
@@ -85,7 +88,38 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_line_dedup, op4_url_filters, op5_html, op6_near_dups, op7_secret_scan, op8_quality_rules, op9_token_counts, op10_warc)}
+#: Letters that tampering changes, and what they become.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SHARDS, SHARD_SEED = 8, 20
+SHARD_LAW = "key"
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    lower = [F.translate("text", UPPER, LOWER) if c == "text" else F.col(c) for c in fields]
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    leaf = digest_of(*[F.col(c) for c in fields])
+    leaves = docs.select("doc_id", "source", leaf.alias("digest"), F.when(tampered, digest_of(*lower)).alias("tampered"))
+    found = proofs(leaves, "source", ["doc_id"]).withColumn("folded_root", folded(F.coalesce("tampered", "digest"), F.col("path")))
+    return found.select("doc_id", F.col("digest").alias("leaf"), "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "shards")
+    docs = table(spark, sf_dir, "documents")
+    write_shards(docs, path, shards=SHARDS, seed=SHARD_SEED)
+    text, doc_id = F.coalesce("record.text", F.lit("")), F.col("record.doc_id")
+    laid = read_shards(spark, path, docs.schema)
+    found = with_slots(laid.select("shard", "bucket", "place", doc_id.alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")), laid)
+    return found.select("doc_id", "size", "text_crc32", F.lit(SHARD_LAW).alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), shard_of(F.col("doc_id"), SHARDS + 1, SHARD_SEED).alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_line_dedup, op4_url_filters, op5_html, op6_near_dups, op7_secret_scan, op8_quality_rules, op9_token_counts, op10_warc, op11_merkle_manifest, op12_collocations, op13_sharding)}
 
 _HOST_PATH = r"""
   SELECT page_id,
@@ -97,7 +131,65 @@ _HOST_PATH = r"""
 _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(s, {1 + 10 * i}, 10) AS BIGINT) >> {35 - 5 * j}) & 31)::INT, 1)" for i in range(4) for j in range(8)
 )
+#: The unsigned CRC-32 of the text ``{0}``, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({0}) + 1), lambda i: ord(substr({0}, i, 1))::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))))"""
+
+
+def _merkle_levels(name: str, group: str, levels: int) -> str:
+    """Tables {name}1.. of the nodes above those of {name}0(group, p, d), with what stands left and right of each node."""
+    out = []
+    for k in range(levels):
+        run = f"PARTITION BY {group}, p // 16 ORDER BY p"
+        out.append(f"""{name}s{k} AS (SELECT *, coalesce(string_agg(d, '') OVER ({run} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(d, '') OVER ({run} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM (SELECT *, count(*) OVER (PARTITION BY {group}) AS n FROM {name}{k}) WHERE n > 1)""")
+        out.append(f"{name}{k + 1} AS (SELECT {group}, p // 16 AS p, sha256(string_agg(d, '' ORDER BY p)) AS d FROM {name}s{k} GROUP BY ALL)")
+    return ",\n".join(out)
+
+
+def _folds(digest: str, steps: list[str]) -> str:
+    for s in steps:
+        digest = f"CASE WHEN {s}.l IS NULL THEN {digest} ELSE sha256({s}.l || {digest} || {s}.r) END"
+    return digest
+
+
+def _merkle_sql(levels: int = 4, upper: int = 2) -> str:
+    """Good for 16 ** levels documents of a source and 16 ** upper sources."""
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    steps = [f"a{k}" for k in range(levels)] + [f"b{k}" for k in range(upper)]
+    joins = "".join(f" LEFT JOIN es{k} a{k} ON a{k}.g = e0.g AND a{k}.p = e0.p // {16**k}" for k in range(levels)) + "".join(f" LEFT JOIN ts{k} b{k} ON b{k}.p = e0.g // {16**k}" for k in range(upper))
+    tops = " UNION ALL ".join(f"SELECT g, any_value(d) AS d FROM e{k} GROUP BY g HAVING count(*) = 1" for k in range(levels + 1))
+    # a group's node that stays alone is carried no further: the first of these tables that has it alone is its subroot
+    roots = " UNION ALL ".join(f"SELECT any_value(d) AS d FROM t{k} HAVING count(*) = 1" for k in range(upper + 1))
+    return f"""WITH h AS (SELECT doc_id, source, {leaf("text")} AS d, CASE WHEN {_CRC32.format("doc_id::VARCHAR")} % 5 = 0 THEN {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS x FROM documents),
+e0 AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, d) - 1 AS p FROM h),
+{_merkle_levels("e", "g", levels)},
+tops AS ({tops}),
+t0 AS (SELECT 0 AS z, g AS p, d FROM tops),
+{_merkle_levels("t", "z", upper)},
+roots AS ({roots})
+SELECT e0.doc_id, e0.d AS leaf, tops.d AS subroot, roots.d AS root, sha256({" || ".join(f"coalesce({s}.l || {s}.r, '')" for s in steps)}) AS proof_sha256,
+  {_folds("coalesce(e0.x, e0.d)", steps)} AS folded_root, {_folds("coalesce(e0.x, e0.d)", steps)} = roots.d AS verified
+FROM e0 JOIN tops ON tops.g = e0.g CROSS JOIN roots{joins}"""
+
+
+_GRAMS = " UNION ALL ".join(f"SELECT lang, unnest(list_transform(range(1, len(w) - {m - 2}), lambda i: w[i:i + {m - 1}])) AS g FROM w" for m in (1, 2, 3, 4))
+_CUTS = " UNION ALL ".join(f"SELECT lang, g, a, {k} AS k, g[:{k}] AS x, g[{k + 1}:] AS y FROM c WHERE len(g) > {k}" for k in (1, 2, 3))
 SQL = {
+    "op11_merkle_manifest": _merkle_sql(),
+    "op12_collocations": rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]'), lambda x: x <> '') AS w FROM pieces),
+f AS (SELECT lang, g, count(*) AS a FROM ({_GRAMS}) GROUP BY ALL),
+c AS (SELECT *, array_to_string(g, ' ') AS phrase FROM f WHERE a >= 30 AND len(g) > 1),
+cuts AS (SELECT q.lang, q.g, q.a, k, l.a AS l, r.a AS r, 2000000::HUGEINT * q.a // (l.a + r.a) AS score FROM ({_CUTS}) q JOIN f l ON l.lang = q.lang AND l.g = q.x JOIN f r ON r.lang = q.lang AND r.g = q.y),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS nth FROM cuts),
+kept AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.lang = c.lang AND len(b.g) > len(c.g) AND contains(' ' || b.phrase || ' ', ' ' || c.phrase || ' ') AND 100 * b.a >= 80 * c.a)),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, best.a DESC, phrase) AS rank, phrase, best.a AS a, l, r, score FROM best JOIN kept USING (lang, g) WHERE nth = 1)
+SELECT lang, rank, phrase, a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked JOIN (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang) USING (lang) WHERE rank <= 2000
+""",
     "op4_url_filters": f"""
 WITH u AS ({_HOST_PATH}),
 r(host, path, verdict) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
