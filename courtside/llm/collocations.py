@@ -9,12 +9,15 @@ an interval's length is the phrase's count in the shard.
 
 Counts are summed over shards for one length at a time. Only phrases that are frequent over all shards are extended, and
 only to phrases whose other part is frequent too, which loses no frequent phrase. A phrase of n + 1 words is named by
-its first and its last n words; the name of a phrase is the least (shard, place in the forward index) that it has, so
-that names need no dictionary that all tasks hold. Indexes are written once, clustered by shard: only intervals are
-shuffled between the rounds.
+its first and its last n words. A shard proposes its phrases to parts (a hash of both names tells which), as packed
+columns of names and counts, one row for each part; a part sums the counts of all shards, numbers what is frequent and
+tells each shard which of its own proposals those are. A shard then finds their intervals again by extending from its
+words, which is cheaper than to keep them. So no task needs a dictionary of all words or phrases, and names and counts
+are all that is shuffled; the indexes themselves are written once, clustered by shard.
 
-A task holds one index of a shard; the rows with one name are as many as shards. A shard holds a text of any length in
-one piece (its memory grows with the longest text only).
+A task holds the index of one shard, or one part: at most ``part_words`` proposals on average, each of them once for
+each shard at most, so that no common phrase is hot. A shard holds a text of any length whole (its memory grows with the
+longest text only).
 
 Defined results: null texts are empty, a null language counts as ``und``; repeated rows all count; other columns are not
 read; an empty table has no phrases. Ties are in the order of the phrases' bytes. A table may be read in up to 2**20
@@ -33,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from courtside.llm.words import mix
 from courtside.shared import fresh_path, materialize
 
 #: The bytes that end a piece; a byte that UTF-8 has not stands for them.
@@ -40,16 +44,26 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 _END = b"\xff"
 _TABLE = bytes.maketrans(ENDS + b"\t" + bytes(range(65, 91)), _END * len(ENDS) + b" " + bytes(range(97, 123)))
 _SHARD = "shard long, n_symbols long, forward binary, reverse binary, langs array<string>, words array<string>, lo array<int>, counts array<int>, lang_of array<int>"
-_GROWN = pa.schema([("shard", pa.int64()), ("p", pa.int64()), ("s", pa.int64()), ("lo", pa.int32()), ("rlo", pa.int32()), ("n", pa.int32())])
+_KNOWN = pa.schema([("shard", pa.int64()), ("length", pa.int32()), ("part", pa.int64()), ("places", pa.binary()), ("names", pa.binary())])
+_PROPOSED = pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("p", pa.binary()), ("s", pa.binary()), ("n", pa.binary())])
+_JUDGED = pa.schema([*_KNOWN, *[(c, pa.list_(pa.int64())) for c in "psf"]])
+
+
+def _ddl(schema: pa.Schema) -> str:
+    kinds = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
+    return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
 def _packed(a: np.ndarray) -> bytes:
-    """Bytes of equal weight together, which compress."""
-    return np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """Whole numbers with bytes of equal weight together, compressed."""
+    planes = np.ascontiguousarray(a.astype("<i8").view(np.uint8).reshape(-1, 8).T)
+    return len(a).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
 def _unpacked(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    n = int.from_bytes(b[:8], "little")
+    planes = np.frombuffer(pa.decompress(b[8:], n * 8, "zstd", asbytes=True), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
 
 
 def transform(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -74,8 +88,13 @@ class Index:
     def __init__(self, forward: np.ndarray, reverse: np.ndarray):
         self.n = len(forward)
         self.sides = (forward, reverse)
-        # (symbol, place) pairs in order: the rank of (c, i) is where the interval of c before i begins
-        self.placed = tuple(np.sort(side * (self.n + 1) + np.arange(self.n)) for side in self.sides)
+        self.placed: dict[bool, np.ndarray] = {}
+
+    def begins(self, left: bool, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where the interval of a phrase begins that has this symbol before the one whose interval begins at ``at``."""
+        if left not in self.placed:  # (symbol, place) pairs in order: the rank of one is the answer
+            self.placed[left] = np.sort(self.sides[not left] * (self.n + 1) + np.arange(self.n))
+        return np.searchsorted(self.placed[left], symbol * (self.n + 1) + at)
 
     @classmethod
     def of(cls, symbols: np.ndarray, depth: int) -> Index:
@@ -84,7 +103,7 @@ class Index:
     def grown(self, lo: np.ndarray, rlo: np.ndarray, n: np.ndarray, left: bool) -> tuple[np.ndarray, ...]:
         """(number of the phrase, symbol, lo, rlo, n) of all phrases with one more word on the left, or on the right."""
         here, there = (lo, rlo) if left else (rlo, lo)
-        side = self.sides[0 if left else 1]
+        side = self.sides[not left]
         total = int(n.sum())
         owner = np.repeat(np.arange(len(n)), n)
         at = np.repeat(here - (np.cumsum(n) - n), n) + np.arange(total)
@@ -94,7 +113,7 @@ class Index:
         count = np.diff(np.r_[head, total])
         owner, symbol = key[head] // width, key[head] % width
         smaller = head - (np.cumsum(n) - n)[owner]  # symbols of the same interval that come before this one
-        new_here = np.searchsorted(self.placed[0 if left else 1], symbol * (self.n + 1) + here[owner])
+        new_here = self.begins(left, symbol, here[owner])
         new_there = there[owner] + smaller
         word = symbol > 0
         found = (owner, symbol, new_here, new_there) if left else (owner, symbol, new_there, new_here)
@@ -149,37 +168,97 @@ def _shards(batches: Iterator[pa.RecordBatch], shard_words: int, depth: int) ->
         yield flush()
 
 
-def _grow(left: bool):
-    """One shard's frequent phrases of n words to all of its phrases of n + 1 words whose two parts are among them."""
+def _extended(index: Index, lo: np.ndarray, rlo: np.ndarray, n: np.ndarray, name: np.ndarray, left: bool) -> tuple[np.ndarray, ...]:
+    """(p, s, lo, rlo, n) of the phrases one word longer whose first and last words but one (p and s) are both given."""
+    owner, _, new_lo, new_rlo, count = index.grown(lo, rlo, n, left)
+    # the other part has the interval in which the extension's lies
+    mine, new = (lo, new_lo) if left else (rlo, new_rlo)
+    order = np.argsort(mine)
+    other = order[np.maximum(np.searchsorted(mine[order], new, side="right") - 1, 0)]
+    fits = (mine[other] <= new) & (new < mine[other] + n[other])
+    owner, other = name[owner[fits]], name[other[fits]]
+    return (*((other, owner) if left else (owner, other)), new_lo[fits], new_rlo[fits], count[fits])
+
+
+def _part_of(p: np.ndarray, s: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(mix(p.astype(np.uint64)) + s.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def _proposals(length: int, parts: int):
+    """A shard and what is known of its shorter phrases to its phrases of this length, dealt to parts by a hash of their names."""
 
-    def grow(shards: pa.Table, phrases: pa.Table) -> pa.Table:
-        if not shards.num_rows or not phrases.num_rows:
-            return _GROWN.empty_table()
+    def propose(shards: pa.Table, known: pa.Table) -> pa.Table:
+        if not shards.num_rows or not known.num_rows:
+            return _PROPOSED.empty_table()
         index = Index(_unpacked(shards["forward"][0].as_py()), _unpacked(shards["reverse"][0].as_py()))
-        lo, rlo, n, name = (phrases[c].to_numpy().astype(np.int64) for c in ("lo", "rlo", "n", "id"))
-        owner, _, new_lo, new_rlo, count = index.grown(lo, rlo, n, left)
-        # the other part has the interval in which the extension's lies
-        mine, new = (lo, new_lo) if left else (rlo, new_rlo)
-        order = np.argsort(mine)
-        other = order[np.maximum(np.searchsorted(mine[order], new, side="right") - 1, 0)]
-        fits = (mine[other] <= new) & (new < mine[other] + n[other])
-        owner, other = name[owner[fits]], name[other[fits]]
-        p, s = (other, owner) if left else (owner, other)
-        shard = np.full(len(p), shards["shard"][0].as_py())
-        return pa.table([shard, p, s, new_lo[fits].astype(np.int32), new_rlo[fits].astype(np.int32), count[fits].astype(np.int32)], schema=_GROWN)
-
-    return grow
-
-
-def _frequent(found: DataFrame, key: list[str], least: int) -> DataFrame:
-    """Rows of phrases that all shards together have ``least`` times, with their sum ``f`` and name ``id``."""
-    w = Window.partitionBy(*key)
-    own = F.shiftleft("shard", 32).bitwiseOR(F.col("lo").cast("long"))
-    named = found.withColumn("own", own).withColumns({"f": F.sum("n").over(w), "id": F.min("own").over(w)})
-    return named.where(F.col("f") >= least)
-
-
-def count_phrases(docs: DataFrame, least: int = 30, longest: int = 4, lang: str = "lang", text: str = "text", shard_words: int = 2_000_000) -> tuple[DataFrame, list[DataFrame]]:
+        told = sorted(known.select(["length", "part", "places", "names"]).to_pylist(), key=lambda k: (k["length"], k["part"]))
+        lo, name = (_unpacked(told[0][c]) for c in ("places", "names"))
+        ends = np.cumsum(np.bincount(index.sides[0]))
+        state = (lo, lo, ends[np.searchsorted(ends, lo, side="right")] - lo, name)
+        for m in range(2, length + 1):
+            p, s, lo, rlo, n = _extended(index, *state, left=m % 2 == 0)
+            part = _part_of(p, s, parts)
+            order = np.lexsort((s, p, part))
+            p, s, lo, rlo, n = (x[order] for x in (p, s, lo, rlo, n))
+            at = np.searchsorted(part[order], np.arange(parts + 1))
+            if m < length:
+                rows = [k for k in told if k["length"] == m]
+                kept = np.concatenate([np.zeros(0, np.int64), *[at[k["part"]] + _unpacked(k["places"]) for k in rows]])
+                names = np.concatenate([np.zeros(0, np.int64), *[_unpacked(k["names"]) for k in rows]])
+                state = (lo[kept], rlo[kept], n[kept], names)
+        found = [(k, slice(at[k], at[k + 1])) for k in range(parts) if at[k] < at[k + 1]]
+        shard = shards["shard"][0].as_py()
+        return pa.table([[shard] * len(found), [k for k, _ in found], [_packed(np.diff(p[x], prepend=0)) for _, x in found], [_packed(s[x]) for _, x in found], [_packed(n[x]) for _, x in found]], schema=_PROPOSED)
+
+    return propose
+
+
+def _verdicts(length: int, least: int):
+    """What all shards propose in one part to the phrases that are frequent, and to each shard which of its own those are."""
+
+    def judge(proposed: pa.Table) -> pa.Table:
+        rows = proposed.to_pylist()
+        p, s, n = (np.concatenate(x) for x in ([np.cumsum(_unpacked(r["p"])) for r in rows], [_unpacked(r["s"]) for r in rows], [_unpacked(r["n"]) for r in rows]))
+        order = np.lexsort((s, p))
+        head = np.r_[True, (np.diff(p[order]) != 0) | (np.diff(s[order]) != 0)]
+        f = np.add.reduceat(n[order], np.flatnonzero(head))
+        frequent = f >= least
+        name = (rows[0]["part"] << 32) + np.cumsum(frequent) - 1
+        of_row = np.empty(len(order), np.int64)
+        of_row[order] = np.cumsum(head) - 1
+        first = order[head][frequent]
+        out = [(None, rows[0]["part"], None, None, p[first], s[first], f[frequent])]
+        begin = 0
+        for r in rows:
+            size = int.from_bytes(r["n"][:8], "little")
+            mine = of_row[begin : begin + size]
+            kept = np.flatnonzero(frequent[mine])
+            out.append((r["shard"], r["part"], _packed(kept), _packed(name[mine[kept]]), None, None, None))
+            begin += size
+        columns = [list(c) for c in zip(*out, strict=True)]
+        return pa.table([columns[0], [length] * len(out), *columns[1:]], schema=_JUDGED)
+
+    return judge
+
+
+def _known_words(words: pa.Table) -> pa.Table:
+    """A shard's frequent words, by their places in its index."""
+    lo, name = (words[c].to_numpy().astype(np.int64) for c in ("lo", "id"))
+    order = np.argsort(lo)
+    return pa.table([[words["shard"][0].as_py()], [1], [0], [_packed(lo[order])], [_packed(name[order])]], schema=_KNOWN)
+
+
+def _frequent_words(words: DataFrame, least: int) -> DataFrame:
+    """Rows of words that all shards together have ``least`` times, with their sum ``f``, a number ``id`` and ``first`` for one of a word's rows."""
+    buckets = 4 * int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = words.withColumn("bucket", F.pmod(F.xxhash64("lang", "word"), F.lit(buckets)))
+    one = Window.partitionBy("bucket", "lang", "word")
+    ids = F.shiftleft("bucket", 32) + F.dense_rank().over(Window.partitionBy("bucket").orderBy("lang", "word"))
+    found = dealt.withColumn("first", F.row_number().over(one.orderBy("shard")) == 1).withColumns({"f": F.sum("n").over(one), "id": ids})
+    return found.where(F.col("f") >= least).drop("bucket")
+
+
+def count_phrases(docs: DataFrame, least: int = 30, longest: int = 4, lang: str = "lang", text: str = "text", shard_words: int = 2_000_000, part_words: int = 1_000_000) -> tuple[DataFrame, list[DataFrame]]:
     """((lang, n) with all words' occurrences, a table for each length from 1 to ``longest``).
 
     The first table has id, lang, word, f; the others id, p, s, f: the names of a phrase, of its first and of its last
@@ -188,22 +267,25 @@ def count_phrases(docs: DataFrame, least: int = 30, longest: int = 4, lang: str
     spark = docs.sparkSession
     read = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = read.mapInArrow(lambda batches: _shards(batches, shard_words, longest), _SHARD)
-    name, parts = f"courtside_phrases_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = fresh_path(spark, "phrase-shards")
-    rows.write.option("path", path).option("compression", "zstd").bucketBy(parts, "shard").saveAsTable(name)
+    table, n_buckets = f"courtside_phrases_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.write.option("path", fresh_path(spark, "phrase-shards")).bucketBy(n_buckets, "shard").saveAsTable(table)
     try:
-        shards = spark.table(name)
+        shards = spark.table(table)
         entries = F.arrays_zip("words", "lo", "counts", "lang_of")
         words = shards.select("shard", "langs", F.explode(entries).alias("w")).select("shard", F.get("langs", F.col("w.lang_of")).alias("lang"), F.col("w.words").alias("word"), F.col("w.lo").alias("lo"), F.col("w.counts").alias("n"))
         totals = materialize(words.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-words")
-        kept = materialize(_frequent(words, ["lang", "word"], least).withColumn("rlo", F.col("lo")).select("shard", "lo", "rlo", "n", "f", "id", "own", "lang", "word"), "phrases-1")
-        tables = [kept.where("own = id").select("id", "lang", "word", "f")]
+        parts = max(1, -(-(shards.agg(F.sum("n_symbols")).first()[0] or 0) // part_words))
+        kept = materialize(_frequent_words(words, least), "words")
+        tables = [kept.where("first").select("id", "lang", "word", "f")]
+        known = materialize(kept.select("shard", "lo", "id").groupBy("shard").applyInArrow(_known_words, _ddl(_KNOWN)), "phrases-known")
         for length in range(2, longest + 1):
-            grown = shards.select("shard", "forward", "reverse").groupBy("shard").cogroup(kept.select("shard", "lo", "rlo", "n", "id").groupBy("shard")).applyInArrow(_grow(length % 2 == 0), "shard long, p long, s long, lo int, rlo int, n int")
-            kept = materialize(_frequent(grown, ["p", "s"], least).select("shard", "p", "s", "lo", "rlo", "n", "f", "id", "own"), f"phrases-{length}")
-            tables.append(kept.where("own = id").select("id", "p", "s", "f"))
+            proposed = shards.select("shard", "forward", "reverse").groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_proposals(length, parts), _ddl(_PROPOSED))
+            judged = materialize(proposed.groupBy("part").applyInArrow(_verdicts(length, least), _ddl(_JUDGED)), f"phrases-{length}")
+            entry = F.posexplode(F.arrays_zip("p", "s", "f")).alias("at", "x")
+            tables.append(judged.where("shard IS NULL").select("part", entry).select((F.shiftleft("part", 32) + F.col("at")).alias("id"), "x.*"))
+            known = known.unionByName(judged.where("shard IS NOT NULL").select(known.columns))
     finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     return totals, tables
 
 
