@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import itertools
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,14 +44,16 @@ from courtside.shared import fresh_path, materialize
 ENDS = b".,;:!?\n\x0b\x0c\r"
 _END = b"\xff"
 _TABLE = bytes.maketrans(ENDS + b"\t" + bytes(range(65, 91)), _END * len(ENDS) + b" " + bytes(range(97, 123)))
-_SHARD = "shard long, n_symbols long, forward binary, reverse binary, langs array<string>, words array<string>, lo array<int>, counts array<int>, lang_of array<int>"
+_SHARD = "shard long, n_symbols long, forward binary, reverse binary, langs array<string>, n_words array<long>, words array<string>, lo array<int>, counts array<int>, lang_of array<int>"
 _KNOWN = pa.schema([("shard", pa.int64()), ("length", pa.int32()), ("part", pa.int64()), ("places", pa.binary()), ("names", pa.binary())])
 _PROPOSED = pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("p", pa.binary()), ("s", pa.binary()), ("n", pa.binary())])
+_WORDS = pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("langs", pa.list_(pa.string())), ("lang_of", pa.binary()), ("size", pa.int64()), ("words", pa.binary()), ("lo", pa.binary()), ("n", pa.binary())])
+_JUDGED_WORDS = pa.schema([*_KNOWN, ("lang", pa.list_(pa.string())), ("word", pa.list_(pa.string())), ("f", pa.list_(pa.int64()))])
 _JUDGED = pa.schema([*_KNOWN, *[(c, pa.list_(pa.int64())) for c in "psf"]])
 
 
 def _ddl(schema: pa.Schema) -> str:
-    kinds = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
+    kinds = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>", pa.list_(pa.string()): "array<string>"}
     return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
@@ -146,8 +149,8 @@ def _shards(batches: Iterator[pa.RecordBatch], shard_words: int, depth: int) ->
             words += [w.decode() for w, _ in mine]
             ids += [i for _, i in mine]
             lang_of += [k] * len(mine)
-        row = [part << 11 | nth, len(symbols), _packed(index_f), _packed(index_r), list(known), words, lo[ids], counts[ids], np.array(lang_of, np.int32)]
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        row = [part << 11 | nth, len(symbols), _packed(index_f), _packed(index_r), list(known), [int(counts[[i for i in of_lang.values() if i]].sum()) for of_lang in known.values()], words, lo[ids], counts[ids], np.array(lang_of, np.int32)]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32())]
         return pa.record_batch([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], [f.split()[0] for f in _SHARD.split(", ")])
 
     for batch in batches:
@@ -192,7 +195,7 @@ def _proposals(length: int, parts: int):
             return _PROPOSED.empty_table()
         index = Index(_unpacked(shards["forward"][0].as_py()), _unpacked(shards["reverse"][0].as_py()))
         told = sorted(known.select(["length", "part", "places", "names"]).to_pylist(), key=lambda k: (k["length"], k["part"]))
-        lo, name = (_unpacked(told[0][c]) for c in ("places", "names"))
+        lo, name = (np.concatenate([_unpacked(k[c]) for k in told if k["length"] == 1]) for c in ("places", "names"))
         ends = np.cumsum(np.bincount(index.sides[0]))
         state = (lo, lo, ends[np.searchsorted(ends, lo, side="right")] - lo, name)
         for m in range(2, length + 1):
@@ -241,21 +244,50 @@ def _verdicts(length: int, least: int):
     return judge
 
 
-def _known_words(words: pa.Table) -> pa.Table:
-    """A shard's frequent words, by their places in its index."""
-    lo, name = (words[c].to_numpy().astype(np.int64) for c in ("lo", "id"))
-    order = np.argsort(lo)
-    return pa.table([[words["shard"][0].as_py()], [1], [0], [_packed(lo[order])], [_packed(name[order])]], schema=_KNOWN)
+def _word_proposals(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Each shard's words, with their places and counts, dealt to parts by a hash of the word."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            words = [w.encode() for w in row["words"]]
+            part = np.fromiter((zlib.crc32(w) % parts for w in words), np.int64, len(words))
+            order = np.argsort(part, kind="stable")
+            at = np.searchsorted(part[order], np.arange(parts + 1))
+            lo, n, lang = (np.array(row[c], np.int64) for c in ("lo", "counts", "lang_of"))
+            out = []
+            for k in range(parts):
+                mine = order[at[k] : at[k + 1]]
+                if len(mine):
+                    mine = np.array(sorted(mine.tolist(), key=words.__getitem__))
+                    joined = b"\n".join([words[i] for i in mine])
+                    out.append((row["shard"], k, row["langs"], _packed(lang[mine]), len(joined), pa.compress(joined, "zstd", asbytes=True), _packed(lo[mine]), _packed(n[mine])))
+            if out:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _WORDS, strict=True)], schema=_WORDS)
+
 
+def _word_verdicts(least: int):
+    """``_verdicts`` for words, which are named by language and word."""
+
+    def judge(proposed: pa.Table) -> pa.Table:
+        rows, number = proposed.to_pylist(), {}
+        ids, counts, places = [], [], []
+        for r in rows:
+            langs = [r["langs"][k] for k in _unpacked(r["lang_of"])]
+            words = pa.decompress(r["words"], r["size"], "zstd", asbytes=True).split(b"\n")
+            ids.append(np.fromiter((number.setdefault(w, len(number)) for w in zip(langs, words, strict=True)), np.int64, len(words)))
+            counts.append(_unpacked(r["n"]))
+            places.append(_unpacked(r["lo"]))
+        f = np.bincount(np.concatenate(ids), np.concatenate(counts), len(number)).astype(np.int64)
+        frequent = f >= least
+        name = (rows[0]["part"] << 32) + np.cumsum(frequent) - 1
+        told = [(*w, int(n)) for w, n, kept in zip(number, f, frequent, strict=True) if kept]
+        out = [(None, rows[0]["part"], None, None, [t[0] for t in told], [t[1].decode() for t in told], [t[2] for t in told])]
+        for r, i, lo in zip(rows, ids, places, strict=True):
+            kept = frequent[i]
+            out.append((r["shard"], r["part"], _packed(lo[kept]), _packed(name[i[kept]]), None, None, None))
+        columns = [list(c) for c in zip(*out, strict=True)]
+        return pa.table([columns[0], [1] * len(out), *columns[1:]], schema=_JUDGED_WORDS)
 
-def _frequent_words(words: DataFrame, least: int) -> DataFrame:
-    """Rows of words that all shards together have ``least`` times, with their sum ``f``, a number ``id`` and ``first`` for one of a word's rows."""
-    buckets = 4 * int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = words.withColumn("bucket", F.pmod(F.xxhash64("lang", "word"), F.lit(buckets)))
-    one = Window.partitionBy("bucket", "lang", "word")
-    ids = F.shiftleft("bucket", 32) + F.dense_rank().over(Window.partitionBy("bucket").orderBy("lang", "word"))
-    found = dealt.withColumn("first", F.row_number().over(one.orderBy("shard")) == 1).withColumns({"f": F.sum("n").over(one), "id": ids})
-    return found.where(F.col("f") >= least).drop("bucket")
+    return judge
 
 
 def count_phrases(docs: DataFrame, least: int = 30, longest: int = 4, lang: str = "lang", text: str = "text", shard_words: int = 2_000_000, part_words: int = 1_000_000) -> tuple[DataFrame, list[DataFrame]]:
@@ -271,13 +303,14 @@ def count_phrases(docs: DataFrame, least: int = 30, longest: int = 4, lang: str
     rows.write.option("path", fresh_path(spark, "phrase-shards")).bucketBy(n_buckets, "shard").saveAsTable(table)
     try:
         shards = spark.table(table)
-        entries = F.arrays_zip("words", "lo", "counts", "lang_of")
-        words = shards.select("shard", "langs", F.explode(entries).alias("w")).select("shard", F.get("langs", F.col("w.lang_of")).alias("lang"), F.col("w.words").alias("word"), F.col("w.lo").alias("lo"), F.col("w.counts").alias("n"))
-        totals = materialize(words.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-words")
+        spoken = shards.select(F.explode(F.arrays_zip("langs", "n_words")).alias("x")).select(F.col("x.langs").alias("lang"), F.col("x.n_words").alias("n"))
+        totals = materialize(spoken.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-words")
         parts = max(1, -(-(shards.agg(F.sum("n_symbols")).first()[0] or 0) // part_words))
-        kept = materialize(_frequent_words(words, least), "words")
-        tables = [kept.where("first").select("id", "lang", "word", "f")]
-        known = materialize(kept.select("shard", "lo", "id").groupBy("shard").applyInArrow(_known_words, _ddl(_KNOWN)), "phrases-known")
+        words = shards.select("shard", "langs", "lang_of", "words", "lo", "counts").mapInArrow(lambda batches: _word_proposals(batches, parts), _ddl(_WORDS))
+        judged = materialize(words.groupBy("part").applyInArrow(_word_verdicts(least), _ddl(_JUDGED_WORDS)), "phrases-1")
+        entry = F.posexplode(F.arrays_zip("lang", "word", "f")).alias("at", "x")
+        tables = [judged.where("shard IS NULL").select("part", entry).select((F.shiftleft("part", 32) + F.col("at")).alias("id"), "x.*")]
+        known = judged.where("shard IS NOT NULL").select(_KNOWN.names)
         for length in range(2, longest + 1):
             proposed = shards.select("shard", "forward", "reverse").groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_proposals(length, parts), _ddl(_PROPOSED))
             judged = materialize(proposed.groupBy("part").applyInArrow(_verdicts(length, least), _ddl(_JUDGED)), f"phrases-{length}")
