@@ -27,6 +27,7 @@ partitions and a partition give up to 2**11 shards; beyond that the job ends wit
 from __future__ import annotations
 
 import itertools
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -72,7 +73,7 @@ def _unpacked(b: bytes) -> np.ndarray:
 def transform(symbols: np.ndarray, depth: int) -> np.ndarray:
     """The symbol before each suffix, suffixes being in the order of (at least) their first ``depth`` symbols."""
     n, rank, known = len(symbols), symbols.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank, kind="stable") if depth < 2 else rank
     while known < depth:
         ahead = np.full(n, -1, np.int64)
         ahead[: max(n - known, 0)] = rank[known:]
@@ -183,6 +184,42 @@ def _extended(index: Index, lo: np.ndarray, rlo: np.ndarray, n: np.ndarray, name
     return (*((other, owner) if left else (owner, other)), new_lo[fits], new_rlo[fits], count[fits])
 
 
+def _sorted(*keys: np.ndarray) -> np.ndarray:
+    """The order by the first key, then the next (all from 0 on); in one sort where they fit into 63 bits."""
+    widths = [int(k.max(initial=0)) + 1 for k in keys]
+    if math.prod(widths) >= 1 << 63:
+        return np.lexsort(keys[::-1])
+    key = keys[0]
+    for k, w in zip(keys[1:], widths[1:], strict=True):
+        key = key * w + k
+    return np.argsort(key)
+
+
+def _packed_pairs(p: np.ndarray, s: np.ndarray) -> tuple[bytes, bytes]:
+    """Pairs in order by what they differ from the pair before."""
+    dp, ds = np.diff(p, prepend=0), np.diff(s, prepend=0)
+    new = dp != 0
+    new[:1] = True
+    ds[new] = s[new]
+    return _packed(dp), _packed(ds)
+
+
+def _unpacked_pairs(dp: bytes, ds: bytes) -> tuple[np.ndarray, np.ndarray]:
+    dp, ds = _unpacked(dp), _unpacked(ds)
+    head = np.flatnonzero(np.r_[True, dp[1:] != 0])
+    sums = np.cumsum(ds)
+    return np.cumsum(dp), sums - np.repeat(sums[head] - ds[head], np.diff(np.r_[head, len(ds)]))
+
+
+def _named(f: np.ndarray, least: int, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the frequent ones, commonest first; names of all, those of the frequent ones by that order, so that most are small)."""
+    order = np.argsort(-f, kind="stable")
+    order = order[: int((f >= least).sum())]
+    name = np.full(len(f), -1, np.int64)
+    name[order] = np.arange(len(order)) * parts + part
+    return order, name
+
+
 def _part_of(p: np.ndarray, s: np.ndarray, parts: int) -> np.ndarray:
     return (mix(mix(p.astype(np.uint64)) + s.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
@@ -201,32 +238,33 @@ def _proposals(length: int, parts: int):
         for m in range(2, length + 1):
             p, s, lo, rlo, n = _extended(index, *state, left=m % 2 == 0)
             part = _part_of(p, s, parts)
-            order = np.lexsort((s, p, part))
+            order = _sorted(part, p, s)
             p, s, lo, rlo, n = (x[order] for x in (p, s, lo, rlo, n))
             at = np.searchsorted(part[order], np.arange(parts + 1))
             if m < length:
                 rows = [k for k in told if k["length"] == m]
-                kept = np.concatenate([np.zeros(0, np.int64), *[at[k["part"]] + _unpacked(k["places"]) for k in rows]])
+                kept = np.concatenate([np.zeros(0, np.int64), *[at[k["part"]] + np.cumsum(_unpacked(k["places"])) for k in rows]])
                 names = np.concatenate([np.zeros(0, np.int64), *[_unpacked(k["names"]) for k in rows]])
                 state = (lo[kept], rlo[kept], n[kept], names)
         found = [(k, slice(at[k], at[k + 1])) for k in range(parts) if at[k] < at[k + 1]]
         shard = shards["shard"][0].as_py()
-        return pa.table([[shard] * len(found), [k for k, _ in found], [_packed(np.diff(p[x], prepend=0)) for _, x in found], [_packed(s[x]) for _, x in found], [_packed(n[x]) for _, x in found]], schema=_PROPOSED)
+        pairs = [_packed_pairs(p[x], s[x]) for _, x in found]
+        return pa.table([[shard] * len(found), [k for k, _ in found], [a for a, _ in pairs], [b for _, b in pairs], [_packed(n[x]) for _, x in found]], schema=_PROPOSED)
 
     return propose
 
 
-def _verdicts(length: int, least: int):
+def _verdicts(length: int, least: int, parts: int):
     """What all shards propose in one part to the phrases that are frequent, and to each shard which of its own those are."""
 
     def judge(proposed: pa.Table) -> pa.Table:
         rows = proposed.to_pylist()
-        p, s, n = (np.concatenate(x) for x in ([np.cumsum(_unpacked(r["p"])) for r in rows], [_unpacked(r["s"]) for r in rows], [_unpacked(r["n"]) for r in rows]))
-        order = np.lexsort((s, p))
+        p, s = (np.concatenate(x) for x in zip(*[_unpacked_pairs(r["p"], r["s"]) for r in rows], strict=True))
+        n = np.concatenate([_unpacked(r["n"]) for r in rows])
+        order = _sorted(p, s)
         head = np.r_[True, (np.diff(p[order]) != 0) | (np.diff(s[order]) != 0)]
         f = np.add.reduceat(n[order], np.flatnonzero(head))
-        frequent = f >= least
-        name = (rows[0]["part"] << 32) + np.cumsum(frequent) - 1
+        frequent, name = _named(f, least, rows[0]["part"], parts)
         of_row = np.empty(len(order), np.int64)
         of_row[order] = np.cumsum(head) - 1
         first = order[head][frequent]
@@ -234,9 +272,9 @@ def _verdicts(length: int, least: int):
         begin = 0
         for r in rows:
             size = int.from_bytes(r["n"][:8], "little")
-            mine = of_row[begin : begin + size]
-            kept = np.flatnonzero(frequent[mine])
-            out.append((r["shard"], r["part"], _packed(kept), _packed(name[mine[kept]]), None, None, None))
+            mine = name[of_row[begin : begin + size]]
+            kept = np.flatnonzero(mine >= 0)
+            out.append((r["shard"], r["part"], _packed(np.diff(kept, prepend=0)), _packed(mine[kept]), None, None, None))
             begin += size
         columns = [list(c) for c in zip(*out, strict=True)]
         return pa.table([columns[0], [length] * len(out), *columns[1:]], schema=_JUDGED)
@@ -264,7 +302,7 @@ def _word_proposals(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[p
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _WORDS, strict=True)], schema=_WORDS)
 
 
-def _word_verdicts(least: int):
+def _word_verdicts(least: int, parts: int):
     """``_verdicts`` for words, which are named by language and word."""
 
     def judge(proposed: pa.Table) -> pa.Table:
@@ -277,12 +315,12 @@ def _word_verdicts(least: int):
             counts.append(_unpacked(r["n"]))
             places.append(_unpacked(r["lo"]))
         f = np.bincount(np.concatenate(ids), np.concatenate(counts), len(number)).astype(np.int64)
-        frequent = f >= least
-        name = (rows[0]["part"] << 32) + np.cumsum(frequent) - 1
-        told = [(*w, int(n)) for w, n, kept in zip(number, f, frequent, strict=True) if kept]
-        out = [(None, rows[0]["part"], None, None, [t[0] for t in told], [t[1].decode() for t in told], [t[2] for t in told])]
+        frequent, name = _named(f, least, rows[0]["part"], parts)
+        words = list(number)
+        told = [words[k] for k in frequent.tolist()]
+        out = [(None, rows[0]["part"], None, None, [lang for lang, _ in told], [w.decode() for _, w in told], f[frequent])]
         for r, i, lo in zip(rows, ids, places, strict=True):
-            kept = frequent[i]
+            kept = name[i] >= 0
             out.append((r["shard"], r["part"], _packed(lo[kept]), _packed(name[i[kept]]), None, None, None))
         columns = [list(c) for c in zip(*out, strict=True)]
         return pa.table([columns[0], [1] * len(out), *columns[1:]], schema=_JUDGED_WORDS)
@@ -307,15 +345,15 @@ def count_phrases(docs: DataFrame, least: int = 30, longest: int = 4, lang: str
         totals = materialize(spoken.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-words")
         parts = max(1, -(-(shards.agg(F.sum("n_symbols")).first()[0] or 0) // part_words))
         words = shards.select("shard", "langs", "lang_of", "words", "lo", "counts").mapInArrow(lambda batches: _word_proposals(batches, parts), _ddl(_WORDS))
-        judged = materialize(words.groupBy("part").applyInArrow(_word_verdicts(least), _ddl(_JUDGED_WORDS)), "phrases-1")
+        judged = materialize(words.groupBy("part").applyInArrow(_word_verdicts(least, parts), _ddl(_JUDGED_WORDS)), "phrases-1")
         entry = F.posexplode(F.arrays_zip("lang", "word", "f")).alias("at", "x")
-        tables = [judged.where("shard IS NULL").select("part", entry).select((F.shiftleft("part", 32) + F.col("at")).alias("id"), "x.*")]
+        tables = [judged.where("shard IS NULL").select("part", entry).select((F.col("at") * parts + F.col("part")).alias("id"), "x.*")]
         known = judged.where("shard IS NOT NULL").select(_KNOWN.names)
         for length in range(2, longest + 1):
             proposed = shards.select("shard", "forward", "reverse").groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_proposals(length, parts), _ddl(_PROPOSED))
-            judged = materialize(proposed.groupBy("part").applyInArrow(_verdicts(length, least), _ddl(_JUDGED)), f"phrases-{length}")
+            judged = materialize(proposed.groupBy("part").applyInArrow(_verdicts(length, least, parts), _ddl(_JUDGED)), f"phrases-{length}")
             entry = F.posexplode(F.arrays_zip("p", "s", "f")).alias("at", "x")
-            tables.append(judged.where("shard IS NULL").select("part", entry).select((F.shiftleft("part", 32) + F.col("at")).alias("id"), "x.*"))
+            tables.append(judged.where("shard IS NULL").select("part", entry).select((F.col("at") * parts + F.col("part")).alias("id"), "x.*"))
             known = known.unionByName(judged.where("shard IS NOT NULL").select(known.columns))
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
