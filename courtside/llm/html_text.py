@@ -68,9 +68,8 @@ CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "p", "details", "figu
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
-INSIDE = re.compile(r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
-#: How far a quoted attribute is looked for; tags that are longer end at their first ``>``.
-TAG_CHARS = 65_536
+#: What ends a tag, or begins a quoted value if an equals sign comes before it.
+STOP = re.compile(r">|(?<==)\s*[\"']")
 ATTRIBUTE = re.compile(r"(?<![^\s\"'])(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -78,27 +77,33 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class Node:
     __slots__ = ("tag", "boiler", "kids", "parent", "chars", "tags", "link_chars", "link_tags", "density", "sum", "blocks")
 
-    def __init__(self, tag: str, parent: Node | None, boiler: bool = False):
+    def __init__(self, tag: str, parent: Node | None, boiler: int = 0):
         self.tag, self.parent, self.boiler, self.kids = tag, parent, boiler, []
 
 
-def _boiler(tag: str, attributes: str, within: bool) -> bool:
+#: Names of readers' comments, which are never the article, however long.
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|comment-?list|disqus\w*|respond|replies|reply)(?=$|[\s_-])", re.I)
+#: What a mark says: no mark, a name that text can outweigh, never the article.
+UNMARKED, NAMED, CERTAIN = 0, 1, 2
+
+
+def _boiler(tag: str, attributes: str, within: bool) -> int:
     """within: whether the element is in an article."""
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and HIDDEN.search(value)):
-            return True
+            return CERTAIN
         if name not in ("class", "id", "role") or tag not in CONTAINERS or tag == "main":
             continue
         if tag == "article":
             if name != "role" and re.search(r"(?:^|[\s_-])(?:comments?|reply|replies|ads?|promo|related|teaser)(?=$|[\s_-])", value, re.I):
-                return True
+                return CERTAIN if COMMENTS.search(value) else NAMED
         elif within or name == "id":
             if not NAMES.isdisjoint(value.lower().split()):
-                return True
+                return CERTAIN if COMMENTS.search(value) else NAMED
         elif BOILERPLATE.search(value):
-            return True
-    return False
+            return CERTAIN if COMMENTS.search(value) else NAMED
+    return UNMARKED
 
 
 def _tokens(html: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
@@ -120,8 +125,10 @@ def _tokens(html: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
             end += 1
             yield at, end, None, False, ""
         elif m := TAG.match(html, at):
-            inside = INSIDE.match(html, m.end(), min(len(html), m.end() + TAG_CHARS))
-            end = inside.end() if inside else html.find(">", m.end()) + 1
+            end = m.end()
+            while end and (stop := STOP.search(html, end)) and stop[0] != ">":
+                end = html.find(stop[0][-1], stop.end()) + 1  # quoted values are as long as they are
+            end = stop.end() if end and stop else html.find(">", m.end()) + 1
             if not end:  # no tag ends from here on
                 return
             moved = yield at, end, m[2].lower(), bool(m[1]), html[m.end() : end - 1]
@@ -168,7 +175,7 @@ def parse(html: str) -> Node:
                 if open_ is not None and open_.tag in ends:
                     node = closed(node, open_)
         attributes = attributes.rstrip()
-        new = Node(tag, node, bool(attributes) and _boiler(tag, attributes, bool(opened["article"] or opened["main"])))
+        new = Node(tag, node, attributes and _boiler(tag, attributes, bool(opened["article"] or opened["main"])) or UNMARKED)
         node.kids.append(new)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
@@ -203,8 +210,10 @@ def prune(root: Node) -> None:
                 holds.add(id(up))
                 up = up.parent
     size: dict[int, int] = {}
+    plain: dict[int, int] = {}  # without what is in links
     for n in reversed(nodes):
         size[id(n)] = sum(len(k.strip()) if isinstance(k, str) else 0 if k.tag in NEVER else size[id(k)] for k in n.kids)
+        plain[id(n)] = 0 if n.tag == "a" else sum(len(k.strip()) if isinstance(k, str) else 0 if k.tag in NEVER or k.boiler == CERTAIN else plain[id(k)] for k in n.kids)
     inside: set[int] = set()
     for n in nodes:
         within = n.tag in ("article", "main") or id(n.parent) in inside
@@ -215,7 +224,9 @@ def prune(root: Node) -> None:
             if isinstance(k, Node):
                 frame = k.tag in FRAME and not (k.tag == "header" and within)
                 whole = k.tag == "form" and size[id(k)] > 0.6 * size[id(root)]
-                if k.tag in NEVER or k.boiler or frame:
+                # a name does not outweigh most of the page's text: density decides on it then
+                most = k.boiler == NAMED and not frame and 2 * plain[id(k)] > plain[id(root)]
+                if k.tag in NEVER or (k.boiler and not most) or frame:
                     if not (id(k) in holds and k.tag not in NEVER) and not whole:
                         continue
             kids.append(k)
