@@ -8,7 +8,8 @@ end there, the one that stays beside the last token of the prefix where it start
 stepping back over those states.
 
 Texts are cut at single spaces into pieces whose encodings don't depend on each other; the encodings of pieces of up to
-``max_chars`` characters are kept in a worker for the tasks of one call, at most about ``max_pieces`` of them. Only
+``max_chars`` characters are kept in a worker for the tasks of one call, in two generations of half of ``max_pieces`` and
+50,000 more at most. Only
 documents stream through: no shuffle, one Arrow batch at a time. Of a very long word, each place tries just the lengths of
 tokens that end in the three bytes before it.
 
@@ -110,7 +111,7 @@ class Encoder:
                 found.append(last[at])
                 at = start[at]
             out[word] = found[::-1]
-        if len(beside) > 500_000:
+        if len(beside) > 300_000:
             beside.clear()
         return out
 
@@ -135,13 +136,23 @@ class Encoder:
         first, *rest = self.between.split(text) if self.entangled.search(text) else text.split(" ")
         return [first, *[f" {x}" for x in rest]]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as int32 bytes."""
+    def encode(self, texts: list[str], at_once: int = 50_000) -> list[bytes]:
+        """The ids of each text, as int32 bytes; ``at_once`` pieces are looked up, and kept, at a time."""
         cut = [self.pieces(t) for t in texts]
-        new = {p for pieces in cut for p in pieces} - self.known.keys()
+        flat = [p for pieces in cut for p in pieces]
+        ids: list[bytes] = []
+        for begin in range(0, len(flat), at_once):
+            ids += self._encoded(flat[begin : begin + at_once])
+        out, begin = [], 0
+        for pieces in cut:
+            out.append(b"".join(ids[begin : begin + len(pieces)]))
+            begin += len(pieces)
+        return out
+
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
         if len(self.known) > self.max_pieces // 2:
             self.older, self.known = self.known, {}
-            new = {p for pieces in cut for p in pieces}
+        new = set(pieces) - self.known.keys()
         met = new & self.older.keys()
         self.known.update(zip(met, map(self.older.__getitem__, met), strict=True))
         new -= met
@@ -155,8 +166,7 @@ class Encoder:
                 else:
                     flat += ids[w]
             self.known[p] = array("i", flat).tobytes()
-        known = self.known.__getitem__
-        out = [b"".join(map(known, pieces)) for pieces in cut]
+        out = list(map(self.known.__getitem__, pieces))
         for p in new:
             if len(p) > self.max_chars:
                 del self.known[p]
