@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from courtside.functions import scalars as S
-from courtside.operators.quantiles import exact_quantiles
+from courtside.operators.quantiles import exact_quantiles, exact_quantiles_of
 from courtside.operators.joins import in_bins
 from courtside.plans.registry import query
 from courtside.sources import domain as D
@@ -107,7 +107,7 @@ def a22_heteroscedasticity(spark, sf_dir):
 SELECT name, count(*) AS n, round(min(x), 6) AS low, round(quantile_cont(x, 0.05), 6) AS p5, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.95), 6) AS p95, round(max(x), 6) AS high, round(avg(x), 6) AS mean, round(stddev_samp(x), 5) AS std FROM u GROUP BY 1""")
 def a25_column_profile(spark, sf_dir):
     o, names = D.oof(spark, sf_dir), ["y_true", "pred_a", "prob"]
-    at = {name: exact_quantiles(o, F.col(name), [0.05, 0.5, 0.95]) for name in names}
+    at = exact_quantiles_of(o, {name: F.col(name) for name in names}, [0.05, 0.5, 0.95])
 
     def quantile(k: int):
         return F.round(F.create_map(*[x for name in names for x in (F.lit(name), F.lit(at[name][k]))])[F.col("name")], 6)

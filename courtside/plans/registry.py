@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def load() -> None:
-    from courtside.plans import boxscores, evaluation, features, market, models, pricing, ratings, streams, tables  # noqa: F401
+    from courtside.plans import boxscores, evaluation, features, livestreams, market, models, pregame, pricing, ratings, selection, streams, tables  # noqa: F401
 
 
 load()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from courtside.plans.registry import query
 from courtside.shared import fresh_path
 from courtside.streaming import market as M
+from courtside.streaming.runs import write_batches
 
 _EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -58,12 +59,7 @@ def st10_stream_static_edges(spark, sf_dir):
 def st1_message_routing(spark, sf_dir):
     """One stream routed by type to a table each in every micro-batch; the tables counted."""
     base = fresh_path(spark, "routed")
-
-    def route(df: DataFrame, _: int) -> None:
-        df.write.mode("append").partitionBy("event_type").parquet(base)
-
     e = _stream(spark, sf_dir)
-    running = e.writeStream.foreachBatch(route).option("checkpointLocation", f"{base}-state").trigger(availableNow=True).start()
-    running.awaitTermination()
+    write_batches(e, base, "event_type")
     back = spark.read.schema(e.schema).parquet(base)
     return back.groupBy(F.col("event_type").alias("type")).agg(F.count("*").alias("n"))
