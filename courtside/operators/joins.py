@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], exact: bool = False) -> DataFrame:
+def beside(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the columns of ``other``, which has one row for each of its keys; null keys meet."""
+    renamed = other.select(*[F.col(k).alias(f"__key_{i}") for i, k in enumerate(keys)], *[c for c in other.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"__key_{i}")) for i, k in enumerate(keys)]
+    return df.join(renamed, on, "left").drop(*[f"__key_{i}" for i in range(len(keys))])
+
+
+def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], exact: bool = False, block: Callable[[Column], Column] | None = None) -> DataFrame:
     """Each left row with the last right row of its key before its time (or at it, with ``exact``).
 
     Both sides go into one sorted window, so the cost is one shuffle on the keys and a key's rows are read once; the
-    whole right row is carried, so that nulls in single values stay with their row.
+    whole right row is carried, so that nulls in single values stay with their row. ``block`` (a column function that
+    never falls as time rises, such as the month) splits a key's rows: windows then end with a block, and the last right row
+    of the blocks before is brought to it, one row for each block.
     """
     kind = 0 if exact else 2
     lefts = left.select(*keys, F.col(left_time).alias("__t"), F.lit(1).alias("__k"), F.struct(*left.columns).alias("__left"), F.lit(None).cast(_struct(right, values + [right_time])).alias("__right"))
     rights = right.select(*keys, F.col(right_time).alias("__t"), F.lit(kind).alias("__k"), F.lit(None).cast(_struct(left, left.columns)).alias("__left"), F.struct(*values, right_time).alias("__right"))
-    window = Window.partitionBy(*keys).orderBy("__t", "__k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = lefts.unionByName(rights).withColumn("__found", F.last("__right", ignorenulls=True).over(window)).where("__k = 1")
+    rows, split, brought = lefts.unionByName(rights), list(keys), F.lit(None)
+    if block is not None:
+        rows, split = rows.withColumn("__block", block(F.col("__t"))), [*keys, "__block"]
+        last = rows.groupBy(*split).agg(F.max_by("__right", F.when(F.col("__k") == kind, F.col("__t"))).alias("__last"))
+        earlier = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+        rows = beside(rows, last.select(*split, F.last("__last", ignorenulls=True).over(earlier).alias("__brought")), split)
+        brought = F.col("__brought")
+    window = Window.partitionBy(*split).orderBy("__t", "__k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumn("__found", F.coalesce(F.last("__right", ignorenulls=True).over(window), brought)).where("__k = 1")
     return found.select("__left.*", *[F.col(f"__found.{v}").alias(v) for v in [*values, right_time]])
 
 

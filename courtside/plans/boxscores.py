@@ -178,8 +178,8 @@ round(2 * (g.home_pts // 4) / g.home_pts::DOUBLE, 6) AS home_half_rate, round(at
 FROM games g JOIN w h ON h.game_id = g.game_id AND h.team_id = g.home_team_id JOIN w a ON a.game_id = g.game_id AND a.team_id = g.away_team_id""")
 def f6_f8_f10_f11_game_features(spark, sf_dir):
     """Offence against defence over the last ten games, consistency of defence, first-half share of points, crowd pressure."""
-    games, w = D.games(spark, sf_dir), W.lagged(10, "team_id")
-    h = D.team_history(games).select("team_id", "game_id", F.avg("pf").over(w).alias("off"), F.avg("pa").over(w).alias("def"), F.stddev_samp("pa").over(w).alias("sd"))
+    games, w = D.games(spark, sf_dir), W.lagged(10, "team_id", W.BLOCK)
+    h = W.own_rows(W.in_blocks(D.team_history(games), 10, "team_id"), "team_id", "game_id", F.avg("pf").over(w).alias("off"), F.avg("pa").over(w).alias("def"), F.stddev_samp("pa").over(w).alias("sd"))
     g = W.to_games(games, h, ["off", "def", "sd"])
     c = F.col
     return g.select(

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from courtside.functions import scalars as S
+from courtside.operators import windows as W
 from courtside.operators.quantiles import exact_quantiles, exact_quantiles_of
 from courtside.operators.joins import in_bins
 from courtside.plans.registry import query
@@ -195,8 +196,8 @@ def f24_f33_robust_blend(spark, sf_dir):
 SELECT game_id, round((lon - plon) / 15, 6) AS shift, CASE WHEN (lon - plon) / 15 > 0.5 THEN 1 WHEN (lon - plon) / 15 < -0.5 THEN -1 ELSE 0 END AS direction, round(1.5 * greatest(0, (lon - plon) / 15) + greatest(0, (plon - lon) / 15), 6) AS fatigue FROM t WHERE plat IS NOT NULL""")
 def f1_f2_f3_travel(spark, sf_dir):
     g = D.games(spark, sf_dir).join(D.arenas(spark, sf_dir), F.col("team_id") == F.col("home_team_id"))
-    w = Window.partitionBy("away_team_id").orderBy("game_date", "game_id")
-    g = g.select("game_id", "lon", F.lag("lon").over(w).alias("plon")).where("plon IS NOT NULL")
+    previous = F.lag("lon").over(W.by("away_team_id", W.BLOCK))
+    g = W.own_rows(W.in_blocks(g, 1, "away_team_id"), "game_id", "lon", previous.alias("plon")).where("plon IS NOT NULL")
     shift = S.timezone_hours(F.col("lon")) - S.timezone_hours(F.col("plon"))
     return g.select("game_id", _r(shift, "shift"), S.travel_direction(F.col("plon"), F.col("lon")).alias("direction"), _r(S.directional_fatigue(shift), "fatigue"))
 

@@ -11,6 +11,8 @@ from courtside.operators.joins import asof, keep_last
 from courtside.plans.registry import query
 from courtside.sources import domain as D
 
+#: Windows over a team's rows as ``in_blocks`` deals them.
+_TEAM = ("team_id", W.BLOCK)
 _LAG = "OVER (PARTITION BY {k} ORDER BY game_date, game_id ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
 
 
@@ -22,6 +24,11 @@ def _mean(x: str, n: object, least: int, k: str = "team_id") -> str:
     return f"CASE WHEN count({x}) {_over(n, k)} >= {least} THEN avg({x}) {_over(n, k)} END"
 
 
+def _ratio(total: str, n: str):
+    """A mean from a sum and a count; null where nothing was counted."""
+    return F.col(total) / F.nullif(F.col(n), F.lit(0))
+
+
 def _r(column, name: str, digits: int = 6):
     return F.round(column, digits).alias(name)
 
@@ -45,14 +52,15 @@ def w1_rolling_features(spark, sf_dir):
 @query(f"""WITH {D.HISTORY_SQL}
 SELECT team_id, game_id, is_away, round({_mean('pf', 10, 3, 'team_id, is_away')}, 6) AS venue_pf_10, round({_mean('margin', 20, 3, 'team_id, is_away')}, 6) AS venue_margin_20 FROM history""")
 def w2_venue_rolling(spark, sf_dir):
-    h = D.team_history(D.games(spark, sf_dir))
-    return h.select("team_id", "game_id", "is_away", _r(W.lagged_mean("pf", 10, 3, "team_id", "is_away"), "venue_pf_10"), _r(W.lagged_mean("margin", 20, 3, "team_id", "is_away"), "venue_margin_20"))
+    keys = ("team_id", "is_away")
+    h = W.in_blocks(D.team_history(D.games(spark, sf_dir)), 20, *keys)
+    return W.own_rows(h, "team_id", "game_id", "is_away", _r(W.lagged_mean("pf", 10, 3, *keys, W.BLOCK), "venue_pf_10"), _r(W.lagged_mean("margin", 20, 3, *keys, W.BLOCK), "venue_margin_20"))
 
 
 @query(f"WITH {D.HISTORY_SQL} SELECT team_id, game_id, " + ", ".join(f"round({_mean('margin', n, 1)}, 6) AS momentum_{n}" for n in (1, 3, 5)) + " FROM history")
 def w3_score_momentum(spark, sf_dir):
-    h = D.team_history(D.games(spark, sf_dir))
-    return h.select("team_id", "game_id", *[_r(W.lagged_mean("margin", n, 1, "team_id"), f"momentum_{n}") for n in (1, 3, 5)])
+    h = W.in_blocks(D.team_history(D.games(spark, sf_dir)), 5, "team_id")
+    return W.own_rows(h, "team_id", "game_id", *[_r(W.lagged_mean("margin", n, 1, *_TEAM), f"momentum_{n}") for n in (1, 3, 5)])
 
 
 @query(f"""WITH {D.GAMES_SQL}, a AS (
@@ -61,11 +69,13 @@ d AS (SELECT *, attendance / capacity::DOUBLE AS density, CAST(attendance >= 0.9
 r AS (SELECT game_id, home_team_id, season_type, {_mean('density', 10, 3, 'home_team_id')} AS m10, {_mean('density', 20, 5, 'home_team_id')} AS m20, {_mean('sold', 20, 5, 'home_team_id')} AS rate FROM d)
 SELECT game_id, home_team_id, round(m10, 6) AS crowd_10, round(m20, 6) AS crowd_20, CASE WHEN season_type = 'Playoffs' THEN 1 WHEN rate > 0.8 THEN 1 ELSE 0 END AS sellout FROM r""")
 def w4_crowd_history(spark, sf_dir):
-    g = D.games(spark, sf_dir).withColumn("capacity", F.max("attendance").over(Window.partitionBy("home_team_id")))
+    g = D.games(spark, sf_dir)
+    g = g.join(g.groupBy("home_team_id").agg(F.max("attendance").alias("capacity")), "home_team_id")
     g = g.withColumn("density", F.col("attendance") / F.col("capacity")).withColumn("sold", (F.col("attendance") >= 0.98 * F.col("capacity")).cast("int"))
-    rate = W.lagged_mean("sold", 20, 5, "home_team_id")
-    return g.select(
-        "game_id", "home_team_id", _r(W.lagged_mean("density", 10, 3, "home_team_id"), "crowd_10"), _r(W.lagged_mean("density", 20, 5, "home_team_id"), "crowd_20"), F.when(F.col("season_type") == "Playoffs", 1).when(rate > 0.8, 1).otherwise(0).alias("sellout")
+    keys = ("home_team_id", W.BLOCK)
+    rate = W.lagged_mean("sold", 20, 5, *keys)
+    return W.own_rows(
+        W.in_blocks(g, 20, "home_team_id"), "game_id", "home_team_id", _r(W.lagged_mean("density", 10, 3, *keys), "crowd_10"), _r(W.lagged_mean("density", 20, 5, *keys), "crowd_20"), F.when(F.col("season_type") == "Playoffs", 1).when(rate > 0.8, 1).otherwise(0).alias("sellout")
     )
 
 
@@ -84,19 +94,26 @@ def w5_travel_sequence(spark, sf_dir):
     h = D.team_history(D.games(spark, sf_dir))
     where = D.arenas(spark, sf_dir).select(F.col("team_id").alias("place"), "lat", "lon")
     h = h.withColumn("place", F.when(F.col("is_away") == 1, F.col("opponent_id")).otherwise(F.col("team_id"))).join(where, "place")
-    w = W.by("team_id")
-    h = h.withColumns({"plat": F.lag("lat").over(w), "plon": F.lag("lon").over(w), "paway": F.lag("is_away").over(w), "pdate": F.lag("game_date").over(w), "island": F.sum(1 - F.col("is_away")).over(w)})
+    # the leg before the first of the last five games needs one more row
+    h = W.totals_before(W.in_blocks(h, 6, "team_id"), {"homes": 1 - F.col("is_away")}, "team_id")
+    w = W.by(*_TEAM)
+    h = h.withColumns({"plat": F.lag("lat").over(w), "plon": F.lag("lon").over(w), "paway": F.lag("is_away").over(w), "pdate": F.lag("game_date").over(w), "island": F.coalesce("homes", F.lit(0)) + 1 - F.col("is_away")})
     h = h.select(
+        W.BLOCK,
+        "__carried",
+        "island",
+        "is_away",
         "team_id",
         "game_id",
         "game_date",
         F.coalesce(S.haversine_miles(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon")), F.lit(0.0)).alias("miles"),
         F.coalesce(F.date_diff("game_date", "pdate"), F.lit(3)).alias("gap"),
         F.when(F.col("paway").isNull() | (F.col("paway") != F.col("is_away")), 1).otherwise(0).alias("switch"),
-        F.sum("is_away").over(W.by("team_id", "island")).alias("streak"),
     )
-    total = lambda c, n: F.sum(c).over(W.lagged(n, "team_id"))
-    return h.select("team_id", "game_id", _r(F.col("miles"), "leg_miles", 4), F.col("gap").alias("day_gap"), F.col("switch").alias("venue_switch"), F.col("streak").alias("away_streak"), _r(total("miles", 5), "miles_5", 3), total("switch", 5).alias("switches_5"), total("gap", 3).alias("days_3"))
+    total = lambda c, n: F.sum(c).over(W.lagged(n, *_TEAM))
+    h = W.own_rows(h, "*", total("miles", 5).alias("sum_miles"), total("switch", 5).alias("sum_switches"), total("gap", 3).alias("sum_gaps"))
+    h = h.withColumn("streak", F.sum("is_away").over(W.by("team_id", "island")))  # from one home game to the next
+    return h.select("team_id", "game_id", _r(F.col("miles"), "leg_miles", 4), F.col("gap").alias("day_gap"), F.col("switch").alias("venue_switch"), F.col("streak").alias("away_streak"), _r(F.col("sum_miles"), "miles_5", 3), F.col("sum_switches").alias("switches_5"), F.col("sum_gaps").alias("days_3"))
 
 
 _REF = f"""{D.GAMES_SQL}, {D.OFFICIALS_SQL},
@@ -108,8 +125,8 @@ e AS (SELECT *, avg(total) {_over('UNBOUNDED', 'official_id')} AS total_mean, av
 def _referees(spark, sf_dir):
     g = D.games(spark, sf_dir).select("game_id", "game_date", (F.col("home_pts") + F.col("away_pts")).alias("total"), (F.col("home_pts") > F.col("away_pts")).cast("int").alias("home_win"))
     r = D.officials(spark, sf_dir).join(g, "game_id")
-    past = W.expanding("official_id")
-    return r.select("official_id", "game_id", F.avg("total").over(past).alias("total_mean"), F.avg("home_win").over(past).alias("home_rate"), (F.row_number().over(W.by("official_id")) - 1).cast("long").alias("seen"))
+    r = W.totals_before(W.in_blocks(r, 0, "official_id"), {"totals": F.col("total"), "n_totals": F.col("total").isNotNull().cast("long"), "wins": F.col("home_win"), "n_wins": F.col("home_win").isNotNull().cast("long")}, "official_id")
+    return r.select("official_id", "game_id", _ratio("totals", "n_totals").alias("total_mean"), _ratio("wins", "n_wins").alias("home_rate"), F.col("__n").cast("long").alias("seen"))
 
 
 @query(f"WITH {_REF} SELECT official_id, game_id, round(total_mean, 6) AS total_mean, round(home_rate, 6) AS home_rate, seen FROM e")
@@ -156,9 +173,11 @@ s AS (SELECT *, count(pf) OVER w AS n, sum(pf) OVER w AS spf, sum(pa) OVER w AS
 e AS (SELECT *, CASE WHEN n >= 5 THEN 1 / (1 + pow(spa / spf::DOUBLE, 13.91)) END AS x FROM s)
 SELECT team_id, game_id, round(x, 6) AS pythagorean, round(rate - x, 6) AS luck FROM e""")
 def w9_pythagorean(spark, sf_dir):
-    w = W.expanding("team_id", "season")
-    x = F.when(F.count("pf").over(w) >= 5, 1 / (1 + F.pow(F.sum("pa").over(w) / F.sum("pf").over(w), F.lit(13.91))))
-    return D.team_history(D.games(spark, sf_dir)).select("team_id", "game_id", x.alias("x"), F.avg("win").over(w).alias("rate")).select("team_id", "game_id", _r(F.col("x"), "pythagorean"), _r(F.col("rate") - F.col("x"), "luck"))
+    counted = lambda c: F.col(c).isNotNull().cast("long")
+    sums = {"n": counted("pf"), "spf": F.col("pf"), "spa": F.col("pa"), "wins": F.col("win"), "n_wins": counted("win")}
+    h = W.totals_before(W.in_blocks(D.team_history(D.games(spark, sf_dir)), 0, "team_id", "season"), sums, "team_id", "season")
+    x = F.when(F.col("n") >= 5, 1 / (1 + F.pow(F.col("spa") / F.col("spf"), F.lit(13.91))))
+    return h.select("team_id", "game_id", x.alias("x"), _ratio("wins", "n_wins").alias("rate")).select("team_id", "game_id", _r(F.col("x"), "pythagorean"), _r(F.col("rate") - F.col("x"), "luck"))
 
 
 def _ewm_sql(alpha: float, least: int) -> str:
@@ -191,15 +210,23 @@ def _entropy_sql(p: str) -> str:
 @query(f"""WITH {D.HISTORY_SQL}, m AS (SELECT team_id, game_id, {_mean('win', 20, 5)} AS p20, {_mean('win', 10, 5)} AS p10 FROM history)
 SELECT team_id, game_id, round(p20, 6) AS win_pct, CASE WHEN p10 IS NOT NULL THEN round({_entropy_sql('p10')}, 6) END AS win_entropy FROM m""")
 def w12_win_entropy(spark, sf_dir):
-    h = D.team_history(D.games(spark, sf_dir)).select("team_id", "game_id", W.lagged_mean("win", 20, 5, "team_id").alias("p20"), W.lagged_mean("win", 10, 5, "team_id").alias("p10"))
+    h = W.own_rows(W.in_blocks(D.team_history(D.games(spark, sf_dir)), 20, "team_id"), "team_id", "game_id", W.lagged_mean("win", 20, 5, *_TEAM).alias("p20"), W.lagged_mean("win", 10, 5, *_TEAM).alias("p10"))
     return h.select("team_id", "game_id", _r(F.col("p20"), "win_pct"), _r(W.entropy(F.col("p10")), "win_entropy"))
 
 
-@query()
+_UP, _DOWN = "greatest(0.0::DOUBLE, s.up + e.x)", "least(0.0::DOUBLE, s.down + e.x)"
+_PASSED = f"({_UP} > 0.05 OR -({_DOWN}) > 0.05)"
+
+
+@query(f"""WITH {D.HISTORY_SQL}, l AS (SELECT team_id, game_id, list(win::DOUBLE) {_over(20)} AS last, avg(win) {_over('UNBOUNDED')} AS mean FROM history),
+f AS (SELECT team_id, game_id, last, list_reduce(list_prepend({{'up': 0.0::DOUBLE, 'down': 0.0::DOUBLE, 'peak': 0.0::DOUBLE, 'x': 0.0::DOUBLE}}, list_transform(last, lambda x: {{'up': 0.0::DOUBLE, 'down': 0.0::DOUBLE, 'peak': 0.0::DOUBLE, 'x': x - mean}})),
+  lambda s, e: {{'up': CASE WHEN {_PASSED} THEN 0.0 ELSE {_UP} END, 'down': CASE WHEN {_PASSED} THEN 0.0 ELSE {_DOWN} END, 'peak': greatest(s.peak, {_UP}, -({_DOWN})), 'x': 0.0::DOUBLE}}) AS r FROM l)
+SELECT team_id, game_id, CASE WHEN len(last) >= 5 THEN round(r.peak + 1e-9::DOUBLE, 6) END AS cusum_peak FROM f""")
 def w13_cusum_momentum(spark, sf_dir):
-    """The peak of a two-sided CUSUM of the last 20 results around the team's mean so far; a fold without a SQL form."""
-    h = D.team_history(D.games(spark, sf_dir)).select("team_id", "game_id", F.collect_list(F.col("win").cast("double")).over(W.lagged(20, "team_id")).alias("last"), F.avg("win").over(W.expanding("team_id")).alias("mean"))
-    return h.select("team_id", "game_id", _r(F.when(F.size("last") >= 5, W.cusum_peak(F.col("last"), F.col("mean"))), "cusum_peak"))
+    """The peak of a two-sided CUSUM of the last 20 results around the team's mean so far."""
+    h = W.totals_before(W.in_blocks(D.team_history(D.games(spark, sf_dir)), 20, "team_id"), {"wins": F.col("win"), "n_wins": F.col("win").isNotNull().cast("long")}, "team_id")
+    h = W.own_rows(h, "team_id", "game_id", F.collect_list(F.col("win").cast("double")).over(W.lagged(20, *_TEAM)).alias("last"), _ratio("wins", "n_wins").alias("mean"))
+    return h.select("team_id", "game_id", _r(F.when(F.size("last") >= 5, W.cusum_peak(F.col("last"), F.col("mean"))) + 1e-9, "cusum_peak"))  # no ties in rounding)
 
 
 @query(f"""WITH {D.QUARTERS_SQL}, d AS (SELECT game_id, team_id, game_date, q1, q2, q3, q4 FROM (
@@ -212,7 +239,7 @@ def w15_w16_a31_quarter_rolling(spark, sf_dir):
     g = D.games(spark, sf_dir)
     names = ["Q1", "Q2", "Q3", "Q4"]
     wide = D.quarters(g).groupBy("game_id", "team_id").pivot("period_label", names).agg(F.first("period_score", ignorenulls=True)).join(g.select("game_id", "game_date"), "game_id")
-    m = wide.select("team_id", "game_id", *[W.lagged_mean(q, 10, 5, "team_id").alias(q.lower()) for q in names])
+    m = W.own_rows(W.in_blocks(wide, 10, "team_id"), "team_id", "game_id", *[W.lagged_mean(q, 10, 5, *_TEAM).alias(q.lower()) for q in names])
     total = F.col("q1") + F.col("q2") + F.col("q3") + F.col("q4")
     p = [F.col(q.lower()) / total for q in names]
     entropy = -(p[0] * F.log2(p[0]) + p[1] * F.log2(p[1]) + p[2] * F.log2(p[2]) + p[3] * F.log2(p[3]))
@@ -223,7 +250,7 @@ def w15_w16_a31_quarter_rolling(spark, sf_dir):
 SELECT team_id, game_id, round({_mean('blow', 10, 5)}, 6) AS blowout_rate, round({_mean('close', 10, 5)}, 6) AS close_rate FROM f""")
 def w17_blowout_close(spark, sf_dir):
     h = D.team_history(D.games(spark, sf_dir)).withColumns({"blow": (F.abs("margin") > 15).cast("int"), "close": (F.abs("margin") <= 5).cast("int")})
-    return h.select("team_id", "game_id", _r(W.lagged_mean("blow", 10, 5, "team_id"), "blowout_rate"), _r(W.lagged_mean("close", 10, 5, "team_id"), "close_rate"))
+    return W.own_rows(W.in_blocks(h, 10, "team_id"), "team_id", "game_id", _r(W.lagged_mean("blow", 10, 5, *_TEAM), "blowout_rate"), _r(W.lagged_mean("close", 10, 5, *_TEAM), "close_rate"))
 
 
 @query(f"""WITH {D.HISTORY_SQL}, f AS (SELECT *, CAST(abs(margin) <= 3 AS INT) AS ot FROM history)
@@ -231,18 +258,18 @@ SELECT team_id, game_id, round({_mean('ot', 20, 5)}, 6) AS ot_rate, round(sum(ot
 def w18_overtime_history(spark, sf_dir):
     """Games within three points stand for overtime games, which the tables don't mark."""
     h = D.team_history(D.games(spark, sf_dir)).withColumn("ot", (F.abs("margin") <= 3).cast("int"))
-    past = W.expanding("team_id")
-    return h.select("team_id", "game_id", _r(W.lagged_mean("ot", 20, 5, "team_id"), "ot_rate"), _r(F.sum(F.col("ot") * F.col("win")).over(past) / F.nullif(F.sum("ot").over(past), F.lit(0)), "ot_win_rate"))
+    h = W.totals_before(W.in_blocks(h, 20, "team_id"), {"ot_wins": F.col("ot") * F.col("win"), "ots": F.col("ot")}, "team_id")
+    return W.own_rows(h, "team_id", "game_id", _r(W.lagged_mean("ot", 20, 5, *_TEAM), "ot_rate"), _r(_ratio("ot_wins", "ots"), "ot_win_rate"))
 
 
 @query(f"""WITH {D.HISTORY_SQL}, l AS (SELECT *, lag(margin) OVER (PARTITION BY team_id ORDER BY game_date, game_id) AS prev FROM history)
 SELECT team_id, game_id, round(CASE WHEN count(prev) {_over(19)} >= 9 AND stddev_pop(CASE WHEN prev IS NOT NULL THEN margin END) {_over(19)} > 0 AND stddev_pop(prev) {_over(19)} > 0 THEN corr(margin, prev) {_over(19)} END, 5) AS autocorr FROM l""")
 def w19_margin_autocorrelation(spark, sf_dir):
-    h = D.team_history(D.games(spark, sf_dir)).withColumn("prev", F.lag("margin").over(W.by("team_id")))
-    w = W.lagged(19, "team_id")
+    h = W.in_blocks(D.team_history(D.games(spark, sf_dir)), 20, "team_id").withColumn("prev", F.lag("margin").over(W.by(*_TEAM)))
+    w = W.lagged(19, *_TEAM)
     now = F.when(F.col("prev").isNotNull(), F.col("margin"))
     spread = F.nullif(F.stddev_pop(now).over(w) * F.stddev_pop("prev").over(w), F.lit(0.0))  # margins may all be equal
-    return h.select("team_id", "game_id", _r(F.when(F.count("prev").over(w) >= 9, F.covar_pop("margin", "prev").over(w) / spread), "autocorr", 5))
+    return W.own_rows(h, "team_id", "game_id", _r(F.when(F.count("prev").over(w) >= 9, F.covar_pop("margin", "prev").over(w) / spread), "autocorr", 5))
 
 
 @query(f"""WITH {D.GAMES_SQL},
@@ -301,7 +328,7 @@ def j3_align_ratings(spark, sf_dir):
     out, snaps = D.games(spark, sf_dir).select("game_id", "game_date", "home_team_id", "away_team_id"), D.rating_snapshots(spark, sf_dir)
     for side in ("home", "away"):
         right = snaps.select(F.col("team_id").alias(f"{side}_team_id"), F.col("as_of_date").alias(f"{side}_as_of"), F.col("rating").alias(f"{side}_rating"))
-        out = asof(out, right, [f"{side}_team_id"], "game_date", f"{side}_as_of", [f"{side}_rating"])
+        out = asof(out, right, [f"{side}_team_id"], "game_date", f"{side}_as_of", [f"{side}_rating"], block=lambda t: F.year(t))
     return out.select("game_id", "home_rating", "home_as_of", "away_rating", "away_as_of")
 
 
@@ -310,7 +337,7 @@ SELECT g.game_id, round(h.m, 6) AS home_margin_10, round(a.m, 6) AS away_margin_
 FROM games g LEFT JOIN f h ON h.game_id = g.game_id AND h.team_id = g.home_team_id LEFT JOIN f a ON a.game_id = g.game_id AND a.team_id = g.away_team_id""")
 def j6_f12_map_back_diffs(spark, sf_dir):
     g = D.games(spark, sf_dir)
-    f = D.team_history(g).select("team_id", "game_id", W.lagged_mean("margin", 10, 1, "team_id").alias("margin_10"))
+    f = W.own_rows(W.in_blocks(D.team_history(g), 10, "team_id"), "team_id", "game_id", W.lagged_mean("margin", 10, 1, *_TEAM).alias("margin_10"))
     out = W.to_games(g.select("game_id", "home_team_id", "away_team_id"), f, ["margin_10"])
     h, a = F.col("home_margin_10"), F.col("away_margin_10")
     return out.select("game_id", _r(h, "home_margin_10"), _r(a, "away_margin_10"), _r(h - a, "diff_margin_10"), _r(h + a, "sum_margin_10"))
@@ -350,7 +377,7 @@ l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY team_id ORDER BY g
 SELECT a.team_id AS team_a, b.team_id AS team_b, round(a.m - b.m, 6) AS diff_margin, round(a.m + b.m, 6) AS sum_margin FROM l a JOIN l b ON a.team_id < b.team_id""")
 def j20_j16_matchups(spark, sf_dir):
     """Every pairing of the teams' latest features; the two sides have one row for each of the league's teams."""
-    f = D.team_history(D.games(spark, sf_dir)).select("team_id", "game_id", "game_date", W.lagged_mean("margin", 10, 1, "team_id").alias("m"))
+    f = W.own_rows(W.in_blocks(D.team_history(D.games(spark, sf_dir)), 10, "team_id"), "team_id", "game_id", "game_date", W.lagged_mean("margin", 10, 1, *_TEAM).alias("m"))
     last = keep_last(f, ["team_id"], F.col("game_date"), F.col("game_id")).select("team_id", "m")
     a, b = last.select(F.col("team_id").alias("team_a"), F.col("m").alias("ma")), last.select(F.col("team_id").alias("team_b"), F.col("m").alias("mb"))
     return a.join(b, F.col("team_a") < F.col("team_b")).select("team_a", "team_b", _r(F.col("ma") - F.col("mb"), "diff_margin"), _r(F.col("ma") + F.col("mb"), "sum_margin"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from courtside.functions import scalars as S
+from courtside.operators import windows as W
 from courtside.operators.quantiles import exact_quantiles
 from courtside.plans.registry import query
 from courtside.sources import domain as D
@@ -159,12 +159,15 @@ def f28_f29_normal_pricing(spark, sf_dir):
     return o.join(F.broadcast(scale), "season").select("game_id", "line", _r(p, "over_prob"), F.when(p > 0.75, "likely").when(p < 0.25, "unlikely").otherwise("open").alias("label"))
 
 
-@query()
+@query(f"""WITH {D.HISTORY_SQL}, l AS (SELECT team_id, game_id, list(CAST(win AS VARCHAR)) OVER (PARTITION BY team_id ORDER BY game_date, game_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS last FROM history),
+f AS (SELECT team_id, game_id, last, list_reduce(list_prepend({{'seen': []::VARCHAR[], 'word': ''}}, list_transform(last, lambda x: {{'seen': []::VARCHAR[], 'word': x}})),
+  lambda s, e: {{'seen': CASE WHEN list_contains(s.seen, s.word || e.word) THEN s.seen ELSE list_append(s.seen, s.word || e.word) END, 'word': CASE WHEN list_contains(s.seen, s.word || e.word) THEN s.word || e.word ELSE '' END}}) AS r FROM l)
+SELECT team_id, game_id, CASE WHEN len(last) >= 5 THEN round(len(r.seen) / len(last)::DOUBLE, 6) END AS complexity FROM f""")
 def w14_lempel_ziv(spark, sf_dir):
-    """Distinct words that a left-to-right parse of the last 20 results into new words finds, over their number; a fold without a SQL form."""
-    h = D.team_history(D.games(spark, sf_dir))
-    w = Window.partitionBy("team_id").orderBy("game_date", "game_id").rowsBetween(-20, -1)
-    h = h.select("team_id", "game_id", F.collect_list(F.col("win").cast("string")).over(w).alias("last"))
+    """Distinct words that a left-to-right parse of the last 20 results into new words finds, over their number."""
+    h = W.in_blocks(D.team_history(D.games(spark, sf_dir)), 20, "team_id")
+    w = W.lagged(20, "team_id", W.BLOCK)
+    h = W.own_rows(h, "team_id", "game_id", F.collect_list(F.col("win").cast("string")).over(w).alias("last"))
     zero = F.struct(F.array().cast("array<string>").alias("seen"), F.lit("").alias("word"))
 
     def step(s, x):

@@ -59,6 +59,35 @@ def test_asof_is_strict_or_exact_and_carries_whole_rows(spark):
     assert exact == {(1, 5): 1, (1, 10): 2, (2, 1): None}
 
 
+def test_asof_in_blocks_is_asof(spark):
+    rng = np.random.default_rng(2)
+    left = spark.createDataFrame([(int(k) if k else None, int(t)) for k, t in zip(rng.integers(0, 3, 80), rng.permutation(80), strict=True)], "k int, t int")
+    right = spark.createDataFrame([(int(k) if k else None, int(u), f"v{i}") for i, (k, u) in enumerate(zip(rng.integers(0, 3, 15), rng.permutation(80)[:15], strict=True))], "k int, u int, v string")
+    for exact in (False, True):
+        want, got = ([tuple(r) for r in joins.asof(left, right, ["k"], "t", "u", ["v"], exact=exact, block=b).orderBy("t").collect()] for b in (None, lambda t: F.floor(t / 7)))
+        assert got == want and any(r[2] for r in got)
+    assert joins.asof(left.limit(0), right, ["k"], "t", "u", ["v"], block=lambda t: F.floor(t / 7)).count() == 0
+
+
+@pytest.mark.parametrize("keyed", [("team_id",), ("team_id", "season")])
+def test_blocks_give_the_windows_of_whole_histories(spark, keyed):
+    rng = np.random.default_rng(8)
+    rows = [(int(t) if t else None, int(n) % 2, n, None if n == 3 else day(int(n) // 3 * 11), None if n % 17 == 5 else float(x)) for n, (t, x) in enumerate(zip(rng.integers(0, 3, 150), rng.integers(0, 100, 150), strict=True))]
+    h = spark.createDataFrame(rows, "team_id int, season int, game_id long, game_date date, x double")
+    whole = h.select("game_id", W.lagged_mean("x", 6, 2, *keyed).alias("m"), F.sum("x").over(W.expanding(*keyed)).alias("s"), (F.row_number().over(W.by(*keyed)) - 1).alias("n"))
+    for block, days in ((6, 40), (9, 400), (4096, 1)):
+        blocked = W.totals_before(W.in_blocks(h, 6, *keyed, days=days, block=block), {"s": F.col("x")}, *keyed)
+        got = W.own_rows(blocked, "game_id", W.lagged_mean("x", 6, 2, *keyed, W.BLOCK).alias("m"), "s", F.col("__n").alias("n"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect())), (block, days)
+
+
+def test_blocks_bound_the_rows_of_a_hot_team(spark):
+    h = spark.range(5000).select(F.lit(1).alias("team_id"), F.col("id").alias("game_id"), F.expr("date_add(DATE'2000-01-01', CAST(id AS INT))").alias("game_date"), F.col("id").cast("double").alias("x"))
+    sizes = W.in_blocks(h, 20, "team_id", days=100, block=500).groupBy(W.BLOCK).count().collect()
+    assert max(r["count"] for r in sizes) == 520 and sum(r["count"] for r in sizes) == 5000 + 20 * 10
+    assert W.own_rows(W.in_blocks(h.limit(0), 20, "team_id"), "x").count() == 0
+
+
 def test_upsert_ignores_known_keys(spark):
     target = spark.createDataFrame([("1", 10)], "game_id string, score int")
     new = spark.createDataFrame([("1", 99, 1), ("2", 20, 1), ("2", 21, 2)], "game_id string, score int, version int")
