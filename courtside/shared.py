@@ -10,10 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 _CONF = "spark.checkpoint.dir"
 
 
+def _require_local(master: str) -> None:
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set {_CONF} to a folder that the driver and all executors share (master is {master})")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (local runs, tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset on a local master (tests).
+
+    On a cluster no folder of one machine can serve, so an unset name is an error there.
+    """
     found = spark.conf.get(_CONF, None)
     if not found:
+        _require_local(spark.sparkContext.master)
         found = tempfile.mkdtemp(prefix="courtside-")
         spark.conf.set(_CONF, found)
     return found.rstrip("/")
