@@ -56,12 +56,14 @@ def resolve(records: DataFrame, id_col: str, payload_col: str, min_bytes: int =
 
 
 def record_urn(id_: Column) -> Column:
-    """The record id of a row's id; ``id_of`` is its inverse."""
-    return F.concat(F.lit("<urn:x-record:"), F.regexp_replace(F.coalesce(id_.cast("string"), F.lit("null")), r"[<>\s]+", "_"), F.lit(">"))
+    """The record id of a row's id, percent-encoded, so that unlike ids have unlike records; ``id_of`` is its inverse."""
+    return F.coalesce(F.concat(F.lit("<urn:x-record:"), F.url_encode(id_.cast("string")), F.lit(">")), F.lit("<urn:x-no-id>"))
 
 
 def id_of(urn: Column) -> Column:
-    return F.nullif(F.regexp_extract(urn, r"^<urn:x-record:([^>]*)>$", 1), F.lit("null"))
+    """The id as text; null for the record of a null id, and for what is no record id."""
+    found = r"^<urn:x-record:([^>]*)>$"
+    return F.when(urn.rlike(found), F.url_decode(F.regexp_extract(urn, found, 1)))
 
 
 def _archives(rows: DataFrame, file_bytes: int) -> int:
