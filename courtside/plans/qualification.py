@@ -22,6 +22,12 @@ _VIF_SQL = ", ".join(_swept_sql(f"vif_{n}_", "every", _SIZE, [0, *[j for j in ra
 _VIF_SQL += ", vif AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT '{n}' AS feature, (e.g_{k}_{k} - e.g_0_{k} * e.g_0_{k} / e.g_0_0) / v.g_{k}_{k} AS vif FROM every e, vif_{n}_ v" for k, n in enumerate(NAMES, 1)) + ")"
 
 
+_PAIRS = [(g, n) for g in NAMES for n in NAMES if n != g]
+#: Inflation of what is left when each feature is the first to go.
+_NEXT_SQL = ", ".join(_swept_sql(f"next_{g}_{n}_", "every", _SIZE, [0, *[j for j, o in enumerate(NAMES, 1) if o not in (g, n)]]) for g, n in _PAIRS)
+_NEXT_SQL += ", next AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT '{g}' AS without, '{n}' AS feature, (e.g_{k}_{k} - e.g_0_{k} * e.g_0_{k} / e.g_0_0) / v.g_{k}_{k} AS vif FROM every e, next_{g}_{n}_ v" for g, n in _PAIRS for k in [NAMES.index(n) + 1]) + ")"
+
+
 @query(f"WITH {_DATA_SQL}, {_SUMS_SQL}, {_VIF_SQL} SELECT feature, round(vif, 4) AS vif FROM vif")
 def m13_variance_inflation(spark, sf_dir):
     """How much each feature's variance is inflated by the others, from one aggregation."""
@@ -47,8 +53,9 @@ def _newton_sql(name: str, rows: str, terms: list[str], folds: bool, rounds: int
 _Z = "abs(b2) / se"
 _T = f"(1 / (1 + 0.2316419::DOUBLE * {_Z}))"
 _TAIL = f"0.3989422804014327::DOUBLE * exp(-pow({_Z}, 2) / 2) * ({_T} * (0.31938153 + {_T} * (-0.356563782 + {_T} * (1.781477937 + {_T} * (-1.821255978 + {_T} * 1.330274429)))))"
-_REPORT_SQL = f"""WITH {_DATA_SQL}, {_SUMS_SQL}, {_VIF_SQL},
-gone AS MATERIALIZED (SELECT arg_max(feature, vif) AS feature FROM vif WHERE vif >= 5 GROUP BY left(feature, 1)),
+_REPORT_SQL = f"""WITH {_DATA_SQL}, {_SUMS_SQL}, {_VIF_SQL}, {_NEXT_SQL},
+first_gone AS MATERIALIZED (SELECT arg_max(feature, vif) AS feature FROM vif WHERE vif >= 5),
+gone AS MATERIALIZED (SELECT feature FROM first_gone UNION ALL SELECT arg_max(n.feature, vif) FROM next n JOIN first_gone f ON n.without = f.feature WHERE vif >= 5),
 k AS MATERIALIZED (SELECT season, label, feature, x FROM (SELECT season, CAST(y > 1.5 AS INT) AS label, u0, u1, v2, v3, z FROM d) UNPIVOT (x FOR feature IN (u0, u1, v2, v3, z)) WHERE feature NOT IN (SELECT feature FROM gone)),
 three AS (SELECT CASE WHEN 'u0' IN (SELECT feature FROM gone) THEN u1 ELSE u0 END AS a, CASE WHEN 'v2' IN (SELECT feature FROM gone) THEN v3 ELSE v2 END AS b, z AS c FROM d),
 r AS (SELECT corr(a, b) AS ab, corr(a, c) AS ac, corr(b, c) AS bc FROM three),
