@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def load() -> None:
-    from courtside.plans import boxscores, evaluation, features, importance, livestreams, market, models, pregame, pricing, qualification, ratings, scoring, selection, streams, tables  # noqa: F401
+    from courtside.plans import boxscores, evaluation, features, importance, livestreams, market, models, pregame, pricing, qualification, ratingpages, ratings, scoring, selection, streams, tables  # noqa: F401
 
 
 load()
