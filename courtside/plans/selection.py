@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from courtside.functions import scalars as S
+from courtside.operators import normality as N
 from courtside.operators import selection as L
 from courtside.operators.quantiles import cumulative_counts, exact_quantiles
 from courtside.plans.registry import query
@@ -149,3 +151,38 @@ def m16_normal_distance(spark, sf_dir):
     n, mu, sd = x.agg(F.count("x"), F.avg("x"), F.stddev_pop("x")).first()
     f = S.normal_cdf((F.col("x") - mu) / sd)
     return cumulative_counts(x, F.col("x")).agg(F.round(F.max(F.greatest((F.col("below") + F.col("n")) / n - f, f - F.col("below") / n)), 4).alias("ks"))
+
+
+_NZ = "(SELECT n::DOUBLE AS n, m3 / pow(m2, 1.5) AS skew, m4 / (m2 * m2) - 3 AS excess, season FROM c)"
+_SKEW_SQL = """asinh(skew * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) / sqrt(2 / (w2 - 1))) / sqrt(ln(w2) / 2)"""
+_KURT_SQL = """(1 - 2 / (9 * a) - cbrt((1 - 2 / a) / (1 + (excess + 3 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) * sqrt(2 / (a - 4))))) / sqrt(2 / (9 * a))"""
+
+
+@query(f"""WITH x AS (SELECT year(l_shipdate)::BIGINT AS season, {_X} AS x FROM lineitem), mu AS (SELECT season, avg(x) AS mu FROM x GROUP BY 1),
+c AS (SELECT season, count(*) AS n, avg(pow(x - mu, 2)) AS m2, avg(pow(x - mu, 3)) AS m3, avg(pow(x - mu, 4)) AS m4 FROM x JOIN mu USING (season) GROUP BY 1),
+w AS (SELECT *, sqrt(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) - 1 AS w2, 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS root FROM {_NZ}),
+a AS (SELECT *, 6 + 8 / root * (2 / root + sqrt(1 + 4 / (root * root))) AS a FROM w),
+t AS (SELECT season, n, skew, excess, CASE WHEN n >= 8 THEN pow({_SKEW_SQL}, 2) + pow({_KURT_SQL}, 2) END AS k2, CASE WHEN n >= 8 THEN n / 6 * (skew * skew + excess * excess / 4) END AS jb FROM a)
+SELECT season, n::BIGINT AS n, round(skew, 6) AS skew, round(excess, 6) AS excess, round(k2, 4) AS k2, round(exp(-k2 / 2), 6) AS k2_p, round(jb, 4) AS jb, round(exp(-jb / 2), 6) AS jb_p FROM t""")
+def m16_normality_by_season(spark, sf_dir):
+    """K squared and Jarque-Bera of each season's values, with their chances under a normal distribution."""
+    x = table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").cast("long").alias("season"), F.round(F.col("l_extendedprice") / F.col("l_quantity") / 100, 6).alias("x"))
+    digits = {"skew": 6, "excess": 6, "k2": 4, "k2_p": 6, "jb": 4, "jb_p": 6}
+    return N.moment_tests(x, F.col("x"), "season").select("season", "n", *[F.round(c, d).alias(c) for c, d in digits.items()])
+
+
+#: The series of the normal distribution function, u + u^3 / 3 + u^5 / 15 + ..., less its factor u, and the fraction of its tail.
+_SERIES_SQL = reduce(lambda inner, k: f"(1 + zz / {2 * k + 1} * {inner})", range(40, 0, -1), "1")
+_FRACTION_SQL = reduce(lambda inner, k: f"(u + {k} / {inner})", range(60, 0, -1), "u")
+
+
+@query(f"""WITH x AS (SELECT {_X} AS x FROM lineitem), m AS (SELECT count(*) AS n, avg(x) AS mu, stddev_samp(x) AS sd FROM x),
+k AS (SELECT n, (x - mu) / sd AS z, abs(z) AS u, z * z AS zz, 0.3989422804014327::DOUBLE * exp(-zz / 2) AS phi, row_number() OVER (ORDER BY x) AS i FROM x, m),
+t AS (SELECT n, i, z, CASE WHEN u >= 2.5 THEN phi / {_FRACTION_SQL} ELSE 0.5::DOUBLE - phi * u * {_SERIES_SQL} END AS tail FROM k),
+q AS (SELECT n, i, CASE WHEN z < 0 THEN tail ELSE 1 - tail END AS f, CASE WHEN z < 0 THEN 1 - tail ELSE tail END AS g FROM t),
+s AS (SELECT max(n) AS n, -max(n) - sum((2 * i - 1) * ln(f) + (2 * (n - i) + 1) * ln(g)) / max(n) AS ad, 0.787::DOUBLE / (1 + 4.0::DOUBLE / max(n) - 25.0::DOUBLE / (max(n) * max(n))) AS critical FROM q)
+SELECT n, round(ad, 3) AS ad, round(critical, 5) AS critical, ad > critical AS rejected FROM s""")
+def m16_anderson_darling(spark, sf_dir):
+    """Anderson and Darling's distance of a column from the normal distribution with its mean and deviation."""
+    x = materialize(table(spark, sf_dir, "lineitem").select(F.round(F.col("l_extendedprice") / F.col("l_quantity") / 100, 6).alias("x")), "values")
+    return N.anderson_darling(x, F.col("x")).select("n", F.round("ad", 3).alias("ad"), F.round("critical", 5).alias("critical"), "rejected")
