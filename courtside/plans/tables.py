@@ -158,14 +158,19 @@ def f15_j12_j23_tickers(spark, sf_dir):
 
 
 @query(f"""WITH {D.RATINGS_SQL}, a AS (SELECT * FROM snaps WHERE team_id % 4 > 0), b AS (SELECT team_id, as_of_date, rating + team_id % 3 AS rating FROM snaps WHERE team_id % 5 > 0)
-SELECT coalesce(a.team_id, b.team_id) AS team_id, coalesce(a.as_of_date, b.as_of_date) AS day, concat_ws('|', CASE WHEN a.team_id IS NULL THEN 'no_a' END, CASE WHEN b.team_id IS NULL THEN 'no_b' END, CASE WHEN abs(a.rating - b.rating) > 1 THEN 'differs' END) AS flags
+SELECT coalesce(a.team_id, b.team_id) AS team_id, coalesce(a.as_of_date, b.as_of_date) AS day, concat_ws('|', CASE WHEN a.team_id IS NULL THEN 'no_a' END, CASE WHEN b.team_id IS NULL THEN 'no_b' END, CASE WHEN round(abs(a.rating - b.rating), 4) > 1 THEN 'differs' END) AS flags
 FROM a FULL JOIN b ON a.team_id = b.team_id AND a.as_of_date = b.as_of_date""")
 def j17_rating_audit(spark, sf_dir):
+    """Days that one of two rating tables lacks or on which they differ by more than 1, told in the ratings' own four digits.
+
+    Where a rating plus 1 passes a power of two the difference in doubles is a little more or less than 1; unrounded, the
+    last bit of a rating (and so the order of its sum) would decide.
+    """
     s = D.rating_snapshots(spark, sf_dir)
     a = s.where("team_id % 4 > 0").withColumnRenamed("rating", "ra")
     b = s.where("team_id % 5 > 0").select("team_id", "as_of_date", (F.col("rating") + F.col("team_id") % 3).alias("rb"))
     both = a.join(b, ["team_id", "as_of_date"], "full_outer")
-    flags = F.concat_ws("|", F.when(F.col("ra").isNull(), "no_a"), F.when(F.col("rb").isNull(), "no_b"), F.when(F.abs(F.col("ra") - F.col("rb")) > 1, "differs"))
+    flags = F.concat_ws("|", F.when(F.col("ra").isNull(), "no_a"), F.when(F.col("rb").isNull(), "no_b"), F.when(F.round(F.abs(F.col("ra") - F.col("rb")), 4) > 1, "differs"))
     return both.select("team_id", F.col("as_of_date").alias("day"), flags.alias("flags"))
 
 
