@@ -7,9 +7,12 @@ for each iteration). What comes to the driver has the size of the number of colu
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,81 @@ def grams(df: DataFrame, columns: list[str], group: str) -> dict[object, np.ndar
     return out
 
 
+@dataclass
+class Moments:
+    """Of each pair of columns over the rows that have both: count, mean and squared deviations of the first, and codeviations."""
+
+    n: np.ndarray
+    mean: np.ndarray
+    squares: np.ndarray
+    products: np.ndarray
+
+    @staticmethod
+    def of(values: np.ndarray, known: np.ndarray) -> Moments:
+        """values: a column for each variable; what is not ``known`` counts for none of its pairs."""
+        m = known.astype(float)
+        shift = np.where(known, values, 0.0).sum(axis=0) / np.maximum(m.sum(axis=0), 1)
+        shift[~np.isfinite(shift)] = 0.0
+        z = np.where(known, values - shift, 0.0)
+        n, s = m.T @ m, z.T @ m
+        at_least = np.maximum(n, 1)
+        return Moments(n, s / at_least + np.where(n > 0, shift[:, None], 0.0), (z * z).T @ m - s * s / at_least, z.T @ z - s * s.T / at_least)
+
+    def __add__(self, other: Moments) -> Moments:
+        n = self.n + other.n
+        share = other.n / np.maximum(n, 1)
+        moved, weight = other.mean - self.mean, self.n * share
+        return Moments(n, self.mean + moved * share, self.squares + other.squares + moved * moved * weight, self.products + other.products + moved * moved.T * weight)
+
+    def corr(self, i: int, j: int) -> float | None:
+        """None where one of the two does not vary."""
+        spread = self.squares[i, j] * self.squares[j, i]
+        return None if self.n[i, j] < 2 or spread <= 0 else float(self.products[i, j] / math.sqrt(spread))
+
+
+def moments(df: DataFrame, columns: list[str], group: str) -> dict[object, Moments]:
+    """By group, the moments of all pairs of columns from one reading; a pair takes the rows that have both.
+
+    Tasks fold their rows, batch by batch, into one set of matrices for each group, which are then merged by group.
+    """
+    p, kind = len(columns), df.schema[group].dataType
+    parts = ("n", "mean", "squares", "products")
+    narrow = df.select(F.col(group).alias("group"), *[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(columns)])
+    schema = f"group {kind.simpleString()}, " + ", ".join(f"{x} array<double>" for x in parts)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[object, Moments] = {}
+        of_group = pa.null()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            of_group = b.column(0).type
+            keys = b.column(0).dictionary_encode("encode")
+            code = keys.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            ends = np.cumsum(np.bincount(code, minlength=len(keys.dictionary)))
+            values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]]).astype(float)[order]
+            known = np.column_stack([np.ones(b.num_rows, bool) if not c.null_count else c.is_valid().to_numpy(zero_copy_only=False) for c in b.columns[1:]])[order]
+            for g, start, end in zip(keys.dictionary.to_pylist(), [0, *ends[:-1]], ends, strict=True):
+                new = Moments.of(values[start:end], known[start:end])
+                found[g] = found[g] + new if g in found else new
+        if found:
+            flat = [pa.array([getattr(m, x).ravel().tolist() for m in found.values()], pa.list_(pa.float64())) for x in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), of_group), *flat], ["group", *parts])
+
+    def matrices(row) -> Moments:
+        return Moments(*[np.array(row[x]).reshape(p, p) for x in parts])
+
+    def merge(table: pa.Table) -> pa.Table:
+        total = None
+        for row in table.to_pylist():
+            total = matrices(row) if total is None else total + matrices(row)
+        return pa.table({"group": table.column("group").slice(0, 1), **{x: pa.array([getattr(total, x).ravel().tolist()], pa.list_(pa.float64())) for x in parts}})
+
+    rows = narrow.mapInArrow(fold, schema).groupBy("group").applyInArrow(merge, schema).collect()
+    return {r["group"]: matrices(r) for r in rows}
+
+
 def held_out_rmse(by_group: dict[object, np.ndarray], use: list[int], target: int, ridge: float = 1e-8) -> float:
     """Root mean squared error of least squares on the columns ``use`` (0 is the constant), each group predicted by the others."""
     total, squares, n = sum(by_group.values()), 0.0, 0.0
@@ -204,20 +282,30 @@ def _mean_quality(corr: np.ndarray, labels: np.ndarray) -> tuple[float, dict[int
     return float(np.mean(list(by.values()))), by
 
 
+def correlations(m: Moments | None, size: int) -> np.ndarray:
+    """The first ``size`` columns' correlation matrix; 0 where one does not vary or the value is not known."""
+    corr = np.eye(size)
+    for i in range(size):
+        for j in range(i):
+            v = None if m is None else m.corr(i, j)
+            corr[i, j] = corr[j, i] = 0.0 if v is None or math.isnan(v) else v
+    return corr
+
+
 def cluster_features(df: DataFrame, features: list[str], most: int | None = None, seeds: int = 10) -> dict[str, str]:
     """feature -> cluster (named by its first member): features cluster by the correlation distance sqrt((1 - r) / 2).
 
     Of all trials of k-means the one with the largest ratio of the silhouettes' mean to their deviation wins; then the
     worst clusters of four or more are split in the same way, as long as the clusters' mean silhouette rises.
-    Correlations are one aggregation; the matrix of the features (not of the rows) goes to the trials.
+    Correlations come from one reading of the table; the matrix of the features (not of the rows) goes to the trials.
     """
-    pairs = [(i, j) for i in range(len(features)) for j in range(i)]
-    corr = np.eye(len(features))
-    if pairs:
-        row = df.agg(*[F.corr(features[i], features[j]) for i, j in pairs]).first()
-        for (i, j), v in zip(pairs, row, strict=True):
-            corr[i, j] = corr[j, i] = 0.0 if v is None or math.isnan(v) else v
-    spark, most = df.sparkSession, most or len(features) - 1
+    found = moments(df.withColumn("__all", F.lit(0)), features, "__all") if features else {}
+    return clusters_of(df.sparkSession, correlations(found.get(0), len(features)), features, most, seeds)
+
+
+def clusters_of(spark: SparkSession, corr: np.ndarray, features: list[str], most: int | None = None, seeds: int = 10) -> dict[str, str]:
+    """``cluster_features`` of features whose correlation matrix is known."""
+    most = most or len(features) - 1
     labels = _split(spark, corr, most, seeds)
     if labels is None:
         return dict.fromkeys(features, features[0])

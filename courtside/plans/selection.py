@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import operator
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ def featured(spark, sf_dir):
 @query("SELECT unnest([" + ", ".join(f"'{f}'" for f in FEATURES) + "]) AS feature, unnest([" + ", ".join(f"'{f[0]}0'" for f in FEATURES) + "]) AS cluster")
 def m4_feature_clusters(spark, sf_dir):
     """Clusters found among features by their correlations: those of one signal belong together."""
-    found = L.cluster_features(materialize(featured(spark, sf_dir), "featured"), FEATURES)
+    found = L.cluster_features(featured(spark, sf_dir), FEATURES)
     return spark.createDataFrame(sorted(found.items()), "feature string, cluster string")
 
 
@@ -46,10 +47,12 @@ m AS (SELECT feature, avg(r) AS mean, stddev_samp(r) / sqrt(count(*)) AS std FRO
 SELECT left(feature, 1) || '0' AS cluster, count(*) AS members, round(sum(mean), 6) AS importance, round(sqrt(sum(std * std)), 6) AS std FROM m GROUP BY 1""")
 def m19_clustered_importance(spark, sf_dir):
     """A cluster's importance: the sum of its members' means over seasons, with the root of their squared errors summed."""
-    df = materialize(featured(spark, sf_dir), "featured")
-    clusters = spark.createDataFrame(sorted(L.cluster_features(df, FEATURES).items()), "feature string, cluster string")
-    seasons = df.groupBy("season").agg(F.count("*").alias("n"), *[F.abs(F.corr(f, "y")).alias(f) for f in FEATURES]).where("n > 2")
-    long = seasons.unpivot(["season"], FEATURES, "feature", "r")
+    by_season = L.moments(featured(spark, sf_dir), [*FEATURES, "y"], "season")
+    corr = L.correlations(reduce(operator.add, by_season.values()) if by_season else None, len(FEATURES))
+    clusters = spark.createDataFrame(sorted(L.clusters_of(spark, corr, FEATURES).items()), "feature string, cluster string")
+    y = len(FEATURES)
+    scores = [(s, f, abs(r)) for s, m in by_season.items() if m.n.max() > 2 for k, f in enumerate(FEATURES) for r in [m.corr(k, y)] if r is not None]
+    long = spark.createDataFrame(scores, "season long, feature string, r double")
     means = long.groupBy("feature").agg(F.avg("r").alias("mean"), (F.stddev_samp("r") / F.sqrt(F.count("*"))).alias("std"))
     return means.join(F.broadcast(clusters), "feature").groupBy("cluster").agg(F.count("*").alias("members"), F.round(F.sum("mean"), 6).alias("importance"), F.round(F.sqrt(F.sum(F.col("std") * F.col("std"))), 6).alias("std"))
 
