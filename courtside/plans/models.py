@@ -72,24 +72,24 @@ def m7_permutation_importance(spark, sf_dir):
     """
     from pyspark.sql import Window
 
-    df = _data(spark, sf_dir).withColumn("bucket", F.pmod(F.xxhash64("game_id"), F.lit(32)))
-    model = LogisticRegression(maxIter=20, regParam=0.01).fit(df)
+    rows = D.oof(spark, sf_dir).select("season", "game_id", "line", "y_true", F.col("label").cast("double").alias("label"), *FEATURES)
+    model = LogisticRegression(maxIter=20, regParam=0.01).fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("features", "label"))
     w = Window.partitionBy("season", "bucket")
+    df = rows.withColumn("bucket", F.pmod(F.xxhash64("game_id"), F.lit(32)))
     numbered = df.withColumns({"i": F.row_number().over(w.orderBy("game_id", "line", "y_true")), "j": F.row_number().over(w.orderBy(F.xxhash64("game_id", "line", F.lit(3)), "y_true"))})
-    numbered = materialize(numbered.drop("features"), "numbered")
-
-    def loss(rows: DataFrame, name: str) -> DataFrame:
-        scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)).withColumn("p", vector_to_array("probability")[1])
-        p = F.least(F.greatest("p", F.lit(1e-15)), F.lit(1 - 1e-15))
-        return scored.agg(F.avg(-(F.col("label") * F.ln(p) + (1 - F.col("label")) * F.ln(1 - p))).alias("loss")).select(F.lit(name).alias("feature"), "loss")
-
-    parts = [loss(numbered, "none")]
-    for name in FEATURES:
-        other = numbered.select("season", "bucket", F.col("j").alias("i"), F.col(name).alias("dealt"))
-        parts.append(loss(numbered.join(other, ["season", "bucket", "i"]).withColumn(name, F.col("dealt")), name))
-    got = reduce(DataFrame.unionByName, parts)
-    base = got.where("feature = 'none'").select(F.col("loss").alias("base"))
-    return got.where("feature <> 'none'").crossJoin(F.broadcast(base)).select("feature", F.round(F.col("loss") - F.col("base"), 6).alias("importance"))
+    numbered = materialize(numbered.select("season", "bucket", "i", "j", "label", *FEATURES), "numbered")
+    # one join deals all features: each is then moved alone
+    other = numbered.select("season", "bucket", F.col("j").alias("i"), *[F.col(n).alias(f"dealt_{n}") for n in FEATURES])
+    both = numbered.drop("j").join(other, ["season", "bucket", "i"])
+    weights = dict(zip(FEATURES, model.coefficients.toArray().tolist(), strict=True))
+
+    def loss(moved: str | None):
+        z = sum((F.col(f"dealt_{n}" if n == moved else n) * w for n, w in weights.items()), F.lit(0.0)) + float(model.intercept)
+        p = F.least(F.greatest(1 / (1 + F.exp(-z)), F.lit(1e-15)), F.lit(1 - 1e-15))
+        return F.avg(-(F.col("label") * F.ln(p) + (1 - F.col("label")) * F.ln(1 - p)))
+
+    losses = both.agg(loss(None).alias("base"), *[loss(n).alias(n) for n in FEATURES])
+    return losses.unpivot(["base"], FEATURES, "feature", "loss").select("feature", F.round(F.col("loss") - F.col("base"), 6).alias("importance"))
 
 
 @query()
