@@ -6,6 +6,7 @@ matrices and metrics come to the driver.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.ml import Pipeline
@@ -16,6 +17,9 @@ from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from courtside.operators.importance import covariances
+from courtside.operators.qualification import Design, fit_logits
+from courtside.operators.selection import grams
 from courtside.plans.registry import query
 from courtside.shared import materialize
 from courtside.sources import domain as D
@@ -140,11 +144,43 @@ def l7_stacking(spark, sf_dir):
 @query()
 def m8_single_feature_scores(spark, sf_dir):
     """Accuracy of each feature alone, each season scored by a model of the others, against that of the commoner class."""
-    df = _data(spark, sf_dir)
-    parts = []
-    for name in FEATURES:
-        one = VectorAssembler(inputCols=[name], outputCol="one").transform(df.drop("features"))
-        regression = LogisticRegression(featuresCol="one", maxIter=10)
-        scored = reduce(DataFrame.unionByName, [regression.fit(one.where(F.col("season") != s)).transform(one.where(F.col("season") == s)) for s in _seasons(df)])
-        parts.append(scored.agg(F.round(F.avg((F.col("prediction") == F.col("label")).cast("int")), 5).alias("accuracy"), F.round(F.greatest(F.avg("label"), 1 - F.avg("label")), 5).alias("null_score")).select(F.lit(name).alias("feature"), "accuracy", "null_score"))
-    return reduce(DataFrame.unionByName, parts)
+    rows = materialize(D.oof(spark, sf_dir).select("season", F.col("label").cast("double").alias("label"), *FEATURES), "oof-features")
+    models = _models_without_a_season(rows)
+    season = F.col("season")
+
+    def hit(name: str):
+        predicted = F.lit(None).cast("double")
+        for s, (intercept, slope) in models[name].items():
+            predicted = F.when(season == s, (intercept + slope * F.col(name) > 0).cast("double")).otherwise(predicted)
+        return F.avg((predicted == F.col("label")).cast("int"))
+
+    scores = rows.agg(F.avg("label").alias("ones"), *[hit(n).alias(n) for n in FEATURES])
+    null_score = F.round(F.greatest("ones", 1 - F.col("ones")), 5).alias("null_score")
+    return scores.unpivot(["ones"], FEATURES, "feature", "accuracy").select("feature", F.round("accuracy", 5).alias("accuracy"), null_score)
+
+
+def _models_without_a_season(rows: DataFrame) -> dict[str, dict[int, tuple[float, float]]]:
+    """feature -> season -> (intercept, slope) of a logistic model of that feature alone on all other seasons.
+
+    All models are fitted together (``fit_logits``), a reading of the table for each round; one that has no maximum
+    (classes apart, one class only) is fitted by Spark ML alone.
+    """
+    sums = grams(rows, FEATURES, "season")
+    total, designs = sum(sums.values()), {}
+    for s in sums:
+        rest = total - sums[s]
+        cov = covariances(rest)
+        for k, name in enumerate(FEATURES, 1):
+            designs[name, s] = Design(f"{name}\n{s}", (name,), (float(rest[0, k] / rest[0, 0]),), (math.sqrt(max(cov[k, k], 0.0)) or 1.0,), s)
+    fits = fit_logits(rows, "label", "season", list(designs.values()))
+    found: dict[str, dict[int, tuple[float, float]]] = {n: {} for n in FEATURES}
+    for (name, s), d in designs.items():
+        fit = fits[d.name]
+        if fit.converged:
+            slope = fit.coefficients[1] / d.deviations[0]
+            found[name][s] = (fit.coefficients[0] - slope * d.means[0], slope)
+        else:
+            one = VectorAssembler(inputCols=[name], outputCol="one").transform(rows.where(F.col("season") != s))
+            model = LogisticRegression(featuresCol="one", maxIter=10).fit(one)
+            found[name][s] = (float(model.intercept), float(model.coefficients[0]))
+    return found
