@@ -87,3 +87,34 @@ def test_inflation_by_regression_on_the_others(table):
     assert np.isinf(Q.variance_inflation(np.array([[1.0, 1.0], [1.0, 1.0]]))).all()
     assert Q.thin_out(np.diag([1.0, 0.0, 2.0]), ["a", "flat", "b"])[0] == ["a", "b"]
     assert Q.thin_out(np.array([[1.0, 1.0, 0], [1.0, 1.0, 0], [0, 0, 1.0]]), ["a", "twin", "b"])[0] == ["twin", "b"]
+
+
+def test_folds_begin_at_the_fit_of_all_seasons(spark, table, monkeypatch):
+    rounds = []
+    fit = Q.fit_logits
+
+    def watched(*args, **kwargs):
+        got = fit(*args, **kwargs)
+        rounds.append(max(f.rounds for f in got.values()))
+        return got
+
+    monkeypatch.setattr(Q, "fit_logits", watched)
+    sums = grams(table, ["a", "b"], "season")
+    got = Q.coefficient_stability(table, ["a", "b"], "label", "season", sums)
+    assert len(rounds) == 2 and rounds[1] < rounds[0]  # the folds of all features took fewer rounds than one fit from zeros
+    rows = table.toPandas()
+    for s, (name, b) in enumerate((n, got[n][s]) for n in ("a", "b") for s in range(5)):
+        part = rows[rows.season != s % 5]
+        design = Q.Design("x", (name,), (part[name].mean(),), (part[name].std(ddof=0) + 1e-10,), s % 5)
+        assert b == pytest.approx(fit(table, "label", "season", [design])["x"].coefficients[1], abs=1e-9)
+
+
+@pytest.mark.parametrize("seasons", [["1996", "1997"], [None, "1997"]])
+def test_seasons_may_be_texts(spark, seasons):
+    rng = np.random.default_rng(2)
+    rows = [(seasons[i % 2], int(rng.random() < 0.5), float(x)) for i, x in enumerate(rng.normal(size=200))]
+    df = spark.createDataFrame(rows, "season string, label int, x double")
+    got = Q.fit_logits(df, "label", "season", [Q.Design("no", ("x",), (0.0,), (1.0,), "1996"), Q.Design("all", ("x",), (0.0,), (1.0,))])
+    only = Q.fit_logits(df.where("season = '1997'"), "label", "season", [Q.Design("x", ("x",), (0.0,), (1.0,))])["x"]
+    assert got["no"].coefficients == pytest.approx(only.coefficients)
+    assert (got["all"].coefficients == pytest.approx(only.coefficients)) == (seasons[0] is None)
