@@ -2,7 +2,8 @@
 
 A game's row of the design matrix has +1 for the home team, -1 for the away team, 1 for home advantage and the game's
 factors. All designs without weights are parts of one matrix, those with a weight of another, and all targets share
-them: so a season's games become two tables of daily sums of products (an aggregation that combines in each task). A
+them: so a season's games become two tables of daily sums of products, first by teams that met (an aggregation that
+combines in each task), then by unknowns. A
 season is cut into blocks of dates; a block gets the sum of all earlier blocks, and its matrices are updated date by date
 and solved before each date is added (``applyInPandas``). A group holds one block's daily sums: at most the pairs of
 teams that met on its dates, however many seasons, leagues or games there are.
@@ -91,15 +92,24 @@ def daily_sums(games: DataFrame, group: list[str], day: str, designs: tuple[Desi
     """
     factors, weights = _factors(designs), list(dict.fromkeys(d.weight for d in designs))
     known = games.where(F.coalesce(*targets.values()).isNotNull())
-    cell = lambda i, v: F.struct(i.cast("long").alias("i"), v.cast("double").alias("v")).cast("struct<i: long, v: double>")
-    row = [cell(F.col("home_team_id"), F.lit(1.0)), cell(F.col("away_team_id"), F.lit(-1.0)), cell(F.lit(HOME), F.lit(1.0))]
-    row += [cell(F.lit(HOME - 1 - k), F.coalesce(F.col(f), F.lit(0.0))) for k, f in enumerate(factors)]
-    sides = [cell(F.lit(-100 - k), F.coalesce(y, F.lit(0.0))) for k, y in enumerate(targets.values())]
-    weight = [F.struct(F.lit(k).alias("kind"), (F.lit(1.0) if w is None else F.greatest(F.coalesce(F.col(w), F.lit(1.0)), F.lit(1e-6))).cast("double").alias("w")) for k, w in enumerate(weights)]
-    cells = known.select(*group, F.col(day).alias("day"), F.array(*row).alias("row"), F.array(*sides).alias("sides"), F.explode(F.array(*weight)).alias("k"))
+    # the games of two teams on a day are summed first: their rows differ in factors, weights and targets only
+    basis = [F.lit(1.0), *[F.coalesce(F.col(f), F.lit(0.0)).cast("double") for f in factors]]
+    values = [*basis, *[F.coalesce(y, F.lit(0.0)).cast("double") for y in targets.values()]]
+    weight = [(F.lit(1.0) if w is None else F.greatest(F.coalesce(F.col(w), F.lit(1.0)), F.lit(1e-6))).cast("double") for w in weights]
+    summed = [F.sum(w * a * values[q]).alias(f"s{k}_{p}_{q}") for k, w in enumerate(weight) for p, a in enumerate(basis) for q in range(p, len(values))]
+    pairs = known.groupBy(*group, F.col(day).alias("day"), "home_team_id", "away_team_id").agg(*summed)
+    cell = lambda i, v, at: F.struct(i.cast("long").alias("i"), F.lit(v).alias("v"), F.lit(at).alias("at"))
+    row = [cell(F.col("home_team_id"), 1.0, 0), cell(F.col("away_team_id"), -1.0, 0), cell(F.lit(HOME), 1.0, 0)]
+    row += [cell(F.lit(HOME - 1 - k), 1.0, 1 + k) for k in range(len(factors))]
+    sides = [cell(F.lit(-100 - k), 1.0, len(basis) + k) for k in range(len(targets))]
+    # the sums of a weight by places: those of a (in the basis), then those of b
+    flat = lambda k: F.array(*[F.col(f"s{k}_{min(p, q)}_{max(p, q)}") for p in range(len(basis)) for q in range(len(values))])
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), flat(k).alias("sums")) for k in range(len(weights))]))
+    cells = pairs.select(*group, "day", F.array(*row).alias("row"), F.array(*sides).alias("sides"), kinds.alias("k"))
     cells = cells.select(*group, "day", "k", "row", "sides", F.explode("row").alias("a"))
-    cells = cells.select(*group, "day", "k.kind", "k.w", "a", F.explode(F.concat("row", "sides")).alias("b")).where("b.i <= -100 OR a.i <= b.i")
-    cells = cells.groupBy(*group, "kind", "day", F.col("a.i").alias("i"), F.col("b.i").alias("j")).agg(F.sum(F.col("w") * F.col("a.v") * F.col("b.v")).alias("value"))
+    cells = cells.select(*group, "day", "k.kind", "k.sums", "a", F.explode(F.concat("row", "sides")).alias("b")).where("b.i <= -100 OR a.i <= b.i")
+    value = F.col("a.v") * F.col("b.v") * F.get("sums", F.col("a.at") * len(values) + F.col("b.at"))
+    cells = cells.groupBy(*group, "kind", "day", F.col("a.i").alias("i"), F.col("b.i").alias("j")).agg(F.sum(value).alias("value"))
     seen = [c for k, f in enumerate(factors) for c in (F.count(f).alias(f"n_{k}"), F.min(F.col(f).cast("double")).alias(f"low_{k}"), F.max(F.col(f).cast("double")).alias(f"high_{k}"))]
     return cells, known.groupBy(*group, F.col(day).alias("day")).agg(F.count("*").alias("n"), *seen)
 

@@ -104,3 +104,23 @@ def test_diffs_are_of_the_lower_id(spark):
     ratings = spark.createDataFrame([(1, D0, 5, 3.0, 1), (1, D0, 2, 1.0, 2)], "season long, game_date date, team_id long, x double, x_rank int")
     got = [tuple(r)[3:] for r in P.matchup_diffs(P.aligned(games, ratings, ["season", "game_date"], ["x"]), ["x"]).orderBy("game_id").collect()]
     assert got == [(2, 5, 0, 0, -2.0), (2, 5, 1, 0, -2.0)]
+
+
+def test_games_of_two_teams_on_a_day_are_summed_before_they_are_spread(spark):
+    rows = [(1, d, h, (h + 1 + k) % 3, float(p), 0.5 + k / 4, None if p % 3 else 1.0) for d in range(2) for h in range(3) for k in range(2) for p in range(6)]
+    games = spark.createDataFrame(rows, "season int, day int, home_team_id long, away_team_id long, pts double, weight double, factor double")
+    designs = (P.Design("plain"), P.Design("weighed", True, ("factor",), "weight"))
+    cells, _ = P.daily_sums(games, ["season"], "day", designs, {"pts": F.col("pts")})
+    plan = cells._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    # the tree's last lines are run first: an aggregation stands below the first explode
+    assert max(i for i, x in enumerate(plan) if "Aggregate [" in x) > max(i for i, x in enumerate(plan) if "Generate explode" in x)
+    want: dict[tuple, float] = {}
+    for _, d, h, a, p, w, f in rows:
+        x = [(h, 1.0), (a, -1.0), (P.HOME, 1.0), (P.HOME - 1, f or 0.0)]
+        for kind, weight in ((0, 1.0), (1, w)):
+            for i, u in x:
+                for j, v in [*x, (-100, p)]:
+                    if j <= -100 or i <= j:
+                        want[kind, d, i, j] = want.get((kind, d, i, j), 0.0) + weight * u * v
+    got = {(r["kind"], r["day"], r["i"], r["j"]): r["value"] for r in cells.collect()}
+    assert got == pytest.approx(want)
