@@ -27,6 +27,8 @@ n_repeated, n_dropped), which the result replaces.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -234,14 +236,21 @@ def similar_lines(docs: DataFrame, edits: Edits = EDITS, min_chars: int = 20, id
                 last = F.when(t == e, F.col(names[specs.index((diff, e, diff))])).otherwise(last)
         return F.when(F.col(names[k]).isNotNull(), F.struct(F.col(names[k]).alias("key"), F.lit(k).alias("spec"), F.array(first, last).alias("earlier")))
 
+    # most keys are one line's alone: those go first, by rows of no more than a key and a line's hash
+    alone = F.explode(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("key"), F.lit(k < own).alias("own"))) for k, c in enumerate(names)])))
+    counted = distinct.select("h", alone.alias("x")).groupBy("x.key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max("x.own").alias("own"))
+    several = materialize(counted.where("own AND low < high").select("key"), "several-lines")
+    few = several.count() <= broadcast_rows  # beyond, both sides are shuffled
     keys = F.explode(F.array_compact(F.array(*map(entry, range(len(specs))))))
     every = distinct.select("h", "at", keys.alias("x")).select("x.key", "x.spec", "h", "at", "x.earlier")
+    every = materialize(every.join(F.broadcast(several) if few else several, "key"), "several-rows")
     indexed = F.col("spec") < own
     shared = weighed(every, indexed, F.lit(True), 0)
-    few = shared.count() <= broadcast_rows  # beyond, both sides are shuffled
+    few = shared.count() <= broadcast_rows
     every = materialize(every.join(F.broadcast(shared) if few else shared, "key"), "shared-lines")
     light = every.where("NOT heavy")
-    found = [crossed(light.where(indexed), light)]
+    # a round's pairs are written with it, so that no plan holds all rounds
+    found = [materialize(crossed(light.where(indexed), light), "round-pairs")]
 
     rows = every.where("heavy").drop("heavy")
     if not rows.isEmpty():
@@ -285,19 +294,18 @@ def similar_lines(docs: DataFrame, edits: Edits = EDITS, min_chars: int = 20, id
             # rests too short to be cut: those of one length and at one place are all alike, others give the pairs of their group
             ends = rows.where("last AND own")
             first = ends.groupBy("key").agg(F.min(F.struct("at", "h")).alias("least"))
-            found.append(ordered(ends.join(first, "key").select(F.col("h").alias("a"), F.col("least.h").alias("b"), F.col("at").alias("at_a"), F.col("least.at").alias("at_b"))))
-            found.append(crossed(ends, rows.where("last AND NOT own AND (d > 0 OR moved)")))
+            made = [ordered(ends.join(first, "key").select(F.col("h").alias("a"), F.col("least.h").alias("b"), F.col("at").alias("at_a"), F.col("least.at").alias("at_b")))]
+            made.append(crossed(ends, rows.where("last AND NOT own AND (d > 0 OR moved)")))
             rows = rows.where("NOT last").drop("last")
             rows = rows.join(weighed(rows, F.col("own"), ~F.col("own"), level), "key")
             light = rows.where("NOT heavy")
-            found.append(crossed(light.where("own"), light.where("NOT own")))
-            rows = rows.where("heavy").drop("heavy")
+            made.append(crossed(light.where("own"), light.where("NOT own")))
+            found.append(materialize(reduce(DataFrame.unionByName, made), "round-pairs"))
+            rows = materialize(rows.where("heavy").drop("heavy"), "heavy-rests")
             if rows.isEmpty():
                 break
 
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
+    pairs = reduce(DataFrame.unionByName, found)
     # a number of its own, as verification takes far more time than the bytes of pairs tell
     pairs = materialize(pairs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b").distinct(), "line-pairs")
     texts = fetched(pairs.select(F.col("a").alias("h"), F.col("at_a").alias("at")).unionByName(pairs.select(F.col("b").alias("h"), F.col("at_b").alias("at"))))
