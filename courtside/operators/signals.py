@@ -30,13 +30,14 @@ def confidence(std: Column, sizing: Sizing = Sizing()) -> Column:
 
 
 def latest_calls(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(game_id, team, call) and (game_id, call of the first team by name), from calls (game_id, team, call, edge, hours, made_at).
+    """(game_id, team, call) and (game_id, call of the first team by name, calls by team), from calls (game_id, team, call, edge, hours, made_at).
 
     The latest call for a team counts; those made at or after the start, not to trade, or without an edge are none.
     """
     by_team = calls.where("hours > 0").groupBy("game_id", "team").agg(F.max_by(F.struct("call", "edge"), F.struct("made_at", "call", "edge")).alias("c"))
     by_team = by_team.select("game_id", "team", F.when(F.col("c.call").isin("BACK", "FADE") & (F.col("c.edge") != 0), F.col("c.call")).otherwise("NONE").alias("call"))
-    return by_team, by_team.groupBy("game_id").agg(F.min_by("call", "team").alias("any_call"))
+    named = F.when(F.col("team").isNotNull(), F.struct("team", "call"))
+    return by_team, by_team.groupBy("game_id").agg(F.min_by("call", "team").alias("any_call"), F.map_from_entries(F.collect_list(named)).alias("calls"))
 
 
 def match_signals(matches: DataFrame, markets: DataFrame, calls: DataFrame, exceeds, sizing: Sizing = Sizing()) -> DataFrame:
@@ -49,16 +50,15 @@ def match_signals(matches: DataFrame, markets: DataFrame, calls: DataFrame, exce
     A market without both quotes, or a match without a prediction, has null side, edge and size and is not actionable.
     ``agree_pp`` is how far apart the two models' chances to win are, in points.
     """
-    by_team, by_game = latest_calls(calls)
-    m = markets.join(matches, "game_id")
+    _, by_game = latest_calls(calls)
+    m = markets.join(matches.join(by_game, "game_id", "left"), "game_id")  # calls come with a game, before its markets
     m = m.withColumn("prob", F.when(F.col("market") == "winner", F.col("win_prob")).otherwise(exceeds(F.col("spread"), F.col("threshold"))))
     m = m.withColumn("edge_yes", F.col("prob") - F.col("yes")).withColumn("edge_no", 1 - F.col("prob") - F.col("no"))
     yes = F.col("edge_yes") >= F.col("edge_no")
     m = m.withColumn("side", F.when(yes, "YES").when(~yes, "NO")).withColumn("edge", F.when(yes, F.col("edge_yes")).when(~yes, F.col("edge_no"))).withColumn("price", F.when(yes, F.col("yes")).when(~yes, F.col("no")))
     for_home = F.when(F.col("market") == "winner", yes).otherwise(F.col("threshold") > 0)
     m = m.withColumn("team", F.when(for_home, F.col("home")).otherwise(F.col("away")))
-    m = m.join(by_team, ["game_id", "team"], "left").join(by_game, "game_id", "left")
-    called = F.coalesce("call", "any_call", F.lit("NONE"))
+    called = F.coalesce(F.try_element_at("calls", F.col("team")), "any_call", F.lit("NONE"))
     right = F.when(called == "FADE", "NO").otherwise("YES") == F.col("side")
     status = F.when(called == "NONE", "NO SIGNAL").when(right, "AGREES").otherwise("DISAGREES")
     tier = F.when(F.col("market") == "winner", confidence(F.col("win_std"), sizing)).otherwise("FIXED")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtside.operators import scoring as M
 from courtside.operators import windows as W
 from courtside.operators.boxscores import student_t_cdf
-from courtside.operators.joins import asof
+from courtside.operators.joins import beside
 from courtside.operators.signals import Sizing, match_signals
 from courtside.plans.boxscores import _t_sql
 from courtside.plans.registry import query
@@ -66,16 +66,25 @@ SIDE_MODELS = {t: [M.Spec("both", (f"{own}_pf", f"{other}_pa"), True, 0.6), M.Sp
 
 
 def _form(spark, sf_dir) -> DataFrame:
-    """Games with each side's means over its last ten games before the day."""
+    """Games with each side's means over its last ten games before the day.
+
+    Only a team's last ten games of a day can be among the ten that end with its last one, so windows see ten rows for each
+    team and day, and games are joined with one row for each, whatever their number.
+    """
     games = D.games(spark, sf_dir)
-    blocked = W.in_blocks(D.team_history(games), 9, "team_id")
+    history = D.team_history(games).select("team_id", "game_date", "game_id", "pf", "pa")
+    last = Window.partitionBy("team_id", "game_date").orderBy(F.desc("game_id"))
+    history = materialize(history.withColumn("__last", F.row_number().over(last)).where("__last <= 10").drop("__last"), "last-games")
+    blocked = W.in_blocks(history, 9, "team_id")
     ten = W.by("team_id", W.BLOCK).rowsBetween(-9, 0)
     form = W.own_rows(blocked, "team_id", "game_date", "game_id", F.struct(F.avg("pf").over(ten).alias("pf"), F.avg("pa").over(ten).alias("pa")).alias("form"))
     form = form.groupBy("team_id", "game_date").agg(F.max_by("form", "game_id").alias("form"))  # the last game of a day
+    before = F.lag("form").over(Window.partitionBy("team_id").orderBy("game_date"))
+    form = materialize(form.withColumn("form", before), "team-form")
     out = games.select("game_id", "game_date", "season", "home_team_id", "away_team_id", "home_pts", "away_pts")
     for side in ("home", "away"):
-        right = form.select(F.col("team_id").alias(f"{side}_team_id"), F.col("game_date").alias(f"{side}_as_of"), F.col("form.pf").alias(f"{side}_pf"), F.col("form.pa").alias(f"{side}_pa"))
-        out = asof(out, right, [f"{side}_team_id"], "game_date", f"{side}_as_of", [f"{side}_pf", f"{side}_pa"], block=lambda t: F.year(t))
+        own = form.select(F.col("team_id").alias(f"{side}_team_id"), "game_date", F.col("form.pf").alias(f"{side}_pf"), F.col("form.pa").alias(f"{side}_pa"))
+        out = beside(out, own, [f"{side}_team_id", "game_date"])
     return materialize(out, "game-form")
 
 
