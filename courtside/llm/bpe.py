@@ -22,7 +22,6 @@ an id are each encoded. Other columns of the input are not read.
 from __future__ import annotations
 
 import itertools
-import uuid
 from array import array
 from collections.abc import Iterator
 
@@ -219,23 +218,12 @@ def _lists(encoded: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), "<i4")))
 
 
-#: A worker's encoder, with the call that it belongs to.
-_LATEST: dict[str, Encoder] = {}
-
-
-def _encoder(call: str, vocab: Vocab, max_pieces: int) -> Encoder:
-    if call not in _LATEST:
-        _LATEST.clear()
-        _LATEST[call] = Encoder(vocab, max_pieces)
-    return _LATEST[call]
-
-
 def _slices(b: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
     for at in range(0, b.num_rows, rows):
         yield b.slice(at, rows)
 
 
-def _blocks(b: pa.RecordBatch, most: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+def _blocks(b: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     """Neighbouring rows with up to so many bytes of text (second column), or one row."""
     sizes = pc.binary_length(b.column(1)).to_numpy().tolist()
     at, held = 0, 0
@@ -248,20 +236,22 @@ def _blocks(b: pa.RecordBatch, most: int = 6_000_000) -> Iterator[pa.RecordBatch
         yield b.slice(at)
 
 
-def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False, max_pieces: int = 200_000) -> DataFrame:
-    """doc_id, ids array<int> for every row; with ``decoded`` also the text that the ids decode to, in the same pass."""
-    vocab = docs.sparkSession.sparkContext.broadcast(load_vocab(vocab_path))
+def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False, max_pieces: int = 200_000, block_bytes: int = 6_000_000) -> DataFrame:
+    """doc_id, ids array<int> for every row; with ``decoded`` also the text that the ids decode to, in the same pass.
+
+    Up to ``block_bytes`` of texts are encoded at a time: smaller blocks take less memory and meet fewer repeats.
+    """
+    encoder = docs.sparkSession.sparkContext.broadcast(Encoder(load_vocab(vocab_path), max_pieces))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    call = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(call, vocab.value, max_pieces)
+        mine = encoder.value  # one for all tasks of a worker, with the pieces that it keeps
         for whole in batches:
-            for b in _blocks(whole):
-                ids = encoder.encode_array(b.column(1))
+            for b in _blocks(whole, block_bytes):
+                ids = mine.encode_array(b.column(1))
                 columns = [b.column(0), ids]
                 if decoded:
-                    columns.append(encoder.decode_array(ids))
+                    columns.append(mine.decode_array(ids))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
 
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -6,7 +6,7 @@ import public_tokenizers
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from courtside.llm.bpe import Encoder
+from courtside.llm.bpe import Encoder, _blocks, encode
 from courtside.llm.vocab import load_vocab
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,3 +30,13 @@ def test_an_encoder_travels_and_decodes_whole_columns():
         ids = encoder.encode_array(pa.array(texts))
         assert encoder.decode_array(ids).to_pylist() == texts
     assert encoder.decode_array(pa.array([[encoder.ids["日".encode()[:1]]], []], pa.list_(pa.int32()))).to_pylist() == ["�", ""]
+
+
+def test_blocks_are_bounded_by_bytes_and_lose_no_row(spark):
+    texts = ["x" * 900, "", "y" * 5000, "é" * 300, "z", ""] * 5
+    blocks = list(_blocks(pa.record_batch([list(range(30)), texts], ["doc_id", "text"]), 1000))
+    assert [i for b in blocks for i in b.column(0).to_pylist()] == list(range(30))
+    assert all(sum(len(t.encode()) for t in b.column(1).to_pylist()) <= 1000 or sum(map(bool, b.column(1).to_pylist())) == 1 for b in blocks)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    small, whole = (sorted(map(tuple, encode(docs, PATH, decoded=True, block_bytes=n, max_pieces=m).collect())) for n, m in ((500, 2), (6_000_000, 200_000)))
+    assert small == whole and [r[2] for r in small] == texts
