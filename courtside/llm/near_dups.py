@@ -138,21 +138,30 @@ def _sharing(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     Let d(x) be the symmetric difference of the sets of x and its pivot; that of x and y is the one of d(x) and d(y).
     Linked x and y differ in t = (nx + ny) * (100 - percent) / (100 + percent) elements at most, so d(x) and d(y) share
     (|d(x)| + |d(y)| - t) / 2 or more. If that is none, both are linked with the pivot and are in one component. Else they
-    share an element among the rarest |d| - that + 1 of either, rarest first in the pivot's group; near copies, which
-    differ from their pivot in elements of their own, are not paired at all. As Jaccard distance is a metric, those whose
-    distances from the pivot differ by more than a link's are not either.
+    share an element among the first |d| - that + 1 of either in any one order of the pivot's group. First are those that
+    the pivot hasn't, then those that it has; of a member that has more of the former than links need, the latter are
+    not written at all. Of either, those that members of one component only have come first, as they pair none: they are
+    counted but never joined. The others follow, rarest first; near copies, which differ from their pivot in elements of
+    their own, are not paired at all. As Jaccard distance is a metric, those whose distances from the pivot differ by more
+    than a link's are not either.
     """
     own = members.join(sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("sx")), "x").where("size(sx) = nx")
     both = _with_set(materialize(own, "members"), "p", "x", sets, "sp").where("size(sp) = np")
     ratio = (100 - percent) / (100 + percent)
-    d = both.select("p", "np", "x", "nx", "c", F.concat(F.array_except("sx", "sp"), F.array_except("sp", "sx")).alias("d")).where("size(d) > 0")
-    far = 2 * F.size("d") / (F.col("nx") + F.col("np") + F.size("d"))
-    d = d.select("p", "x", "nx", "c", far.alias("far"), F.size("d").alias("size"), F.explode("d").alias("e"))
-    d = materialize(d, "differences")
-    often = d.groupBy("p", "e").agg(F.count("*").alias("often")).where("often > 1")  # an element of one member pairs it with none
-    d = d.join(often, ["p", "e"], "left").withColumn("r", F.row_number().over(Window.partitionBy("p", "x").orderBy(F.coalesce("often", F.lit(1)), "e")))
-    # linked sets' sizes are within percent of each other, so t is at most this
-    d = d.where("often IS NOT NULL").where(F.col("r") <= F.col("nx") * ratio * (1 + 100 / percent) + 1)
+    # linked sets' sizes are within percent of each other, so t is less than this, and so is an element's rank that counts
+    most = F.col("nx") * ratio * (1 + 100 / percent) + 1
+    d = both.select("p", "np", "x", "nx", "c", F.array_except("sx", "sp").alias("more"), F.array_except("sp", "sx").alias("less"))
+    d = d.withColumn("size", F.size("more") + F.size("less")).where("size > 0")
+    far = 2 * F.col("size") / (F.col("nx") + F.col("np") + F.col("size"))
+    more = F.transform("more", lambda e: F.struct(e.alias("e"), F.lit(False).alias("less")))
+    less = F.transform("less", lambda e: F.struct(e.alias("e"), F.lit(True).alias("less")))
+    d = d.select("p", "x", "nx", "c", far.alias("far"), "size", F.size("more").alias("first"), F.explode(F.when(F.size("more") < most, F.concat(more, less)).otherwise(more)).alias("e"))
+    d = materialize(d.select("p", "x", "nx", "c", "far", "size", "first", "e.*"), "differences")
+    often = d.groupBy("p", "e").agg(F.count("*").alias("often"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("p", "e", "often")
+    of_x = Window.partitionBy("p", "x", "less")
+    upto = F.when(F.col("less"), F.col("size")).otherwise(F.col("first"))
+    d = d.join(often, ["p", "e"]).withColumn("r", upto - F.count("*").over(of_x) + F.row_number().over(of_x.orderBy("often", "e")))
+    d = d.where(F.col("r") <= most)
     d = materialize(d.select("p", "e", "r", "x", "nx", "c", "far", "size"), "rare-differences")
     y = d.select("p", "e", F.col("r").alias("rb"), F.col("x").alias("b"), F.col("nx").alias("nb"), F.col("c").alias("cb"), F.col("far").alias("farb"), F.col("size").alias("db"))
     share = F.greatest(F.lit(1), F.ceil((F.col("size") + F.col("db") - ratio * (F.col("nx") + F.col("nb"))) / 2 - 1e-9))
