@@ -48,7 +48,7 @@ _TABLE = bytes.maketrans(ENDS + b"\t" + bytes(range(65, 91)), _END * len(ENDS) +
 _SHARD = "shard long, n_symbols long, forward binary, reverse binary, langs array<string>, n_words array<long>, words array<string>, lo array<int>, counts array<int>, lang_of array<int>"
 _KNOWN = pa.schema([("shard", pa.int64()), ("length", pa.int32()), ("part", pa.int64()), ("places", pa.binary()), ("names", pa.binary())])
 _PROPOSED = pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("p", pa.binary()), ("s", pa.binary()), ("n", pa.binary())])
-_WORDS = pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("langs", pa.list_(pa.string())), ("lang_of", pa.binary()), ("size", pa.int64()), ("words", pa.binary()), ("lo", pa.binary()), ("n", pa.binary())])
+_WORDS = pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("langs", pa.list_(pa.string())), ("lang_of", pa.binary()), ("size", pa.int64()), ("words", pa.binary()), ("first", pa.int64()), ("n", pa.binary())])
 _JUDGED_WORDS = pa.schema([*_KNOWN, ("lang", pa.list_(pa.string())), ("word", pa.list_(pa.string())), ("f", pa.list_(pa.int64()))])
 _JUDGED = pa.schema([*_KNOWN, *[(c, pa.list_(pa.int64())) for c in "psf"]])
 
@@ -70,6 +70,20 @@ def _unpacked(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<i8").ravel()
 
 
+def _ordered(key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the places of ``key`` in its order, the keys in it); key: from 0 to below ``most``. Equal keys keep their order.
+
+    Numbers that hold key and place are sorted where they fit into 63 bits, which is faster than sorting places by keys.
+    """
+    n = len(key)
+    if most * n >= 1 << 63:
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+    both = np.sort(key * n + np.arange(n))
+    key = both // n
+    return both - key * n, key
+
+
 def transform(symbols: np.ndarray, depth: int) -> np.ndarray:
     """The symbol before each suffix, suffixes being in the order of (at least) their first ``depth`` symbols."""
     n, rank, known = len(symbols), symbols.astype(np.int64), 1
@@ -77,9 +91,9 @@ def transform(symbols: np.ndarray, depth: int) -> np.ndarray:
     while known < depth:
         ahead = np.full(n, -1, np.int64)
         ahead[: max(n - known, 0)] = rank[known:]
-        key = rank * (n + 2) + ahead + 1
-        order = np.argsort(key, kind="stable")
-        new = np.r_[False, np.diff(key[order]) != 0]
+        width = int(rank.max(initial=0)) + 2
+        order, key = _ordered(rank * width + ahead + 1, width * width)
+        new = np.r_[False, key[1:] != key[:-1]]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)
         known *= 2
@@ -94,11 +108,14 @@ class Index:
         self.sides = (forward, reverse)
         self.placed: dict[bool, np.ndarray] = {}
 
-    def begins(self, left: bool, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Where the interval of a phrase begins that has this symbol before the one whose interval begins at ``at``."""
-        if left not in self.placed:  # (symbol, place) pairs in order: the rank of one is the answer
-            self.placed[left] = np.sort(self.sides[not left] * (self.n + 1) + np.arange(self.n))
-        return np.searchsorted(self.placed[left], symbol * (self.n + 1) + at)
+    def before(self, left: bool) -> np.ndarray:
+        """For each place of a side the place of the suffix that begins one symbol earlier: the places in order of symbols."""
+        if left not in self.placed:
+            side = self.sides[not left]
+            order, _ = _ordered(side, int(side.max(initial=0)) + 1)
+            self.placed[left] = place = np.empty(self.n, np.int64)
+            place[order] = np.arange(self.n)
+        return self.placed[left]
 
     @classmethod
     def of(cls, symbols: np.ndarray, depth: int) -> Index:
@@ -112,12 +129,12 @@ class Index:
         owner = np.repeat(np.arange(len(n)), n)
         at = np.repeat(here - (np.cumsum(n) - n), n) + np.arange(total)
         width = int(side.max(initial=0)) + 1
-        key = np.sort(owner * width + side[at])
+        order, key = _ordered(owner * width + side[at], max(1, len(n)) * width) if total else (at, at)
         head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if total else np.zeros(0, np.int64)
         count = np.diff(np.r_[head, total])
         owner, symbol = key[head] // width, key[head] % width
         smaller = head - (np.cumsum(n) - n)[owner]  # symbols of the same interval that come before this one
-        new_here = self.begins(left, symbol, here[owner])
+        new_here = self.before(left)[at[order[head]]]  # of the symbol's first place in the interval
         new_there = there[owner] + smaller
         word = symbol > 0
         found = (owner, symbol, new_here, new_there) if left else (owner, symbol, new_there, new_here)
@@ -144,12 +161,9 @@ def _shards(batches: Iterator[pa.RecordBatch], shard_words: int, depth: int) ->
         index_f, index_r = transform(symbols, depth), transform(symbols[::-1], depth)
         counts = np.bincount(symbols)
         lo = np.cumsum(counts) - counts
-        words, ids, lang_of = [], [], []
-        for k, of_lang in enumerate(known.values()):
-            mine = [(w, i) for w, i in of_lang.items() if i]
-            words += [w.decode() for w, _ in mine]
-            ids += [i for _, i in mine]
-            lang_of += [k] * len(mine)
+        found = [(zlib.crc32(w), w, i, k) for k, of_lang in enumerate(known.values()) for w, i in of_lang.items() if i]
+        found.sort()  # words by the hash whose ranges make parts, so that a part has a run of them
+        words, ids, lang_of = [w.decode() for _, w, _, _ in found], [i for _, _, i, _ in found], [k for _, _, _, k in found]
         row = [part << 11 | nth, len(symbols), _packed(index_f), _packed(index_r), list(known), [int(counts[[i for i in of_lang.values() if i]].sum()) for of_lang in known.values()], words, lo[ids], counts[ids], np.array(lang_of, np.int32)]
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32())]
         return pa.record_batch([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], [f.split()[0] for f in _SHARD.split(", ")])
@@ -177,9 +191,11 @@ def _extended(index: Index, lo: np.ndarray, rlo: np.ndarray, n: np.ndarray, name
     owner, _, new_lo, new_rlo, count = index.grown(lo, rlo, n, left)
     # the other part has the interval in which the extension's lies
     mine, new = (lo, new_lo) if left else (rlo, new_rlo)
-    order = np.argsort(mine)
-    other = order[np.maximum(np.searchsorted(mine[order], new, side="right") - 1, 0)]
-    fits = (mine[other] <= new) & (new < mine[other] + n[other])
+    holder = np.full(index.n, -1, np.int32)
+    total = int(n.sum())
+    holder[np.repeat(mine - (np.cumsum(n) - n), n) + np.arange(total)] = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    other = holder[new]
+    fits = other >= 0
     owner, other = name[owner[fits]], name[other[fits]]
     return (*((other, owner) if left else (owner, other)), new_lo[fits], new_rlo[fits], count[fits])
 
@@ -232,7 +248,9 @@ def _proposals(length: int, parts: int):
             return _PROPOSED.empty_table()
         index = Index(_unpacked(shards["forward"][0].as_py()), _unpacked(shards["reverse"][0].as_py()))
         told = sorted(known.select(["length", "part", "places", "names"]).to_pylist(), key=lambda k: (k["length"], k["part"]))
-        lo, name = (np.concatenate([_unpacked(k[c]) for k in told if k["length"] == 1]) for c in ("places", "names"))
+        ones = [k for k in told if k["length"] == 1]
+        lo = np.array(shards["lo"][0].values, np.int64)[np.concatenate([np.cumsum(_unpacked(k["places"])) for k in ones])]
+        name = np.concatenate([_unpacked(k["names"]) for k in ones])
         ends = np.cumsum(np.bincount(index.sides[0]))
         state = (lo, lo, ends[np.searchsorted(ends, lo, side="right")] - lo, name)
         for m in range(2, length + 1):
@@ -283,21 +301,18 @@ def _verdicts(length: int, least: int, parts: int):
 
 
 def _word_proposals(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Each shard's words, with their places and counts, dealt to parts by a hash of the word."""
+    """Each shard's words with their counts, dealt to parts by ranges of the hash that they are ordered by."""
     for batch in batches:
         for row in batch.to_pylist():
             words = [w.encode() for w in row["words"]]
-            part = np.fromiter((zlib.crc32(w) % parts for w in words), np.int64, len(words))
-            order = np.argsort(part, kind="stable")
-            at = np.searchsorted(part[order], np.arange(parts + 1))
-            lo, n, lang = (np.array(row[c], np.int64) for c in ("lo", "counts", "lang_of"))
+            part = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) * parts >> 32
+            at = np.searchsorted(part, np.arange(parts + 1))
+            n, lang = (np.array(row[c], np.int64) for c in ("counts", "lang_of"))
             out = []
-            for k in range(parts):
-                mine = order[at[k] : at[k + 1]]
-                if len(mine):
-                    mine = np.array(sorted(mine.tolist(), key=words.__getitem__))
-                    joined = b"\n".join([words[i] for i in mine])
-                    out.append((row["shard"], k, row["langs"], _packed(lang[mine]), len(joined), pa.compress(joined, "zstd", asbytes=True), _packed(lo[mine]), _packed(n[mine])))
+            for k in np.flatnonzero(np.diff(at)).tolist():
+                mine = slice(at[k], at[k + 1])
+                joined = b"\n".join(words[mine])
+                out.append((row["shard"], k, row["langs"], _packed(lang[mine]), len(joined), pa.compress(joined, "zstd", asbytes=True), int(at[k]), _packed(n[mine])))
             if out:
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _WORDS, strict=True)], schema=_WORDS)
 
@@ -307,21 +322,20 @@ def _word_verdicts(least: int, parts: int):
 
     def judge(proposed: pa.Table) -> pa.Table:
         rows, number = proposed.to_pylist(), {}
-        ids, counts, places = [], [], []
+        ids, counts = [], []
         for r in rows:
             langs = [r["langs"][k] for k in _unpacked(r["lang_of"])]
             words = pa.decompress(r["words"], r["size"], "zstd", asbytes=True).split(b"\n")
             ids.append(np.fromiter((number.setdefault(w, len(number)) for w in zip(langs, words, strict=True)), np.int64, len(words)))
             counts.append(_unpacked(r["n"]))
-            places.append(_unpacked(r["lo"]))
         f = np.bincount(np.concatenate(ids), np.concatenate(counts), len(number)).astype(np.int64)
         frequent, name = _named(f, least, rows[0]["part"], parts)
         words = list(number)
         told = [words[k] for k in frequent.tolist()]
         out = [(None, rows[0]["part"], None, None, [lang for lang, _ in told], [w.decode() for _, w in told], f[frequent])]
-        for r, i, lo in zip(rows, ids, places, strict=True):
-            kept = name[i] >= 0
-            out.append((r["shard"], r["part"], _packed(lo[kept]), _packed(name[i[kept]]), None, None, None))
+        for r, i in zip(rows, ids, strict=True):
+            kept = np.flatnonzero(name[i] >= 0)
+            out.append((r["shard"], r["part"], _packed(np.diff(r["first"] + kept, prepend=0)), _packed(name[i[kept]]), None, None, None))
         columns = [list(c) for c in zip(*out, strict=True)]
         return pa.table([columns[0], [1] * len(out), *columns[1:]], schema=_JUDGED_WORDS)
 
@@ -344,13 +358,13 @@ def count_phrases(docs: DataFrame, least: int = 30, longest: int = 4, lang: str
         spoken = shards.select(F.explode(F.arrays_zip("langs", "n_words")).alias("x")).select(F.col("x.langs").alias("lang"), F.col("x.n_words").alias("n"))
         totals = materialize(spoken.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-words")
         parts = max(1, -(-(shards.agg(F.sum("n_symbols")).first()[0] or 0) // part_words))
-        words = shards.select("shard", "langs", "lang_of", "words", "lo", "counts").mapInArrow(lambda batches: _word_proposals(batches, parts), _ddl(_WORDS))
+        words = shards.select("shard", "langs", "lang_of", "words", "counts").mapInArrow(lambda batches: _word_proposals(batches, parts), _ddl(_WORDS))
         judged = materialize(words.groupBy("part").applyInArrow(_word_verdicts(least, parts), _ddl(_JUDGED_WORDS)), "phrases-1")
         entry = F.posexplode(F.arrays_zip("lang", "word", "f")).alias("at", "x")
         tables = [judged.where("shard IS NULL").select("part", entry).select((F.col("at") * parts + F.col("part")).alias("id"), "x.*")]
         known = judged.where("shard IS NOT NULL").select(_KNOWN.names)
         for length in range(2, longest + 1):
-            proposed = shards.select("shard", "forward", "reverse").groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_proposals(length, parts), _ddl(_PROPOSED))
+            proposed = shards.select("shard", "forward", "reverse", "lo").groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_proposals(length, parts), _ddl(_PROPOSED))
             judged = materialize(proposed.groupBy("part").applyInArrow(_verdicts(length, least, parts), _ddl(_JUDGED)), f"phrases-{length}")
             entry = F.posexplode(F.arrays_zip("p", "s", "f")).alias("at", "x")
             tables.append(judged.where("shard IS NULL").select("part", entry).select((F.col("at") * parts + F.col("part")).alias("id"), "x.*"))
