@@ -1,6 +1,7 @@
 """Orders of a phrase index against sorting by hand, in both ways of sorting, and what shards tell of their words."""
 
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,8 @@ def test_transform_is_in_the_order_of_so_many_symbols(depth):
     assert all(sorted(a) == sorted(b) for a, b in blocks.values())
 
 
-def test_words_are_dealt_in_runs_and_their_places_stay_with_the_shard():
+def test_words_are_dealt_in_runs_and_their_places_stay_with_the_shard(monkeypatch):
+    monkeypatch.setattr(C.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
     texts = pa.record_batch([pa.array(["en", "de", "en"]), pa.array(["a b c a, d", "b b é", "z a b"])], ["lang", "text"])
     shards = list(C._shards(iter([texts]), 1000, 4))
     row = shards[0].to_pylist()[0]
