@@ -8,7 +8,8 @@ height. Proofs come from the records alone: requests for all leaves descend from
 as many rows as nodes; each child's request carries the children not selected, and a leaf's path is read backwards.
 
 Shuffled are 64-character digests, never texts. Groups of any size are ranked and built in parallel (``ranks.ranked``);
-the driver sees only the largest number of nodes of a level.
+the driver sees only the largest number of nodes of a level. Requests are never broadcast: those of one node share their
+path, so that they are small when compressed, by which Spark would choose a broadcast, but large in the driver's memory.
 
 Defined results: a null value counts as ``-``, a null group is the first one, a null order value comes first. Rows equal
 in the order are ordered by digest; repeated rows are leaves of their own. Other columns are carried along, except that
@@ -67,15 +68,15 @@ def _answers(leaves: DataFrame, levels: list[DataFrame], tops: DataFrame) -> Dat
         new = tops.where(F.col("height") == height).select("g", F.lit(0).cast("long").alias("p"), "digest", "path", *told)
         asked = new if asked is None else asked.unionByName(new)
         records = levels[height - 1].groupBy("digest").agg(F.first("children").alias("children"))  # one for each content
-        asked = asked.join(records, "digest")
+        asked = asked.hint("merge").join(records, "digest")
         if height > 1:
             asked = asked.select("g", "p", "children", "path", *told, F.posexplode("children").alias("digit", "digest"))
             asked = asked.select("g", (F.col("p") * FAN + F.col("digit")).alias("p"), "digest", F.concat("path", _step(F.col("children"), F.col("digit"))).alias("path"), *told)
-    lone = leaves.where("n = 1").join(tops.where("height = 0").select("g", "path", *told), "g")
+    lone = leaves.where("n = 1").join(tops.where("height = 0").select("g", "path", *told).hint("merge"), "g")
     if asked is None:
         return lone
     asked = asked.select("g", F.col("p").alias("__run"), "children", "path", *told)
-    found = leaves.where("n > 1").withColumn("__run", F.expr(f"p div {FAN}")).join(asked, ["g", "__run"])
+    found = leaves.where("n > 1").withColumn("__run", F.expr(f"p div {FAN}")).join(asked.hint("merge"), ["g", "__run"])
     digit = (F.col("p") % FAN).cast("int")
     found = found.withColumn("path", F.concat("path", _step(F.col("children"), digit))).drop("__run", "children")
     return found.unionByName(lone)

@@ -9,6 +9,8 @@ from courtside.shared import materialize
 
 #: monotonically_increasing_id() holds the partition above these bits, the row in it below.
 _BITS = 33
+#: Up to so many runs (parts of groups in tasks) go to every task; long names that begin alike are small only when compressed.
+_FEW = 10_000
 
 
 def ranked(df: DataFrame, group: str, order: list[str]) -> DataFrame:
@@ -36,6 +38,7 @@ def ranked(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     # one row for each task, however many rows and groups there are
     begun = begun.select("__part", F.coalesce(F.sum("__groups").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__earlier"))
     placed = heads.join(begun, "__part").select(F.col("__key").alias("__k"), (F.col("__earlier") + F.col("__nth") - 1).alias("g"))
-    runs = runs.join(placed, F.col("__key").eqNullSafe(F.col("__k"))).select(F.col("__part").alias("__p"), "__key", (F.coalesce("__before", F.lit(0)) - F.col("__first")).alias("__shift"), "n", "g")
+    runs = runs.hint("merge").join(placed, F.col("__key").eqNullSafe(F.col("__k"))).select(F.col("__part").alias("__p"), "__key", (F.coalesce("__before", F.lit(0)) - F.col("__first")).alias("__shift"), "n", "g")
     runs = materialize(runs, "ranked-groups")
+    runs = F.broadcast(runs) if runs.count() <= _FEW else runs.hint("merge")
     return laid.join(runs, (F.col("__part") == F.col("__p")) & F.col(group).eqNullSafe(F.col("__key"))).select(*df.columns, "g", "n", (F.col("__at") + F.col("__shift")).alias("p"))

@@ -101,3 +101,20 @@ def test_ranks_of_groups_over_many_tasks(spark):
         mine = sorted((r for r in got if r.k == k), key=lambda r: r.p)
         assert [r.p for r in mine] == list(range(len(mine))) and {(r.g, r.n) for r in mine} == {(g, len(mine))}
         assert [r.v for r in mine] == sorted(r[1] for r in rows if r[0] == k)
+
+
+def test_requests_with_their_paths_are_never_broadcast(spark):
+    frame = spark.createDataFrame([(i, f"t{i}", "en", "hot" if i < 300 else f"s{i}", 2) for i in range(320)], DOCS)
+    found = proofs(frame.select("doc_id", "source", digest_of(F.col("doc_id")).alias("digest")), "source", ["doc_id"])
+    assert len(found.collect()) == 320
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_many_groups_are_not_broadcast(spark):
+    frame = spark.createDataFrame([(k // 2 if k else None, k) for k in range(24_000)], "k int, v int").repartition(5)
+    found = ranked(frame, "k", ["v"])
+    got = sorted((r.v, r.g, r.n, r.p) for r in found.collect())
+    assert got == [(k, 0 if k == 0 else k // 2 + 1, 1 if k < 2 else 2, k % 2 if k > 1 else 0) for k in range(24_000)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
