@@ -10,7 +10,7 @@ from courtside.functions import scalars as S
 from courtside.operators import quality as Q
 from courtside.operators.joins import keep_last, upsert_new
 from courtside.plans.registry import query
-from courtside.shared import fresh_path
+from courtside.shared import fresh_path, materialize
 from courtside.sources import domain as D
 from courtside.sources import loaders as L
 from courtside.tables import table
@@ -164,13 +164,15 @@ def j17_rating_audit(spark, sf_dir):
     """Days that one of two rating tables lacks or on which they differ by more than 1, told in the ratings' own four digits.
 
     Where a rating plus 1 passes a power of two the difference in doubles is a little more or less than 1; unrounded, the
-    last bit of a rating (and so the order of its sum) would decide.
+    last bit of a rating (and so the order of its sum) would decide. Ratings are averaged once and written: averaged for
+    each table anew, in another order, those on a rounding tie would differ from themselves in the fourth digit. A day whose
+    rating is null is there all the same.
     """
-    s = D.rating_snapshots(spark, sf_dir)
-    a = s.where("team_id % 4 > 0").withColumnRenamed("rating", "ra")
-    b = s.where("team_id % 5 > 0").select("team_id", "as_of_date", (F.col("rating") + F.col("team_id") % 3).alias("rb"))
+    s = materialize(D.rating_snapshots(spark, sf_dir), "ratings")
+    a = s.where("team_id % 4 > 0").select("team_id", "as_of_date", F.col("rating").alias("ra"), F.lit(True).alias("in_a"))
+    b = s.where("team_id % 5 > 0").select("team_id", "as_of_date", (F.col("rating") + F.col("team_id") % 3).alias("rb"), F.lit(True).alias("in_b"))
     both = a.join(b, ["team_id", "as_of_date"], "full_outer")
-    flags = F.concat_ws("|", F.when(F.col("ra").isNull(), "no_a"), F.when(F.col("rb").isNull(), "no_b"), F.when(F.round(F.abs(F.col("ra") - F.col("rb")), 4) > 1, "differs"))
+    flags = F.concat_ws("|", F.when(F.col("in_a").isNull(), "no_a"), F.when(F.col("in_b").isNull(), "no_b"), F.when(F.round(F.abs(F.col("ra") - F.col("rb")), 4) > 1, "differs"))
     return both.select("team_id", F.col("as_of_date").alias("day"), flags.alias("flags"))
 
 
